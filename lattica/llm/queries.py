@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, exact_dedup
+from lattica.llm import bpe, chat, exact_dedup, grammar
 from lattica.llm.common import table
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = grammar.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return grammar.read_documents(spark, path)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -19,6 +29,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_codec": op3_bpe_codec,
+    "op5_grammar_shards": op5_grammar_shards,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
 }
