@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, decontam, exact_dedup, grammar, langid, pii
+from lattica.llm import bpe, chat, decontam, exact_dedup, grammar, langid, near_dedup, pii
 from lattica.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_documents(spark, path)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.decisions(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_bpe_codec": op3_bpe_codec,
     "op5_grammar_shards": op5_grammar_shards,
+    "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
