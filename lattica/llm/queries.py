@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe, chat, decontam, exact_dedup, grammar, langid, near_dedup, pii
+from lattica.llm import bpe, chat, cotrain, decontam, exact_dedup, grammar, langid, near_dedup, pii, style_tree
 from lattica.llm.common import table
 
 
@@ -17,10 +18,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = grammar.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return grammar.read_documents(spark, path)
@@ -48,13 +58,16 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_main_text": op2_main_text,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_quality": op4_quality,
     "op5_grammar_shards": op5_grammar_shards,
     "op6_near_dedup": op6_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_personal_data": op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
