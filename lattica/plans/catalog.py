@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from lattica.plans import color, geometry, pixels, resume, text  # noqa: F401 - they register their queries
+from lattica.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "merge_report"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
