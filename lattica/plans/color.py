@@ -1 +1,107 @@
+"""Queries over line colours."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import exprs
+from lattica.operators import color
+from lattica.plans.registry import query
+from lattica.sources.adapters import ctes, read, view
+
+#: A legend to match colours with.
+LEGEND = [("power", 200, 30, 30), ("uplink", 40, 60, 200), ("lan", 30, 160, 60), ("spare", 128, 128, 128), ("note", 230, 200, 40)]
+
+_NAME = """case when greatest(r,g,b) < 40 then 'black' when greatest(r,g,b) - least(r,g,b) < 30 and greatest(r,g,b) > 180 then 'white' when greatest(r,g,b) - least(r,g,b) < 30 then 'gray'
+    when r >= g and r >= b then case when g > b and g > 100 then 'yellow' else 'red' end when g >= r and g >= b then case when b > r and b > 100 then 'teal' else 'green' end
+    else case when r > g and r > 100 then 'purple' else 'blue' end end || '_lines'"""
+
+
+@query(ctes("v_segments") + """ select image_id, '(' || r//32*32 || ',' || g//32*32 || ',' || b//32*32 || ')_' || case when is_dashed then 'dashed' else 'solid' end as key, count(*) as segments, min(ord) as first_ord from v_segments group by 1, 2""")
+def line_type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.line_groups(view(spark, sf_dir, "v_segments"))
+
+
+@query(ctes("v_segments") + f" select image_id, ord, {_NAME} as name from v_segments")
+def rgb_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_segments").select("image_id", "ord", exprs.rgb_name(F.col("r"), F.col("g"), F.col("b")).alias("name"))
+
+
+@query(ctes("v_segments") + f""", n as (select image_id, ord, {_NAME} as base from v_segments), k as (select *, row_number() over (partition by image_id, base order by ord) - 1 as c from n)
+    select image_id, ord, case when c = 0 then base else base || '_' || c end as label from k""")
+def legend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.legend(view(spark, sf_dir, "v_segments")).select("image_id", "ord", "label")
+
+
+@query(ctes("v_segments") + f""", l(k, label, lr, lg, lb) as (values {', '.join(f"({k}, '{n}', {r}, {g}, {b})" for k, (n, r, g, b) in enumerate(LEGEND))}),
+    d as (select image_id, ord, label, row_number() over (partition by image_id, ord order by pow(r-lr,2)+pow(g-lg,2)+pow(b-lb,2), k) as n from v_segments, l)
+    select image_id, ord, label from d where n = 1""")
+def nearest_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_segments").select("image_id", "ord", color.nearest(LEGEND, F.col("r"), F.col("g"), F.col("b")).alias("label"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_segments").withColumn("label", exprs.rgb_name(F.col("r"), F.col("g"), F.col("b")))
+
+
+_ALL = ["red_lines", "green_lines", "blue_lines", "gray_lines"]
+
+
+@query(ctes("v_segments") + f""", n as (select image_id, {_NAME} as label, count(*) as c from v_segments group by 1, 2), i as (select distinct image_id from n),
+    a as (select image_id, label from i, (values ('red_lines'), ('green_lines'), ('blue_lines'), ('gray_lines')) as v(label)), j as (select a.image_id, a.label, coalesce(c, 0) as count from a left join n using (image_id, label))
+    select image_id, label, count, round_even(100.0::double * count / sum(count) over (partition by image_id), 2) as percentage from j""")
+def cluster_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.shares(_labelled(spark, sf_dir), _ALL)
+
+
+@query(ctes("v_segments") + f""", n as (select image_id, {_NAME} as label, r, g, b from v_segments), c as (select image_id, label, floor(avg(r))::bigint as r, floor(avg(g))::bigint as g, floor(avg(b))::bigint as b from n group by 1, 2)
+    select c.image_id, c.label, c.r, c.g, c.b, count(n.r) as count, round_even(100.0::double * count(n.r) / (select count(*) from n t where t.image_id = c.image_id), 2) as percentage
+    from c left join n on n.image_id = c.image_id and n.r = c.r and n.g = c.g and n.b = c.b group by 1, 2, 3, 4, 5""")
+def exact_center_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.exact_centres(_labelled(spark, sf_dir))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 1000).cast("long")).alias("v"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    # one centre for each of the ten labels, whatever the number of points
+    centres = points.groupBy("label").agg(F.min_by("v", "vec_id").alias("v")).orderBy("label").collect()
+    return color.assigned(points, [list(r["v"]) for r in centres])
+
+
+_ASSIGNED = """with p as (select vec_id, label, list_transform(embedding[1:8], lambda x: floor(x * 1000::float)::bigint) as v from embeddings),
+    c as (select row_number() over (order by label) - 1 as k, v from (select label, arg_min(v, vec_id) as v from p group by label)),
+    d as (select vec_id, k, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))::bigint as d2 from p, c),
+    a as (select * from (select *, row_number() over (partition by vec_id order by d2, k) as n from d) where n = 1)"""
+
+
+@query(_ASSIGNED + " select vec_id, k as cluster, d2 from a")
+def kmeans_assign_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("vec_id", "cluster", "d2")
+
+
+@query(_ASSIGNED + " select k as cluster, count(*) as members, sum(d2)::bigint as inertia from a group by k")
+def kmeans_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("d2").alias("inertia"))
+
+
+_INERTIA = "with i as (select o_orderkey // 6 as image_id, 2 + o_orderkey % 6 as k, 1000 // (1 + o_orderkey % 6) + o_custkey % 200 as inertia from orders)"
+
+
+def _inertias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey div 6 as image_id", "2 + o_orderkey % 6 as k", "1000 div (1 + o_orderkey % 6) + o_custkey % 200 as inertia")
+
+
+@query(_INERTIA + """, s as (select *, lag(inertia) over (partition by image_id order by k) as b from i)
+    select image_id, coalesce(min(k) filter (where b is not null and (b = 0 or inertia / b > 0.8)) - 1, max(k)) as k from s group by 1""")
+def elbow_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.elbow(_inertias(spark, sf_dir))
+
+
+@query(_INERTIA + " select image_id, arg_min(k, (inertia, k)) as run, min(inertia) as inertia from i group by 1")
+def best_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.best_run(_inertias(spark, sf_dir).withColumnRenamed("k", "run"))
