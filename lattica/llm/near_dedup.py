@@ -17,7 +17,8 @@ connect.
 * **The rest of large regions.** Nodes of a large region that ended in other components than its main one are compared
   with all nodes of the region outside their component, so neighbourhoods bound the work, not the result.
 
-Links go through tables in the shared store; nothing but counts reaches the driver. Defined cases: null and empty texts
+Links go through tables in the shared store; nothing but counts reaches the driver. Tables that grow with the corpus are
+broadcast, or joined to components in one task, only up to a checked size. Defined cases: null and empty texts
 have an empty set and are components of their own; a row with a null doc_id has a null component_id, is kept and links
 nothing; rows that repeat are decided alike; extra columns are ignored by ``decisions`` and carried by ``kept_rows``.
 """
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import broadcast_if_small, discard, map_batches, written
+from lattica.llm.common import broadcast_if_small, map_batches, written
 
 HASHES, TREES, DEPTH, ALL, NEAR = 128, 32, 4, 9, 3
 #: A region of more nodes than this is cut one value deeper, and again at each eightfold.
 CROWDED = 512
 #: Candidate nodes are broadcast to the scan for their texts up to so many (8 bytes each); beyond, that join shuffles.
 BROADCAST_ROWS = 500_000
+#: Links are joined to components in one task up to so many (16 bytes each); beyond, in tables.
+LOCAL_EDGES = 500_000
 #: Distinct words that a worker keeps.
 WORDS = 400_000
 
@@ -191,11 +194,17 @@ def _forest(nodes: DataFrame, threshold: float) -> DataFrame:
                                "a long, b long, apart int, region long, s1 long, s2 long"), "walk")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of the nodes that edges (a, b) name; by large and small stars."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    last = None
+def components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """node, label (the least node of its component) of the nodes that edges (a, b) name, but for those least nodes.
+
+    Up to ``local_edges`` edges are joined in one task; beyond, large and small stars go on in tables until nothing changes."""
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "stars")
+    limit = LOCAL_EDGES if local_edges is None else local_edges
+    if now.limit(limit + 1).count() <= limit:
+        return map_batches(now.coalesce(1), _united, "node long, label long")
+    now, last = now.distinct(), None
     while True:
+        now = written(now, "stars")
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -205,9 +214,26 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = written(small.select("e.*").where("u <> v").distinct(), "stars")
-        discard(now)
-        now = new
+        now = small.select("e.*").where("u <> v").distinct()
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (over := up.get(x, x)) != x:
+            up[x] = x = up.get(over, over)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(u), root(v)
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    found = [(x, r) for x in up if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["node", "label"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -241,6 +267,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """pairs with la and lb, the labels of their ends."""
+    labels = broadcast_if_small(labels, BROADCAST_ROWS)
     for end in ("a", "b"):
         own = labels.select(F.col("node").alias(f"n{end}"), F.col("label").alias(f"l{end}"))
         pairs = pairs.join(own, F.col(end) == F.col(f"n{end}"), "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end)).drop(f"n{end}")
@@ -248,18 +275,18 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class _Joined:
-    """Labels of nodes, as links come in."""
+    """Labels of nodes, as links come in. A node without a label is its own."""
 
     def __init__(self, spark):
+        self.links: list[DataFrame] = []
         self.labels = spark.createDataFrame([], "node long, label long")
 
     def add(self, links: DataFrame) -> None:
-        over = components(_labelled(links, self.labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        new = over.select(F.col("node").alias("was"), F.col("label").alias("now"))
-        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-        known = self.labels.join(ends.withColumn("label", F.col("node")), "node", "full").select(
-            "node", F.coalesce(self.labels["label"], F.col("node")).alias("label"))
-        self.labels = written(known.join(new, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+        self.links.append(links)
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.union(more)
+        self.labels = written(components(every), "labels")
 
 
 def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -297,7 +324,7 @@ def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, D
             links = written(_confirmed(rest, texts, words, threshold), "links")
             if not links.isEmpty():
                 joined.add(links)
-    label = nodes.select("node", "first").join(joined.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = nodes.select("node", "first").join(broadcast_if_small(joined.labels, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     label = written(label, "named")
     first = label.groupBy("label").agg(F.min("first").alias("first"))
     return signed, written(label.select("node", "label").join(first, "label").select("node", "first"), "firsts")
@@ -305,7 +332,8 @@ def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, D
 
 def _rest(members: DataFrame, tried: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Pairs of large regions that no round has tried, of nodes in different components."""
-    rows = members.select("region", "a", "s1", "s2").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    own = broadcast_if_small(labels.withColumnRenamed("node", "a"), BROADCAST_ROWS)
+    rows = members.select("region", "a", "s1", "s2").join(own, "a", "left").withColumn("label", F.coalesce("label", "a"))
     rows = written(rows, "members")
     parts = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))

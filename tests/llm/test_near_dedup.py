@@ -86,7 +86,8 @@ def test_odd_rows(spark):
     assert decided(df.limit(0), 2) == {} and near_dedup.kept_rows(df.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_a_long_chain(spark, local):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
-    got = {r.node: r.label for r in near_dedup.components(edges).collect()}
+    got = {r.node: r.label for r in near_dedup.components(edges, local).collect()}
     assert got == {**{k: 0 for k in range(1, 61)}, 200: 100, 300: 100}
