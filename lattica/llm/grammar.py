@@ -37,29 +37,35 @@ _SLOTS = 1 << 18
 
 def _replaced(seq: np.ndarray, first: int, room: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: the new sequence, and the pairs that became the symbols first, first + 1, ..."""
-    code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    pairs, counts = np.unique(code, return_counts=True)
-    good = counts >= max(min_count, counts.max() // 4)
+    half, mixer, kind = (16, np.uint32(0x9E3779B1), np.uint32) if first + room <= 1 << 16 else (32, np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    slot_of = lambda c: ((c * mixer) >> kind(2 * half - 18)).astype(np.intp)
+    code = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
+    at = slot_of(code)
+    # A pair is no more frequent than its slot, and some pair is as frequent as the best of the fullest slot: most needn't be counted.
+    full = np.bincount(at, minlength=_SLOTS)
+    best = np.unique(code[at == full.argmax()], return_counts=True)[1].max()
+    pairs, counts = np.unique(code[(full >= max(min_count, best // 4))[at]], return_counts=True)
+    good = counts >= max(min_count, counts.max(initial=0) // 4)
     pairs, counts = pairs[good], counts[good]
-    order = np.argsort(-counts, kind="stable")[:room]
-    pairs = pairs[order]
-    slot_of = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    slot = slot_of(pairs)
-    _, free = np.unique(slot, return_index=True)  # a pair whose slot is taken waits for the next round
+    pairs = pairs[np.argsort(-counts, kind="stable")[:room]]
+    _, free = np.unique(slot_of(pairs), return_index=True)  # a pair whose slot is taken waits for the next round
     pairs = pairs[np.sort(free)]
     if not len(pairs):
         return seq, np.empty((0, 2), dtype=np.uint32)
-    table, number = np.full(_SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.uint32)
-    table[slot_of(pairs)], number[slot_of(pairs)] = pairs, np.arange(len(pairs), dtype=np.uint32) + first
-    at = slot_of(code)
-    hit = table[at] == code
-    place = np.arange(len(hit))
-    begins = hit & ~np.concatenate([[False], hit[:-1]])
-    take = hit & ((place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0)
-    where = np.flatnonzero(take)
+    number = np.full(_SLOTS, -1, dtype=np.int32)
+    number[slot_of(pairs)] = np.arange(len(pairs))
+    where = np.flatnonzero((number >= 0)[at])
+    new = number[at[where]]
+    same = pairs[new] == code[where]
+    where, new = where[same], new[same]
+    # Of pairs that overlap in a row, every second one is replaced, from the left.
+    begins = np.concatenate([[True], np.diff(where) != 1])
+    place = np.arange(len(where))
+    take = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+    where, new = where[take], new[take]
     out, keep = seq.copy(), np.ones(len(seq), dtype=bool)
-    out[where], keep[where + 1] = number[at[where]], False
-    return out[keep], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    out[where], keep[where + 1] = first + new, False
+    return out[keep], np.stack([pairs >> kind(half), pairs & kind((1 << half) - 1)], axis=1).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, symbols: int = SYMBOLS) -> bytes:
@@ -101,16 +107,21 @@ class Grammar:
         self.lengths = np.concatenate([np.ones(self.terminals, np.int64), np.frombuffer(payload, "<u4", n, at).astype(np.int64)])
         self.seq = np.frombuffer(payload, kind, m, at + 4 * n).astype(np.uint32)
         self.ends = np.cumsum(self.lengths[self.seq])
+        self.flat: np.ndarray | None = None
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        while len(seq) and (big := seq >= self.terminals).any():
-            starts = np.cumsum(1 + big) - 1 - big
-            out = np.empty(len(seq) + int(big.sum()), dtype=np.uint32)
-            out[starts[~big]] = seq[~big]
-            pairs = self.rules[seq[big] - self.terminals]
-            out[starts[big]], out[starts[big] + 1] = pairs[:, 0], pairs[:, 1]
-            seq = out
-        return seq
+        """The ids that symbols stand for, copied from the expansions of all symbols, which are made once."""
+        if self.flat is None:
+            flat, at = [np.arange(self.terminals, dtype=np.uint32)], self.terminals
+            self.begins = np.concatenate([np.arange(self.terminals), at + np.cumsum(self.lengths[self.terminals:]) - self.lengths[self.terminals:]])
+            whole: list[np.ndarray] = []
+            part = lambda x: whole[x - self.terminals] if x >= self.terminals else flat[0][x:x + 1]
+            for x, y in self.rules.tolist():
+                whole.append(np.concatenate([part(x), part(y)]))
+            self.flat = np.concatenate(flat + whole)
+        size = self.lengths[seq]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begins[seq] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self) -> np.ndarray:
         return self.expand(self.seq)
