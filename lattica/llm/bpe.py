@@ -3,9 +3,9 @@
 A vocabulary comes from a tokenizers JSON file or from a rank file. A rank file has no list of merges, so every split of
 a token into two tokens becomes a merge, in the order of the ranks, which is what merging by rank does.
 
-Texts of a batch are cut before each space that stands before a visible character, and around single line breaks. The
-split pattern never matches across these places, so a piece has the same ids wherever it stands. The library encodes
-each distinct piece of a batch once; ids of pieces are kept in a table of bounded size.
+Texts of a batch are cut before each space, and each lone line break, that stands before a visible character. The split
+pattern never matches across these places, so a piece has the same ids wherever it stands; nor does it match a letter
+with a mark after it. The library encodes each distinct piece of a batch once; ids are kept in a table of bounded size.
 
 Offsets are found from the ids: the byte length of each token gives its byte span, and counting the bytes that begin a
 character gives its character span. A token that holds part of a character spans that whole character.
@@ -31,8 +31,9 @@ from lattica.llm.common import env_threads, map_batches
 #: Distinct pieces whose ids a worker keeps (about 200 bytes each); the table is emptied when it is full.
 PIECES = 600_000
 
-RUN = re.compile(r"\s\s|\A\s|\s\Z")
 CUT = re.compile(r" (?=\S)")
+#: Marks that end a word and never share a match of the pattern with the letter before them.
+ENDS = ",.;:!?"
 
 
 def byte_characters() -> list[str]:
@@ -79,53 +80,67 @@ class Codec:
             self.bytes[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.decimal = [str(i) for i in range(size)]
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-        self.newline = b""
+        self.first: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, each by itself."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that stand after a space, many in one string: no match reaches over a cut."""
+        out = {}
+        for at in range(0, len(words), 20_000):
+            blocks = [words[k:k + 1000] for k in range(at, min(at + 20_000, len(words)), 1000)]
+            for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in block]), side="right").tolist()
+                raw = ids.tobytes()
+                out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, [0, *ends[:-1]], ends))
+        return out
 
-    def _learn(self, wanted: set[str], known: dict[str, bytes], before: str) -> None:
-        """Encode the pieces that aren't known, many in one string: matches never reach over the places of a cut."""
+    def _learn(self, wanted: set[str], first: set[str]) -> None:
+        """Words stand after a space, but for those that begin with a line break, and the first ones of texts."""
+        new = first.difference(self.first)
+        if len(self.first) + len(new) > PIECES:
+            self.first.clear()
+            new = first
+        self.first.update(zip(new, self._library(list(new))))
+        known = self.known
         new = wanted.difference(known)
         if len(known) + len(new) > PIECES:
             known.clear()
             new = wanted
-        joined = [w for w in new if before or w and not w[0].isspace() and not w[-1].isspace()]
-        between = before or "\n"
-        for at in range(0, len(joined), 20_000):
-            blocks = [joined[k:k + 1000] for k in range(at, min(at + 20_000, len(joined)), 1000)]
-            for block, e in zip(blocks, self.tokenizer.encode_batch_fast([before + between.join(b) for b in blocks], add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u4")
-                size = np.array([len(w.encode()) for w in block]) + len(between)
-                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size) - len(between) * (not before), side="right")
-                starts = np.concatenate([[0], ends[:-1] + (not before)])
-                raw = ids.tobytes()
-                known.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, starts.tolist(), ends.tolist()))
-        rest = list(new.difference(joined)) if len(joined) < len(new) else []
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        ended = [w for w in new if w[-1:] in ENDS and w[-2:-1].isalpha()]
+        whole = new.difference(ended)
+        whole.update(w[:-1] for w in ended)
+        whole = whole.difference(known)
+        lines = [w for w in whole if w[:1] == "\n"]
+        known.update(zip(lines, self._library(lines)))
+        known.update(self._spaced([w for w in whole.difference(lines) if w]))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        heads: set[str] = {"\n"}
-        tails: set[str] = set()
+        self.marks = dict(zip(ENDS, self._library(list(ENDS))))
+        first: set[str] = set()
+        wanted: set[str] = set()
         cut = []
         for text in texts:
-            if not text:
-                cut.append(None)
-                continue
-            lines = [CUT.split(text)] if RUN.search(text) else [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                heads.add(line[0])
-                tails.update(line[1:])
-            cut.append(lines)
-        self._learn(heads, self.head, "")
-        self._learn(tails, self.tail, " ")
-        head, tail, newline = self.head.__getitem__, self.tail.__getitem__, self.head["\n"]
-        out = []
-        for lines in cut:
-            parts = [] if lines is None else [head(line[0]) + b"".join(map(tail, line[1:])) for line in lines]
-            out.append(np.frombuffer(newline.join(parts), dtype="<u4"))
-        return out
+            pieces = text.replace("\n", " \n").split(" ") if text else []
+            first.update(pieces[:1])
+            wanted.update(pieces[1:])
+            cut.append(pieces)
+        # Where white space is more than lone spaces and line breaks, some piece is empty or has more of it at an end.
+        odd = {p for p in wanted | first if not (q := p[p[:1] == "\n":]) or q[0].isspace() or q[-1].isspace()}
+        if odd:
+            cut = [p if odd.isdisjoint(p) else CUT.split(t) for p, t in zip(cut, texts)]
+            first = {p[0] for p in cut if p}
+            wanted = {w for p in cut for w in p[1:]}
+        self._learn(wanted, first)
+        known = self.known.__getitem__
+        return [np.frombuffer(self.first[p[0]] + b"".join(map(known, p[1:])) if p else b"", dtype="<u4") for p in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
