@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.plans import color, geometry, pixels, resume, text  # noqa: F401 - they register their queries
+from lattica.plans import color, geometry, kernels, pixels, resume, text  # noqa: F401 - they register their queries
 from lattica.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "merge_report"
