@@ -53,7 +53,7 @@ def image_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """image_id, ord, root (the least member): components within each image, which bounds a group."""
     rows = nodes.select("image_id", F.col("ord").alias("a"), F.col("ord").alias("b")).union(edges.select("image_id", "a", "b"))
 
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -98,7 +98,7 @@ def merge_boxes(boxes: list[tuple[int, int, int, int]], threshold: float = 0.5)
 def merged_zones(rects: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, ord, x, y, w, h of merged boxes, by (y, x). The order of merging matters, so an image is one group."""
 
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         rows = pdf.sort_values("ord")[["x", "y", "width", "height"]].itertuples(index=False, name=None)
         out = sorted(merge_boxes(list(rows), threshold), key=lambda b: (b[1], b[0]))
         return pd.DataFrame([(key[0], k, *b) for k, b in enumerate(out)], columns=["image_id", "ord", "x", "y", "w", "h"])

@@ -21,7 +21,7 @@ def _by_image(spark: SparkSession, sf_dir: str, fn: Callable[[np.ndarray], list[
     """fn over each image as an array; rows get the image_id in front. An image is what one call holds."""
     names = [c.split()[0] for c in schema.split(",")]
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         img = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1, 3), np.uint8)
         img[pdf["y"], pdf["x"]] = pdf[["b", "g", "r"]].to_numpy()
         return pd.DataFrame([(key[0], *r) for r in fn(img)], columns=["image_id", *names])
