@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -88,7 +89,8 @@ def vlm_stub_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_think_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as a stream from files, through keyed state, to a table that is read again."""
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lattica-streams').rstrip('/')}/think-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-streams-")
+    base = f"{shared.rstrip('/')}/think-{uuid.uuid4().hex}"
     rows = tokens(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.col("seq").cast("long").alias("seq"), "fragment")
     rows.write.parquet(f"{base}/in")
     stream = think.pieces(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
