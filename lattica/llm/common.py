@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+    folder = tempfile.mkdtemp(prefix="lattica-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    own = f"file://{folder}"
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
