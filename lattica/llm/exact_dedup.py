@@ -27,6 +27,8 @@ from lattica.llm.common import broadcast_if_small, scratch_path, text_or_empty
 SPACE_RUN = r"(?:[\x09-\x0D]|\x20(?=[\x20\x09-\x0D]))[\x20\x09-\x0D]*"
 #: Digests with copies are broadcast up to so many rows (about 100 bytes each); beyond, the lookup shuffles.
 BROADCAST_ROWS = 200_000
+#: Groups of copies are verified in parts of about so many rows.
+PART_ROWS = 256
 
 
 def normalised(text: Column) -> Column:
@@ -57,7 +59,7 @@ class DigestIndex:
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.runs)).cast("int").alias("run"))
         runs = (rows.groupBy("run", "digest", "id").agg(F.count(F.lit(1)).alias("n"))
                 .groupBy("run", "digest").agg(*_smallest("n", "n"))
-                .repartition("run", F.substring("digest", 1, 1)).sortWithinPartitions("run", "digest"))
+                .sortWithinPartitions("run", "digest"))
         self.pending.append(self._write(runs, f"runs-{self.generation}"))
 
     def compact(self) -> None:
@@ -94,10 +96,14 @@ def _looked_up(index: DigestIndex, docs: DataFrame, id_col: str, text_col: str,
     alone = rows.where("k is null").select("row", "id", "digest", F.col("id").alias("keep_id"),
                                            F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("at_id"))
     hits = rows.where("k is not null")
-    keepers = (hits.where("id <=> keep").select(F.col("digest").alias("kept_digest"), F.col("body").alias("kept_body"))
-               .groupBy("kept_digest").agg(F.min("kept_body").alias("kept_body")))
+    # A large group is verified in parts, each with its own copy of the text that stays.
+    parts = (F.floor(F.col("rows") / PART_ROWS) + 1).cast("int")
+    keepers = (hits.where("id <=> keep").select(F.col("digest").alias("kept_digest"), F.col("body").alias("kept_body"), parts.alias("parts"))
+               .groupBy("kept_digest").agg(F.min("kept_body").alias("kept_body"), F.max("parts").alias("parts"))
+               .select("kept_digest", "kept_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("kept_part")))
+    hits = hits.withColumn("part", F.pmod(F.xxhash64("id", F.struct("row")), parts).cast("int"))
     same = F.col("body") == F.col("kept_body")
-    verified = hits.join(keepers, F.col("digest") == F.col("kept_digest")).select(
+    verified = hits.join(keepers, (F.col("digest") == F.col("kept_digest")) & (F.col("part") == F.col("kept_part"))).select(
         "row", "id", "digest", F.when(same, F.col("keep")).otherwise(F.col("id")).alias("keep_id"),
         F.when(same, F.col("rows")).otherwise(F.lit(1)).cast("long").alias("group_size"),
         F.when(same, F.col("at_id")).otherwise(F.lit(1)).cast("long").alias("at_id"))
