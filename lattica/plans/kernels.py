@@ -36,7 +36,7 @@ def _rows(gray: np.ndarray) -> list[tuple]:
 
 @query()
 def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_image(spark, sf_dir, lambda img: _rows(kernels.clahe(kernels.to_gray(img), 2.0, 4)), "y long, x long, gray long")
+    return _by_image(spark, sf_dir, lambda img: _rows(kernels.clahe(kernels.to_gray(img), 2.0, 2)), "y long, x long, gray long")
 
 
 @query()
@@ -61,12 +61,12 @@ def image_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detect_lines_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_image(spark, sf_dir, lambda img: [(k, *s) for k, s in enumerate(kernels.line_segments(kernels.to_gray(img), 10, 12, 4))], "ord long, x1 long, y1 long, x2 long, y2 long")
+    return _by_image(spark, sf_dir, lambda img: [(k, *s) for k, s in enumerate(kernels.line_segments(kernels.to_gray(img), 6, 7, 3))], "ord long, x1 long, y1 long, x2 long, y2 long")
 
 
 @query()
 def detect_shapes_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_image(spark, sf_dir, lambda img: [(k, *s.values()) for k, s in enumerate(kernels.shapes(kernels.to_gray(img), 20))],
+    return _by_image(spark, sf_dir, lambda img: [(k, *s.values()) for k, s in enumerate(kernels.shapes(kernels.to_gray(img), 10))],
                      "ord long, type string, x long, y long, width long, height long, area double, cx long, cy long")
 
 

@@ -36,8 +36,13 @@ def contrast_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_pixels").groupBy("image_id").agg(F.bround(F.stddev_pop(pixels.gray()), 6).alias("contrast_score"))
 
 
+_OFFSETS = "(values (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) as o(dy, dx)"
+
+
 def _stencil(source: str, how: str) -> str:
-    return f"select a.image_id, a.y, a.x, {how}(n.b) as b, {how}(n.g) as g, {how}(n.r) as r from {source} a join {source} n on n.image_id = a.image_id and abs(n.y-a.y) + abs(n.x-a.x) <= 1 group by 1, 2, 3"
+    """Values are moved to their neighbours' places; places outside the image have no pixel of their own."""
+    return f"""select image_id, y, x, {how}(b) as b, {how}(g) as g, {how}(r) as r from (
+        select image_id, y + dy as y, x + dx as x, b, g, r, dy = 0 and dx = 0 as own from {source}, {_OFFSETS}) group by 1, 2, 3 having bool_or(own)"""
 
 
 @query(ctes("v_pixels") + " " + _stencil("v_pixels", "min"))
@@ -50,8 +55,9 @@ def close_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.stencil(pixels.stencil(view(spark, sf_dir, "v_pixels"), ["b", "g", "r"]), ["b", "g", "r"], F.max)
 
 
-@query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, {_G} <= threshold as ink from v_pixels join t using (image_id))
-    select distinct a.image_id, a.y, a.x from i a join i n on n.image_id = a.image_id and abs(n.y-a.y) + abs(n.x-a.x) <= 1 where n.ink and not a.ink""")
+@query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, {_G} <= threshold as ink from v_pixels join t using (image_id)),
+    n as (select distinct image_id, y + dy as y, x + dx as x from i, (values (0, 1), (0, -1), (1, 0), (-1, 0)) as o(dy, dx) where ink)
+    select image_id, y, x from i semi join n using (image_id, y, x) where not ink""")
 def new_line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ink = pixels.dark(view(spark, sf_dir, "v_pixels")).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"))
     grown = pixels.stencil(ink, ["ink"], F.max).where("ink = 1").select("image_id", "y", "x")
@@ -69,12 +75,12 @@ def hsv_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.channels(view(spark, sf_dir, "v_pixels"))
 
 
-_LINES = "l as (select image_id, o as ord, (image_id*5+o*7)%32 as x1, (image_id*3+o*11)%32 as y1, (o*13+image_id)%32 as x2, (o*5+image_id*2)%32 as y2 from (select distinct image_id from v_pixels), (select unnest(range(10)) as o))"
+_LINES = "l as (select image_id, o as ord, (image_id*5+o*7)%16 as x1, (image_id*3+o*11)%16 as y1, (o*13+image_id)%16 as x2, (o*5+image_id*2)%16 as y2 from (select distinct image_id from v_pixels), (select unnest(range(10)) as o))"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = view(spark, sf_dir, "v_pixels").where("y = 0 and x = 0").select("image_id", F.explode(F.expr("sequence(0L, 9L)")).alias("ord"))
-    return ids.selectExpr("image_id", "ord", "(image_id*5+ord*7)%32 as x1", "(image_id*3+ord*11)%32 as y1", "(ord*13+image_id)%32 as x2", "(ord*5+image_id*2)%32 as y2")
+    return ids.selectExpr("image_id", "ord", "(image_id*5+ord*7)%16 as x1", "(image_id*3+ord*11)%16 as y1", "(ord*13+image_id)%16 as x2", "(ord*5+image_id*2)%16 as y2")
 
 
 def _sampled(n: int) -> str:

@@ -30,8 +30,8 @@ RAW_SQL = """select conv_id, turn, case when turn % 5 = 0 then '<think>' || left
     from conversations where role = 'assistant'"""
 PIXEL_SQL = """select p as image_id, y, x, case when dark then (p*40)%120 else 230 + (7*x+3*y+p)%20 end as b,
     case when dark then (p*23)%90 else 230 + (5*x+y+p)%20 end as g, case when dark then (p*11)%60 else 230 + (x+11*y+p)%20 end as r from (
-    select p, y, x, (x between 5 and 24 and y in (8, 20)) or (y between 8 and 20 and x in (5, 24)) or (x+y)%31 = p%31 as dark from (
-    select p_partkey as p, unnest(range(32)) as y from part where p_partkey < 16) join (select unnest(range(32)) as x) on true)"""
+    select p, y, x, (x between 2 and 12 and y in (4, 10)) or (y between 4 and 10 and x in (2, 12)) or (x+y)%15 = p%15 as dark from (
+    select p_partkey as p, unnest(range(16)) as y from part) join (select unnest(range(16)) as x) on true)"""
 
 
 def sql(name: str) -> str:
@@ -59,9 +59,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raw = F.expr("case when turn % 5 = 0 then '<think>' || left(text, 40) || text else left(text, 5) || '<think>' || left(text, 40) || '</think>' || text end")
         return read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", raw.alias("raw"))
     if name == "v_pixels":
-        grid = read(spark, sf_dir, "part").where("p_partkey < 16").select(F.col("p_partkey").alias("p"), F.explode(F.expr("sequence(0L, 31L)")).alias("y"))
-        grid = grid.select("p", "y", F.explode(F.expr("sequence(0L, 31L)")).alias("x"))
-        dark = F.expr("(x between 5 and 24 and y in (8, 20)) or (y between 8 and 20 and x in (5, 24)) or (x+y)%31 = p%31")
+        grid = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.explode(F.expr("sequence(0L, 15L)")).alias("y"))
+        grid = grid.select("p", "y", F.explode(F.expr("sequence(0L, 15L)")).alias("x"))
+        dark = F.expr("(x between 2 and 12 and y in (4, 10)) or (y between 4 and 10 and x in (2, 12)) or (x+y)%15 = p%15")
         pick = lambda a, b: F.when(dark, F.expr(a)).otherwise(F.expr(b))
         return grid.select(F.col("p").alias("image_id"), "y", "x", pick("(p*40)%120", "230 + (7*x+3*y+p)%20").alias("b"),
                            pick("(p*23)%90", "230 + (5*x+y+p)%20").alias("g"), pick("(p*11)%60", "230 + (x+11*y+p)%20").alias("r"))
