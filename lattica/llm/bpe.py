@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import env_threads, map_batches
+from lattica.llm.common import env_threads, map_batches, on_leaving
 
 #: Distinct pieces whose ids a worker keeps (about 200 bytes each); the table is emptied when it is full.
 PIECES = 600_000
@@ -165,6 +165,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str | None], Codec] = {}
+on_leaving(_codecs.clear)
 
 
 def codec(path: str, pattern: str | None = None) -> Codec:

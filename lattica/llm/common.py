@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -81,7 +82,34 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lattica.llm import common
+
+        common.entered(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+_owner = ""
+_forget: list[Callable[[], None]] = []
+
+
+def on_leaving(forget: Callable[[], None]) -> None:
+    """Register what empties a module's tables when a worker goes on to another operator."""
+    _forget.append(forget)
+
+
+def entered(owner: str) -> None:
+    """Workers are used again; tables that an operator before has filled are let go."""
+    global _owner
+    if owner != _owner:
+        for forget in _forget:
+            forget()
+        gc.collect()
+        _owner = owner
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_batches, written
+from lattica.llm.common import map_batches, on_leaving, written
 
 WINDOW, SHARE, CONSISTENT = 5, 0.5, 0.8
 #: Bits of the Bloom filter: 2 MB, whatever the benchmark's size.
@@ -75,6 +75,7 @@ class Canon(dict):
 
 
 _canon = Canon()
+on_leaving(lambda: _canon.clear())
 
 
 def tokens(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

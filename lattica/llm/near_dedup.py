@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import broadcast_if_small, map_batches, written
+from lattica.llm.common import broadcast_if_small, map_batches, on_leaving, written
 
 HASHES, TREES, DEPTH, ALL, NEAR = 128, 32, 4, 9, 3
 #: A region of more nodes than this is cut one value deeper, and again at each eightfold.
@@ -61,6 +61,7 @@ class _Words(dict):
 
 
 _words = _Words()
+on_leaving(_words.clear)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
