@@ -4,7 +4,8 @@ Words of a text become canonical tokens: numbers, names (capitalised words insid
 placeholders, all others their lower-cased letters. Windows of ``WINDOW`` tokens are hashed and joined with the windows of
 the benchmark. A second form keeps names as words, so that a copy in another case is found too. Where windows of an item
 meet a text, the values in the slots are compared: one value of the item has to be one value in the text throughout, so a
-question with other numbers or names is caught, and a chance meeting of templates isn't.
+question with other numbers or names is caught, and a chance meeting of templates isn't. An item that repeats a template
+meets a text in several ways; values are compared along one of them, and values equal to the item's are always held.
 
 A document is contaminated by an item if, within one stretch of the text of at most twice the item's length, at least
 ``SHARE`` of the item's windows are met and at least ``CONSISTENT`` of its repeated values are held.
@@ -237,11 +238,32 @@ def _met(rows: list[dict]) -> float:
                 a += 1
             if len(count) > widest:
                 widest, span = len(count), (a, b + 1)
-        if widest / n > best and _held(own[span[0]:span[1]]) >= CONSISTENT:
-            best = widest / n
+        for rows_read in _readings(own[span[0]:span[1]]):
+            share = len({r["place"] for r in rows_read}) / n
+            if share > best and _held(rows_read) >= CONSISTENT:
+                best = share
     return best
 
 
+def _readings(rows: list[dict]) -> Iterator[list[dict]]:
+    """Ways to read a stretch: all meetings; those of equal values; those along one alignment, alone and with what the others add."""
+    yield rows
+    yield [r for r in rows if r["slots"] == r["said"]]
+    lines: dict[int, list[dict]] = {}
+    for r in rows:
+        lines.setdefault(r["at"] - r["place"], []).append(r)
+    order = sorted(lines.values(), key=len, reverse=True)
+    for line in order:
+        yield line
+        places, ats, out = set(), set(), []
+        for r in (r for part in (line, *order) for r in part):  # each place of the item and of the text is read once
+            if r["place"] not in places and r["at"] not in ats:
+                places.add(r["place"])
+                ats.add(r["at"])
+                out.append(r)
+        yield out
+
+
 def _held(rows: list[dict]) -> float:
     """Of the item's values, the share that stand for one value of the text; each window's slots are one reading."""
     said: dict[str, dict[str, int]] = {}

@@ -29,6 +29,13 @@ def test_slots_must_hold(spark):
     assert decided(spark, [(1, same), (2, mixed)], [(5, item)]) == {1: [5], 2: []}
 
 
+def test_repeated_template_with_other_values(spark):
+    item = "Tom buys 3 red pens for school. Ann buys 5 red pens for school."
+    other = item.replace("3", "8").replace("5", "9")
+    apart = item.replace("school. Ann", "school. Then it rained for quite a while. Ann")
+    assert decided(spark, [(1, item), (2, other), (3, apart)], [(5, item)]) == {1: [5], 2: [5], 3: [5]}
+
+
 def test_short_items_and_empty_tables(spark):
     assert decided(spark, [(1, "x red fish swims y"), (2, "red fish")], [(1, "red fish swims")]) == {1: [1], 2: []}
     assert decided(spark, [], [(1, ITEM)]) == {}
