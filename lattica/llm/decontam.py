@@ -8,7 +8,8 @@ question with other numbers or names is caught, and a chance meeting of template
 meets a text in several ways; values are compared along one of them, and values equal to the item's are always held.
 
 A document is contaminated by an item if, within one stretch of the text of at most twice the item's length, at least
-``SHARE`` of the item's windows are met and at least ``CONSISTENT`` of its repeated values are held.
+``SHARE`` of the item's windows are met and at least ``CONSISTENT`` of its repeated values are held. Stretches are checked
+from each place of the text, and the best one that holds counts.
 
 The benchmark's window hashes go to the executors as a Bloom filter of fixed size. Windows that pass it are joined with
 the benchmark's windows by hash in Spark, which shuffles or broadcasts by size, so the benchmark may be of any size.
@@ -22,6 +23,7 @@ alike; rows with a null doc_id are decided by their text; extra columns are igno
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -222,58 +224,75 @@ def _candidates(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
 
 
 def _met(rows: list[dict]) -> float:
-    """The best share of an item's windows within a stretch of the text, if its values are held there; else 0."""
+    """The best share of an item's windows within a stretch of the text in which the item's values are held; else 0."""
     best = 0.0
     for form in {r["form"] for r in rows}:
         own = sorted((r for r in rows if r["form"] == form), key=lambda r: (r["at"], r["place"]))
         n, reach = own[0]["n_windows"], 2 * own[0]["n_words"]
+        least = max(1, math.ceil(SHARE * n))
+        lines: dict[int, list[dict]] = {}
+        for r in own:
+            lines.setdefault(r["at"] - r["place"], []).append(r)
+        widest = 0
+        for line in lines.values():
+            k = 0
+            while len(line) - k > widest and len(line) - k >= least:  # from each of its places on, while that can add
+                widest = max(widest, _held(line[k:]))
+                k += 1
         count: dict[int, int] = {}
-        a, widest, span = 0, 0, (0, 0)
-        for b, r in enumerate(own):
-            count[r["place"]] = count.get(r["place"], 0) + 1
-            while own[a]["at"] < r["at"] - reach:
+        a = b = 0
+        while a < len(own):  # each place of the text begins a stretch
+            while b < len(own) and own[b]["at"] <= own[a]["at"] + reach:
+                count[own[b]["place"]] = count.get(own[b]["place"], 0) + 1
+                b += 1
+            if len(count) > widest and len(count) >= least:
+                widest = max(widest, *map(_held, _readings(own[a:b])))
+            at = own[a]["at"]
+            while a < len(own) and own[a]["at"] == at:
                 count[own[a]["place"]] -= 1
                 if not count[own[a]["place"]]:
                     del count[own[a]["place"]]
                 a += 1
-            if len(count) > widest:
-                widest, span = len(count), (a, b + 1)
-        for rows_read in _readings(own[span[0]:span[1]]):
-            share = len({r["place"] for r in rows_read}) / n
-            if share > best and _held(rows_read) >= CONSISTENT:
-                best = share
+        best = max(best, widest / n)
     return best
 
 
 def _readings(rows: list[dict]) -> Iterator[list[dict]]:
-    """Ways to read a stretch: all meetings; those of equal values; those along one alignment, alone and with what the others add."""
+    """Ways to read a stretch: all meetings; those of equal values; and one for each place, along an alignment that begins the stretch or the longest one, then by the others."""
     yield rows
     yield [r for r in rows if r["slots"] == r["said"]]
     lines: dict[int, list[dict]] = {}
     for r in rows:
         lines.setdefault(r["at"] - r["place"], []).append(r)
     order = sorted(lines.values(), key=len, reverse=True)
-    for line in order:
-        yield line
+    for first in [order[0], *(line for line in order[1:] if line[0]["at"] == rows[0]["at"])]:
         places, ats, out = set(), set(), []
-        for r in (r for part in (line, *order) for r in part):  # each place of the item and of the text is read once
+        for r in (r for part in (first, *order) for r in part):  # each place of the item and of the text is read once
             if r["place"] not in places and r["at"] not in ats:
                 places.add(r["place"])
                 ats.add(r["at"])
                 out.append(r)
-        yield out
+        yield sorted(out, key=lambda r: r["at"])
 
 
-def _held(rows: list[dict]) -> float:
-    """Of the item's values, the share that stand for one value of the text; each window's slots are one reading."""
+def _held(rows: list[dict]) -> int:
+    """The most places of the item that a beginning of ``rows`` meets while its values stand for one value of the text each, but for a share; each window's slots are one reading."""
     said: dict[str, dict[str, int]] = {}
+    top: dict[str, int] = {}
+    places: set[int] = set()
+    most = held = total = 0
     for r in rows:
+        places.add(r["place"])
         for own, other in zip(r["slots"], r["said"]):
-            said.setdefault(own, {}).setdefault(other, 0)
-            said[own][other] += 1
-    if not said:
-        return 1.0
-    return sum(max(v.values()) for v in said.values()) / sum(sum(v.values()) for v in said.values())
+            values = said.setdefault(own, {})
+            values[other] = values.get(other, 0) + 1
+            total += 1
+            if values[other] > top.get(own, 0):
+                top[own] = values[other]
+                held += 1
+        if len(places) > most and (not total or held / total >= CONSISTENT):
+            most = len(places)
+    return most
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -36,6 +36,17 @@ def test_repeated_template_with_other_values(spark):
     assert decided(spark, [(1, item), (2, other), (3, apart)], [(5, item)]) == {1: [5], 2: [5], 3: [5]}
 
 
+def test_each_stretch_is_checked(spark):
+    item = "the sum of 7 and 7 with 7 and 7 or 7 then 7 by 7"
+    mixed = "the sum of 1 and 2 with 3 and 4 or 5 then 6 by 8"
+    far = " Other words stand here for a long while and say nothing." * 9 + " "
+    half = "we saw 4 cats run home past 4 red gates and then past 4 low walls by the sea"
+    odd = "we saw 5 cats run home past 6 red gates and then past 7 low walls by the sea"
+    docs = [(1, mixed + far + item), (2, mixed + far + item.replace("7", "31")), (3, item + far + mixed), (4, mixed + far + mixed),
+            (5, odd + far + " ".join(half.split()[:-4]))]
+    assert decided(spark, docs, [(5, item), (6, half)]) == {1: [5], 2: [5], 3: [5], 4: [], 5: [6]}
+
+
 def test_short_items_and_empty_tables(spark):
     assert decided(spark, [(1, "x red fish swims y"), (2, "red fish")], [(1, "red fish swims")]) == {1: [1], 2: []}
     assert decided(spark, [], [(1, ITEM)]) == {}
