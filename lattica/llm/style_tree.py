@@ -11,7 +11,8 @@ a node keeps in how many pages it occurs, the styles of its children there, and
   each page, but for nodes of fewer than ``PAGES`` pages, where entropy can't tell.
 
 Elements that HTML itself defines as other than content (navigation, footers, asides, forms, scripts), and classes that
-name such things, count as of no importance from the start. Where a page marks its article, the text comes from there.
+name such things, count as of no importance from the start. Where a page marks its article, the text comes from there,
+and the tree removes nothing of it: copies of a page, and headings that articles share, repeat as a template does.
 Of what is left, block elements give one line each, in page order, with character references decoded and white space
 joined.
 
@@ -65,13 +66,14 @@ ENDINGS = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "path", "aside", "main", "p_block")
+    __slots__ = ("tag", "path", "aside", "main", "article", "p_block")
 
     def __init__(self, tag: str, label: str, parent: Node | None, aside: bool):
         self.tag = tag
         self.path = f"{parent.path}>{label}" if parent else label
         self.aside = aside or bool(parent and parent.aside)
         self.main = tag in MAIN or bool(parent and parent.main)
+        self.article = tag == "article" or bool(parent and parent.article)
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str]], dict[str, list[str]]]:
@@ -202,8 +204,10 @@ def importance(pages: DataFrame) -> DataFrame:
     return nodes.select("host", "path", "pages", value.alias("importance"))
 
 
-def _removed(node: Node, low: set[str]) -> bool:
-    """Whether a branch of low importance holds the node. A marked article is more than template even where pages repeat it."""
+def _removed(node: Node, low: set[str], marked: bool) -> bool:
+    """Whether a branch of low importance holds the node. Nothing of a marked article is template, even where pages repeat it; a page without an article element marks it by its main element."""
+    if node.article or node.main and not marked:
+        return False
     chain = _chain(node.path)
     if node.main:
         at = next(k for k, path in enumerate(chain) if path.rpartition(">")[2].split(".")[0] in MAIN)
@@ -220,7 +224,8 @@ def main_text(page: str | None, low: set[str]) -> str:
     if any(n.main for n, _ in good):
         good = [(n, t) for n, t in good if n.main]
     if low:
-        kept = [(n, t) for n, t in good if not _removed(n, low)]
+        marked = any(n.article for n, _ in good)
+        kept = [(n, t) for n, t in good if not _removed(n, low, marked)]
         good = kept or good  # a page is more than its template
     return "\n".join(t for _, t in good)
 

@@ -62,6 +62,16 @@ def test_repeated_pages_keep_their_article(spark):
     assert got == {**{k: "T\nsame text" for k in range(12)}, 50: "T\nother text"}
 
 
+def test_branches_that_copies_repeat_stay(spark):
+    """100 pages, 60 of them copies whose article alone has a quote; all share a heading."""
+    for tag in ("article", "main"):
+        page = lambda k, more="": f"<div class=x1>Home of all</div><{tag}><h2>Method</h2>{''.join(f'<p>words {k} {j}</p>' for j in range(8))}{more}</{tag}><div class=x2>end</div>"
+        rows = [(k, f"http://h/{k}", page(k) if k >= 60 else page(0, "<blockquote>said once</blockquote>")) for k in range(100)]
+        got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        text = lambda k: "\n".join(["Method", *(f"words {k} {j}" for j in range(8))])
+        assert got == {k: text(k) if k >= 60 else text(0) + "\nsaid once" for k in range(100)}
+
+
 def test_kinds_of_markup():
     text = lambda s: style_tree.main_text(s, set())
     assert text("<article><p>a &amp; b&#8217;s  c\n d<script>x='</p>'</script></article>") == "a & b’s c d"
