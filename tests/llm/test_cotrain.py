@@ -33,6 +33,25 @@ def test_views_teach_each_other():
     assert right(taught) >= right(alone) - 0.03 and right(taught) > 0.75
 
 
+def test_all_unlabelled_documents_take_part():
+    """A share of the corpus is exchanged, so a rare kind of text teaches however many documents there are."""
+    rng = np.random.default_rng(2)
+    n = 20000
+    y = rng.integers(0, 2, n).astype(float)
+    views = [np.concatenate([y[:, None] * 6 + rng.normal(size=(n, 1)), rng.normal(size=(n, 3))], axis=1) for _ in (0, 1)]
+    few, pool = slice(0, 400), [v[400:] for v in views]
+    sums = []
+
+    class Counting(cotrain.Rows):
+        def sum(self, of, scaled, rounds, w):
+            if of is cotrain._added:
+                sums.append([int((~np.isnan(t)).sum()) for t in cotrain._exchanged(scaled(self.views), self.place, rounds)[1]])
+            return super().sum(of, scaled, rounds, w)
+
+    cotrain.Model([v[few] for v in views], y[few], Counting(pool))
+    assert all(0.8 * cotrain.ROUNDS * 0.05 * len(pool[0]) < x for x in sums[-1])  # 4000 and more; 1000 of each view before
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "s", "en", 0), (None, "a b", "s", None, -5), (2, "", "s", "en", 0), (3, "x " * 100000, "t", "de", 200000)],
                                  "doc_id long, text string, source string, lang string, n_chars long").selectExpr("*", "1 as y", "2 as score")
