@@ -5,17 +5,16 @@ Words are runs of other than ASCII white space, with A-Z lower-cased. A document
 with nothing. Documents are linked where 100 * intersection >= 100 * threshold * union, and components are what links
 connect.
 
-* **Nodes.** Documents with equal sets are one node; a third of all rows may share one. A node is named by a 64-bit hash
-  of its set.
+* **Nodes.** Documents with equal sets (by a 128-bit hash) are one node; a third of all rows may share one.
 * **Forest.** A node has ``HASHES`` MinHash values. Each of ``TREES`` orders sorts all nodes by its own sequence of values.
-  A region is what agrees in the first ``DEPTH`` values; where a region is crowded, its depth grows with its size. In a
-  region of up to ``ALL`` nodes all pairs are candidates, in a larger one each node with its nearest neighbours in the
-  order (those with the longest common prefixes) and with the region's first node.
-* **Confirmation.** Candidates whose 128-bit sketches speak against the threshold by more than 4.5 standard deviations are
-  left out; all others are confirmed on the whole texts, unless both nodes are connected already: first the best
+  A region is what agrees in the first ``DEPTH`` values. In a region of up to ``ALL`` nodes all pairs are candidates, in a
+  larger one each node with its neighbours in the order, those with the longest common prefix; a crowded region is cut by
+  more values, the more the larger it is, and dealt out in parts, so no task gets it whole.
+* **Confirmation.** Candidates whose 128-bit sketches speak against the threshold by more than 6 standard deviations are
+  left out; the others are confirmed on the whole texts, unless both nodes are connected already: first the best
   candidate of each node, then the best between different components, at last all between different components.
-* **The rest of large regions.** Nodes of a large region that ended in other components than its main one are compared
-  with all nodes of the region outside their component, so neighbourhoods bound the work, not the result.
+* **Clouds.** What large regions connect is a cloud. Neighbours leave links out there, so each cloud that isn't one
+  component yet is settled exactly, without comparing all its pairs. See ``_settled``.
 
 Links go through tables in the shared store; nothing but counts reaches the driver. Tables that grow with the corpus are
 broadcast, or joined to components in one task, only up to a checked size. Defined cases: null and empty texts
@@ -30,18 +29,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import broadcast_if_small, map_batches, on_leaving, written
+from lattica.llm.common import broadcast_if_small, discard, map_batches, on_leaving, written
 
-HASHES, TREES, DEPTH, ALL, NEAR = 128, 32, 4, 9, 3
-#: A region of more nodes than this is cut one value deeper, and again at each eightfold.
+HASHES, TREES, DEPTH, ALL, NEAR = 128, 32, 4, 9, 1
+#: A region of more nodes than this is cut one value deeper, and again at each eightfold, and dealt out in parts of this size.
 CROWDED = 512
 #: Candidate nodes are broadcast to the scan for their texts up to so many (8 bytes each); beyond, that join shuffles.
 BROADCAST_ROWS = 500_000
 #: Links are joined to components in one task up to so many (16 bytes each); beyond, in tables.
 LOCAL_EDGES = 500_000
+#: Shingles of clouds' middles are broadcast up to so many (8 bytes each); beyond, that join shuffles.
+BROADCAST_SHINGLES = 2_000_000
+#: In a cloud, nodes that share a shingle are compared if at most so many have it; more of them are a cloud of their own.
+HOT = 64
+#: Clouds are cut into clouds so many times; then shingles are compared however many nodes have them.
+LEVELS = 5
 #: Distinct words that a worker keeps.
 WORDS = 400_000
 
@@ -49,7 +54,9 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 #: The order of each tree: DEPTH values of its own, then DEPTH of others'.
-_ORDER = np.stack([np.concatenate([np.arange(DEPTH * t, DEPTH * t + DEPTH), _rng.permutation(np.delete(np.arange(HASHES), np.s_[DEPTH * t:DEPTH * t + DEPTH]))[:DEPTH]]) for t in range(TREES)])
+_ORDER = np.stack([np.concatenate([np.arange(DEPTH * t, DEPTH * t + DEPTH),
+                                   _rng.permutation(np.delete(np.arange(HASHES), np.s_[DEPTH * t:DEPTH * t + DEPTH]))[:DEPTH]])
+                   for t in range(TREES)])
 
 
 class _Words(dict):
@@ -84,20 +91,41 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_name(found: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """128 bits that name a set."""
+    if not len(found):
+        return None, None
+    both = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, node (null for an empty set), n_shingles, signature."""
+    """doc_id, text_key, h1 and h2 (the set's name; null for an empty set), n_shingles, signature."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
-            node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            names = [set_name(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), *[pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)],
+                pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "text_key", "node", "n_shingles", "signature"])
+                names=["doc_id", "text_key", "h1", "h2", "n_shingles", "signature"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), fn,
-                       "doc_id long, text_key long, node long, n_shingles long, signature binary")
+                       "doc_id long, text_key long, h1 long, h2 long, n_shingles long, signature binary")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """node, h1, h2, first (doc_id, text_key), signature of each distinct set. A node is called h1; sets that agree in h1 alone are called by both."""
+    sets = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature"))
+    sets = written(sets, "sets")
+    twice = written(sets.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("twice")), "twice")
+    if twice.isEmpty():
+        return sets.withColumn("node", F.col("h1"))
+    return sets.join(broadcast_if_small(twice, BROADCAST_ROWS), F.col("h1") == F.col("twice"), "left").withColumn(
+        "node", F.when(F.col("twice").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("twice")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -126,24 +154,26 @@ def _planted(nodes: DataFrame) -> DataFrame:
                 after = (after << np.uint64(16)) | (value[:, :, d] >> np.uint64(16))
             flat = lambda x: pa.array(x.reshape(-1).view(np.int64))
             wide = lambda x: pa.array(np.repeat(x, TREES))
-            yield pa.RecordBatch.from_arrays([*[flat(keys[d]) for d in (4, 5, 6, 8)], flat(after), wide(node), wide(bits[:, 0]), wide(bits[:, 1])],
-                                             names=["k4", "k5", "k6", "k8", "after", "node", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays(
+                [*[flat(keys[d]) for d in (4, 5, 6, 8)], flat(after), wide(node), wide(bits[:, 0]), wide(bits[:, 1])],
+                names=["k4", "k5", "k6", "k8", "after", "node", "s1", "s2"])
 
-    return map_batches(nodes.select("node", "signature"), fn, "k4 long, k5 long, k6 long, k8 long, after long, node long, s1 long, s2 long")
+    return map_batches(nodes.select("node", "signature"), fn,
+                       "k4 long, k5 long, k6 long, k8 long, after long, node long, s1 long, s2 long")
 
 
 def most_apart(threshold: float) -> int:
-    """The most bits in which two sketches may differ: 4.5 standard deviations over what the threshold expects."""
+    """The most bits in which two sketches may differ: 6 standard deviations over what the threshold expects."""
     p = (1 - threshold) / 2
-    return int(HASHES * p + 4.5 * np.sqrt(HASHES * p * (1 - p)))
+    return int(HASHES * p + 6 * np.sqrt(HASHES * p * (1 - p)))
 
 
 def _walk(apart: int):
-    """Candidates (region null) and the members of large regions (b null) of sorted rows, with bounded memory."""
+    """Candidates (a, b, apart) and what large regions connect (apart null) of sorted rows, with bounded memory."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 4), np.int64)  # the last rows: key, node, sketch
-        began, hub = 0, None  # rank of the first held row in its region; first row of its region
+        held = np.empty((0, 5), np.int64)  # the last rows: region, node, sketch, hub of a crowded region
+        began, first_row = 0, None  # rank of the first held row in its region; first row of its region
         for batch in batches:
             new = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             if not len(new):
@@ -152,47 +182,45 @@ def _walk(apart: int):
             fresh = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
             rank = np.arange(len(rows)) - first + np.where(first == 0, began, 0)
-            hubs = rows[first]
-            if hub is not None:
-                hubs[first == 0] = hub
+            firsts = rows[first]
+            if first_row is not None:
+                firsts[first == 0] = first_row
             out = []
             now = np.arange(len(held), len(rows))
             for lag in range(1, ALL):
                 i = now[(rank[now] >= lag) & ((rank[now] < ALL) | (lag <= NEAR))]
                 out.append((rows[i], rows[i - lag]))
-            i = now[rank[now] >= ALL]
-            out.append((rows[i], hubs[i]))
             x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-            off = np.bitwise_count((x[:, 2:] ^ y[:, 2:]).view(np.uint64)).sum(axis=1, dtype=np.int32)
+            off = np.bitwise_count((x[:, 2:4] ^ y[:, 2:4]).view(np.uint64)).sum(axis=1, dtype=np.int32)
             good = (off <= apart) & (x[:, 1] != y[:, 1])
             a, b, off = np.minimum(x[good, 1], y[good, 1]), np.maximum(x[good, 1], y[good, 1]), off[good]
             full = now[rank[now] == ALL]
-            members = np.concatenate([now[rank[now] > ALL], *[full - k for k in range(ALL + 1)]])
-            m, none = rows[members], pa.nulls
-            n, k = len(a), len(m)
+            large = np.concatenate([now[rank[now] >= ALL], *[full - k for k in range(1, ALL + 1)]])
+            large = large[rows[large, 1] == rows[large, 4]]  # a crowded region's nodes have a hub
+            crowd = now[rows[now, 1] != rows[now, 4]]
+            m = np.concatenate([rows[large, 1], rows[crowd, 1]])
+            hub = np.concatenate([firsts[large, 1], rows[crowd, 4]])
+            m, hub = m[m != hub], hub[m != hub]
             yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(a), pa.array(m[:, 1])]), pa.concat_arrays([pa.array(b), none(k, pa.int64())]),
-                pa.concat_arrays([pa.array(off), none(k, pa.int32())]), pa.concat_arrays([none(n, pa.int64()), pa.array(m[:, 0])]),
-                pa.concat_arrays([none(n, pa.int64()), pa.array(m[:, 2])]), pa.concat_arrays([none(n, pa.int64()), pa.array(m[:, 3])])],
-                names=["a", "b", "apart", "region", "s1", "s2"])
+                pa.array(np.concatenate([a, m])), pa.array(np.concatenate([b, hub])),
+                pa.concat_arrays([pa.array(off), pa.nulls(len(m), pa.int32())])], names=["a", "b", "apart"])
             keep = max(0, len(rows) - ALL)
-            began, hub, held = int(rank[keep]), hubs[keep].copy(), rows[keep:]
+            began, first_row, held = int(rank[keep]), firsts[keep].copy(), rows[keep:]
 
     return fn
 
 
 def _forest(nodes: DataFrame, threshold: float) -> DataFrame:
     rows = _planted(nodes)
-    crowd = written(rows.groupBy("k4").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWDED), "crowd")
-    crowd = broadcast_if_small(crowd.withColumnRenamed("k4", "crowd"), BROADCAST_ROWS)
+    crowd = rows.groupBy("k4").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > CROWDED)
+    crowd = broadcast_if_small(written(crowd.withColumnRenamed("k4", "crowd"), "crowd"), BROADCAST_ROWS)
     deeper = rows.join(crowd, F.col("k4") == F.col("crowd"), "left")
     size = F.col("size")
-    region = (F.when(size.isNull(), F.col("k4")).when(size <= 8 * CROWDED, F.col("k5"))
-              .when(size <= 64 * CROWDED, F.col("k6")).otherwise(F.col("k8")))
-    walked = (deeper.select(region.alias("region"), "after", "node", "s1", "s2").repartition("region")
-              .sortWithinPartitions("region", "after", "node").select("region", "node", "s1", "s2"))
-    return written(map_batches(walked, _walk(most_apart(threshold)),
-                               "a long, b long, apart int, region long, s1 long, s2 long"), "walk")
+    cut = F.when(size <= 8 * CROWDED, F.col("k5")).when(size <= 64 * CROWDED, F.col("k6")).otherwise(F.col("k8"))
+    part = F.when(size.isNull(), F.col("k4")).otherwise(F.xxhash64(cut, F.pmod(F.col("node"), F.ceil(size / CROWDED))))
+    walked = (deeper.select(part.alias("part"), "after", "node", "s1", "s2", F.coalesce("hub", "node").alias("hub"))
+              .repartition("part").sortWithinPartitions("part", "after", "node").select("part", "node", "s1", "s2", "hub"))
+    return written(map_batches(walked, _walk(most_apart(threshold)), "a long, b long, apart int"), "walk")
 
 
 def components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
@@ -203,9 +231,12 @@ def components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     limit = LOCAL_EDGES if local_edges is None else local_edges
     if now.limit(limit + 1).count() <= limit:
         return map_batches(now.coalesce(1), _united, "node long, label long")
-    now, last = now.distinct(), None
+    last, before = None, now
+    now = now.distinct()
     while True:
         now = written(now, "stars")
+        discard(before)
+        before = now
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -214,7 +245,8 @@ def components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(low, "u").select(F.explode(F.array(
+            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = small.select("e.*").where("u <> v").distinct()
 
 
@@ -266,15 +298,6 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs with la and lb, the labels of their ends."""
-    labels = broadcast_if_small(labels, BROADCAST_ROWS)
-    for end in ("a", "b"):
-        own = labels.select(F.col("node").alias(f"n{end}"), F.col("label").alias(f"l{end}"))
-        pairs = pairs.join(own, F.col(end) == F.col(f"n{end}"), "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end)).drop(f"n{end}")
-    return pairs
-
-
 class _Joined:
     """Labels of nodes, as links come in. A node without a label is its own."""
 
@@ -283,74 +306,222 @@ class _Joined:
         self.labels = spark.createDataFrame([], "node long, label long")
 
     def add(self, links: DataFrame) -> None:
+        """links: a written table (a, b)."""
+        if links.isEmpty():
+            return
         self.links.append(links)
         every = self.links[0]
         for more in self.links[1:]:
             every = every.union(more)
-        self.labels = written(components(every), "labels")
+        old, self.labels = self.labels, written(components(every), "labels")
+        if len(self.links) > 1:
+            discard(old)
+
+    def of(self, rows: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+        """rows with the label of a node column."""
+        own = broadcast_if_small(self.labels, BROADCAST_ROWS).select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        out = rows.join(own, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node))
+        return out.drop("_n", "_l")
 
 
 def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and node, first (doc_id, text_key) of its component."""
-    spark = docs.sparkSession
+    """The signed rows, and h1, h2, first (doc_id, text_key) of its component, of each node."""
     signed = written(_signed(docs, words), "signed")
-    nodes = written(signed.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature")), "nodes")
+    nodes = written(_nodes(signed), "nodes")
     walk = _forest(nodes, threshold)
-    cand = written(walk.where("b is not null").groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
-    joined = _Joined(spark)
-    if not cand.isEmpty():
-        named = cand.select(F.col("a").alias("node")).union(cand.select(F.col("b").alias("node")))
-        named = named.union(walk.where("b is null").select(F.col("a").alias("node"))).distinct()
-        firsts = written(nodes.join(named, "node").select("node", F.col("first.doc_id").alias("want"), F.col("first.text_key").alias("want_key")), "firsts")
+    cand = written(walk.where("apart is not null").groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+    cloud = written(components(walk.where("apart is null").select("a", "b").distinct()), "clouds")
+    discard(walk)
+    cloud = cloud.select("node", F.col("label").alias("cloud"))
+    cloud = written(cloud.union(cloud.select("cloud", "cloud").distinct()), "clouds")
+    joined = _Joined(docs.sparkSession)
+    if not cand.isEmpty() or not cloud.isEmpty():
+        named = cand.select(F.col("a").alias("node")).union(cand.select("b")).union(cloud.select("node")).distinct()
+        firsts = nodes.join(named, "node").select("node", F.col("first.doc_id").alias("want"), F.col("first.text_key").alias("want_key"))
+        firsts = written(firsts, "firsts")
         found = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text").join(
             broadcast_if_small(firsts, BROADCAST_ROWS), (F.col("id") == F.col("want")) & (F.col("key") == F.col("want_key")))
         texts = written(found.dropDuplicates(["node"]).select("node", "text"), "texts")
-        left, rounds = cand, 0
-        while True:
-            rounds += 1
-            n = left.count()
-            if not n:
-                break
-            pick = left.select("a", "b") if rounds > 3 or n <= 2000 else _best(left)
-            pick = written(pick, "pick")
-            links = written(_confirmed(pick, texts, words, threshold), "links")
-            if not links.isEmpty():
-                joined.add(links)
-            if rounds > 3 or n <= 2000:
-                break
-            left = written(_labelled(left.join(pick, ["a", "b"], "left_anti"), joined.labels).where("la <> lb").select("a", "b", "apart"), "left")
-        rest = written(_rest(walk.where("b is null"), cand, joined.labels, threshold), "rest")
-        if not rest.isEmpty():
-            links = written(_confirmed(rest, texts, words, threshold), "links")
-            if not links.isEmpty():
-                joined.add(links)
-    label = nodes.select("node", "first").join(broadcast_if_small(joined.labels, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    label = written(label, "named")
-    first = label.groupBy("label").agg(F.min("first").alias("first"))
-    return signed, written(label.select("node", "label").join(first, "label").select("node", "first"), "firsts")
-
-
-def _rest(members: DataFrame, tried: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of large regions that no round has tried, of nodes in different components."""
-    own = broadcast_if_small(labels.withColumnRenamed("node", "a"), BROADCAST_ROWS)
-    rows = members.select("region", "a", "s1", "s2").join(own, "a", "left").withColumn("label", F.coalesce("label", "a"))
-    rows = written(rows, "members")
-    parts = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
-    mixed = main.where("labels > 1").select("region", F.col("m.label").alias("main"))
-    others = rows.join(mixed, "region").where("label <> main").select("region", F.col("a").alias("x"), F.col("label").alias("lx"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("x1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("x2"))) <= most_apart(threshold)
-    pairs = others.join(rows, "region").where((F.col("lx") != F.col("label")) & near)
-    return (pairs.select(F.least("x", "a").alias("a"), F.greatest("x", "a").alias("b")).distinct()
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        _tried(cand, cloud, texts, joined, words, threshold)
+        _settled(cloud, texts, joined, words, threshold)
+        discard(texts)
+    discard(cand)
+    label = written(joined.of(nodes.select("node", "h1", "h2", "first")), "named")
+    first = written(label.groupBy("label").agg(F.min("first").alias("first")), "first")  # by itself, so that a join with a large component can be split
+    return signed, written(label.select("h1", "h2", "label").join(first, "label").select("h1", "h2", "first"), "firsts")
+
+
+def _tried(cand: DataFrame, cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, threshold: float) -> None:
+    """Confirm candidates: the best of each node, twice; then all that still lie between components, but for pairs of one cloud."""
+    left = cand
+    for turn in range(4):
+        few = left.limit(2001).count() <= 2000
+        pick = written(left.select("a", "b") if few or turn == 3 else _best(left), "pick")
+        links = written(_confirmed(pick, texts, words, threshold), "links")
+        joined.add(links)
+        if few or turn == 3:
+            return
+        open_pairs = left
+        if turn == 0:
+            for end in ("a", "b"):
+                own = broadcast_if_small(cloud, BROADCAST_ROWS).select(F.col("node").alias(f"n{end}"), F.col("cloud").alias(f"c{end}"))
+                open_pairs = open_pairs.join(own, F.col(end) == F.col(f"n{end}"), "left")
+            open_pairs = open_pairs.where("ca is null or cb is null or ca <> cb").select("a", "b", "apart")
+        open_pairs = joined.of(joined.of(open_pairs, "a", "la"), "b", "lb").where("la <> lb")
+        before, left = left, written(open_pairs.join(pick, ["a", "b"], "left_anti").select("a", "b", "apart"), "left")
+        if turn:
+            discard(before)
+        discard(pick)
+
+
+def _settled(cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, threshold: float) -> None:
+    """Find all links between different components of one cloud (node, cloud).
+
+    A cloud's *middle* is the set of shingles that more than half of its nodes have. A node x differs from the middle by
+    the shingles D(x) that it adds or lacks, and the sets of x and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles.
+    With p the threshold in percent and e(x) = (100 + p) |D(x)| - (100 - p) |x|, x and y are linked exactly if
+    e(x) + e(y) <= 2 (100 + p) |D(x) & D(y)|.
+
+    * The node of the least e is the cloud's hub. Every y with e(y) + e(hub) <= 0 is linked with it, whatever they share.
+    * Any other y can't be linked with an x that differs from the middle in other shingles than y. So the two share
+
+      - a shingle that both add and that is among the rarest of each (a prefix filter: of n shingles, p percent have to be
+        shared, so a shared one is among the rarest n - p n / 100 + 1, in one order for all), or
+      - no shingle that both add: then they share no more than what the smaller one has of the middle, which has to do, and
+        both lack a shingle. Few nodes pass that; the shingles that they lack are joined by a prefix filter as well.
+
+      Pairs that share such a shingle are compared by what they add and lack.
+    * A shingle that more than ``HOT`` nodes add is the mark of a group with a middle of its own. Nodes that such shingles
+      connect are a cloud on the next level."""
+    p = round(100 * threshold)
+    for level in range(LEVELS):
+        rows = joined.of(cloud)
+        mixed = rows.groupBy("cloud").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+        mixed = written(mixed.select("cloud", "m"), "mixed")
+        if mixed.isEmpty():
+            return
+        small = broadcast_if_small(mixed, BROADCAST_ROWS)
+        rows = written(cloud.join(small, "cloud").join(texts, "node").select("cloud", "node", "text"), "members")
+        counts = written(_counted(rows, words).groupBy("cloud", "g").agg(F.sum("n").alias("n")), "counts")
+        middle = counts.join(small, "cloud").where("2 * n > m").groupBy("cloud").agg(F.collect_list("g").alias("middle"))
+        middle = written(middle, "middle")
+        size = middle.agg(F.sum(F.size("middle"))).first()[0] or 0
+        rows = rows.join(F.broadcast(middle) if size <= BROADCAST_SHINGLES else middle, "cloud", "left")
+        apart = written(_compared(rows, words, p), "apart")
+        hub = F.min(F.struct("e", "node")).alias("hub")
+        hubs = broadcast_if_small(written(apart.groupBy("cloud").agg(hub), "hubs"), BROADCAST_ROWS)
+        star = apart.join(hubs, "cloud").where("e + hub.e <= 0 and node <> hub.node")
+        joined.add(written(star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "links"))
+        known = joined.of(joined.of(apart.join(hubs, "cloud").withColumn("_h", F.col("hub.node"))), "_h", "main")
+        known = known.withColumn("far", F.expr("e + hub.e > 0 and label <> main"))
+        known = written(known.select("cloud", "node", "label", "far", "size", "e", "own", F.size("added").alias("n_added"),
+                                     F.size("lacked").alias("n_lacked"), "middle_size", "added", "lacked"), "known")
+        open_clouds = known.groupBy("cloud").agg(F.max("far").alias("open")).where("open").select("cloud")
+        open_clouds = written(open_clouds, "open")
+        if open_clouds.isEmpty():
+            return
+        known = known.join(broadcast_if_small(open_clouds, BROADCAST_ROWS), "cloud")
+        pairs, hot = _sharing(known, counts, p, level == LEVELS - 1)
+        pairs = written(pairs.union(_lacking(known, p)).distinct(), "pairs")
+        side = lambda s: known.select(F.col("node").alias(s), F.col("e").alias(f"e{s}"), F.col("added").alias(f"added_{s}"),
+                                      F.col("lacked").alias(f"lacked_{s}"), F.col("cloud"))
+        shared = F.size(F.array_intersect("added_a", "added_b")) + F.size(F.array_intersect("lacked_a", "lacked_b"))
+        met = pairs.join(side("a"), ["cloud", "a"]).join(side("b"), ["cloud", "b"]).where(F.col("ea") + F.col("eb") <= 2 * (100 + p) * shared)
+        joined.add(written(met.select("a", "b"), "links"))
+        if level == LEVELS - 1:
+            return
+        again = written(components(hot), "clouds").select("node", F.col("label").alias("cloud"))
+        again = again.union(again.select("cloud", "cloud").distinct())
+        for table in (mixed, counts, middle, apart, pairs):
+            discard(table)
+        cloud = written(again, "clouds")
+        if cloud.isEmpty():
+            return
+
+
+def _counted(rows: DataFrame, words: int) -> DataFrame:
+    """cloud, shingle g and the number of nodes that have it, added up within each batch."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[int, list[np.ndarray]] = {}
+            for cloud, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(cloud, []).append(shingles(text, words))
+            for cloud, sets in by.items():
+                g, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), cloud, np.int64)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))],
+                                                 names=["cloud", "g", "n"])
+
+    return map_batches(rows.select("cloud", "text"), fn, "cloud long, g long, n long")
+
+
+def _compared(rows: DataFrame, words: int, p: int) -> DataFrame:
+    """What each node adds to its cloud's middle, what it lacks of it (both ascending), what it has (own), and e."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, middle in zip(batch.column(2).to_pylist(), batch.column(3)):
+                found = shingles(text, words).view(np.int64)
+                middle = np.asarray(middle.values) if middle.is_valid else np.empty(0, np.int64)
+                added, lacked = np.setdiff1d(found, middle, True), np.setdiff1d(middle, found, True)
+                e = (100 + p) * (len(added) + len(lacked)) - (100 - p) * len(found)
+                out.append((len(found), e, len(found) - len(added), len(middle), np.sort(added), np.sort(lacked)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array([x[k] for x in out], pa.int64()) for k in range(4)],
+                 *[pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (4, 5)]],
+                names=["cloud", "node", "size", "e", "own", "middle_size", "added", "lacked"])
+
+    return map_batches(rows.select("cloud", "node", "text", "middle"), fn,
+                       "cloud long, node long, size long, e long, own long, middle_size long, added array<long>, lacked array<long>")
+
+
+def _met(rows: DataFrame, which) -> DataFrame:
+    """Pairs (cloud, a < b) of rows that share a shingle g, one of them far, of different components, where ``which`` of both holds."""
+    one, two = rows.where("far").alias("x"), rows.alias("y")
+    once = F.expr("not y.far or x.node < y.node")
+    pairs = one.join(two, (F.col("x.cloud") == F.col("y.cloud")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & once & which)
+    return pairs.select("x.cloud", F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _sharing(known: DataFrame, counts: DataFrame, p: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share one of their rarest shingles that isn't the middle's; and what shingles of many nodes connect (a, b)."""
+    each = known.select("cloud", "node", "label", "far", "size", "own", "n_added", F.explode("added").alias("g")).join(counts, ["cloud", "g"])
+    rank = F.row_number().over(Window.partitionBy("cloud", "node").orderBy("n", "g"))
+    prefix = F.col("size") - F.ceil(F.col("size") * p / 100) + 1
+    rare = each.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("n") > 1))
+    rare = written(rare.select("cloud", "g", "n", "node", "label", "far", "size", "own", "n_added"), "rare")
+    most = F.least("x.own", "y.own") + F.least("x.n_added", "y.n_added")
+    which = (100 + p) * most >= p * (F.col("x.size") + F.col("y.size"))
+    if last:
+        return _met(rare, which), rare.sparkSession.createDataFrame([], "a long, b long")
+    often = F.col("n") > HOT
+    marks = rare.where(often).groupBy("cloud", "g").agg(F.min("node").alias("b"), F.max("far").alias("open")).where("open")
+    hot = rare.where(often).join(marks.select("cloud", "g", "b"), ["cloud", "g"]).select(F.col("node").alias("a"), "b").distinct()
+    return _met(rare.where(~often), which), hot
+
+
+def _lacking(known: DataFrame, p: int) -> DataFrame:
+    """Pairs that may be linked without a shingle that both add: what the smaller one has of the middle has to do."""
+    size = known.groupBy("cloud").agg(F.min("size").alias("least"))
+    some = known.join(broadcast_if_small(written(size, "sizes"), BROADCAST_ROWS), "cloud").where((100 + p) * F.col("own") >= p * (F.col("size") + F.col("least")))
+    # of the middle, x and y both lack at least need(x) + need(y) - |middle| shingles
+    some = some.withColumn("need", F.ceil(F.col("size") * p / (100 + p)) - 1 + F.col("n_lacked"))
+    some = written(some.select("cloud", "node", "label", "far", "size", "own", "n_lacked", "middle_size", "need", "lacked"), "some")
+    need = some.groupBy("cloud").agg(F.min("need").alias("any"), F.min(F.when(F.col("far"), F.col("need"))).alias("far_need")).where("far_need is not null")
+    some = some.join(broadcast_if_small(written(need, "need"), BROADCAST_ROWS), "cloud")
+    other = F.when(F.col("far"), F.col("any")).otherwise(F.col("far_need"))
+    prefix = (F.col("n_lacked") - F.greatest(F.lit(1), F.col("need") + other - F.col("middle_size")) + 1).cast("int")
+    each = some.where(prefix > 0).select("cloud", "node", "label", "far", "size", "own", F.explode(F.slice("lacked", F.lit(1), prefix)).alias("g"))
+    which = (100 + p) * F.least("x.own", "y.own") >= p * (F.col("x.size") + F.col("y.size"))
+    return _met(each, which)
 
 
 def decisions(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     signed, firsts = _linked(docs, words, threshold)
     # the names of nodes without an id or a set are their own: they join with nothing
-    rows = signed.select("doc_id", "node", "n_shingles").join(firsts.select("node", F.col("first.doc_id").alias("least")), "node", "left")
+    rows = signed.select("doc_id", "h1", "h2", "n_shingles").join(firsts.select("h1", "h2", F.col("first.doc_id").alias("least")), ["h1", "h2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
@@ -358,7 +529,7 @@ def decisions(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFr
 def kept_rows(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The first document of each component, with all its columns."""
     signed, firsts = _linked(docs, words, threshold)
-    gone = signed.select("doc_id", "text_key", "node").where("doc_id is not null").join(firsts, "node").where(
+    gone = signed.select("doc_id", "text_key", "h1", "h2").where("doc_id is not null").join(firsts, ["h1", "h2"]).where(
         "doc_id <> first.doc_id or text_key <> first.text_key").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key"))
     gone = broadcast_if_small(written(gone.distinct(), "gone"), BROADCAST_ROWS)
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64("text") == F.col("_key")), "left_anti")

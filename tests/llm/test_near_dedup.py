@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lattica.llm import near_dedup, queries
@@ -73,6 +74,66 @@ def test_families_of_near_copies(spark, monkeypatch, crowded):
     assert decided(df, 2) == brute(rows, 2)
 
 
+def brute_matrix(rows, n, percent=80):
+    """The same for a group whose members all share shingles: all pairs by one product."""
+    sets = [shingle_set(t, n) for _, t in rows]
+    seen = {}
+    for s in sets:
+        for g in s:
+            seen[g] = seen.get(g, 0) + 1
+    place = {g: k for k, g in enumerate(g for g, c in seen.items() if c > 1)}
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[g] for g in s if g in place]] = 1
+    both, size = has @ has.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    label = np.full(len(rows), -1)
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        if label[k] < 0:
+            todo, label[k] = [k], rows[k][0]
+            while todo:
+                new = np.flatnonzero(linked[todo.pop()] & (label < 0))
+                label[new] = rows[k][0]
+                todo += new.tolist()
+    return {d: (int(size[k]), int(label[k])) for k, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("hot,levels", [(64, 5), (8, 5), (4, 2)])
+def test_a_group_of_2000_near_copies(spark, monkeypatch, hot, levels):
+    """Copies just under and just over the threshold, copies of a copy, cut ones and an absent original."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    vocabulary = [word() for _ in range(300)]
+    base = [word() for _ in range(120)]
+    other = base[:80] + [word() for _ in range(40)]
+    texts = []
+    for k in range(2000):
+        copy = list(base if k % 3 else other)
+        for _ in range(rng.choice([1, 4, 5, 6, 7, 7, 8, 9, 14])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        if k % 11 == 0:
+            del copy[rng.randrange(60, 110):]
+        if k % 13 == 0:
+            at = rng.randrange(100)
+            del copy[at:at + rng.randrange(1, 9)]
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = brute_matrix(rows, 2)
+    groups = {c for _, c in want.values()}
+    assert 100 < len(groups) < 1500
+    assert decided(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2) == want
+
+
+def test_sets_that_agree_in_half_their_names(spark):
+    rows = [(k, 0, 5, h2, 3, b"x") for k, h2 in enumerate([7, 8, 7])] + [(9, 0, 6, 7, 3, b"x"), (10, 0, None, None, 0, None)]
+    signed = spark.createDataFrame(rows, "doc_id long, text_key long, h1 long, h2 long, n_shingles long, signature binary")
+    got = {(r.h1, r.h2): (r.node, r.first.doc_id) for r in near_dedup._nodes(signed).collect()}
+    assert got[6, 7] == (6, 9) and got[5, 7][1] == 0 and got[5, 8][1] == 1 and len({n for n, _ in got.values()}) == 3
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b c"), (7, "A  b\tc"), (8, "é É"), (9, "É é"), (10, "x " * 5000), (11, "x x"), (6, "a b c")]
     df = spark.createDataFrame([*rows, (None, "a b c")], "doc_id long, text string").selectExpr("*", "1 as node", "'x' as a")
