@@ -6,6 +6,7 @@ a token into two tokens becomes a merge, in the order of the ranks, which is wha
 Texts of a batch are cut before each space, and each lone line break, that stands before a visible character. The split
 pattern never matches across these places, so a piece has the same ids wherever it stands; nor does it match a letter
 with a mark after it. The library encodes each distinct piece of a batch once; ids are kept in a table of bounded size.
+A word of letters alone is one match of the pattern, so the library gets such words without having to search for it.
 
 Offsets are found from the ids: the byte length of each token gives its byte span, and counting the bytes that begin a
 character gives its character span. A token that holds part of a character spans that whole character.
@@ -32,8 +33,10 @@ from lattica.llm.common import env_threads, map_batches, on_leaving
 PIECES = 600_000
 
 CUT = re.compile(r" (?=\S)")
-#: Marks that end a word and never share a match of the pattern with the letter before them.
-ENDS = ",.;:!?"
+#: ASCII marks that never share a match of the pattern with a letter (an apostrophe may). A run of them is one match.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this are letters in any version of Unicode that a library may have.
+LATIN = "\u02b0"
 
 
 def byte_characters() -> list[str]:
@@ -68,6 +71,15 @@ def json_tokenizer(path: str):
     return out
 
 
+def plain_tokenizer(tokenizer):
+    """The same model for words of visible byte characters between spaces."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(tokenizer.model)
+    out.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+    return out
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes. Built once a worker; see ``codec``."""
 
@@ -82,6 +94,9 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.plain = plain_tokenizer(tokenizer)
+        self.visible = dict(enumerate(byte_characters()))
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces, each by itself."""
@@ -99,6 +114,20 @@ class Codec:
                 out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, [0, *ends[:-1]], ends))
         return out
 
+    def _lettered(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of letters that stand after a space, many in one string of visible byte characters."""
+        out = {}
+        for at in range(0, len(words), 20_000):
+            blocks = [words[k:k + 1000] for k in range(at, min(at + 20_000, len(words)), 1000)]
+            space = self.visible[32]
+            shown = [[space + w if w.isascii() else space + w.encode().decode("latin-1").translate(self.visible) for w in b] for b in blocks]
+            for block, chars, e in zip(blocks, shown, self.plain.encode_batch_fast([" ".join(x) for x in shown], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c) for c in chars]), side="right").tolist()
+                raw = ids.tobytes()
+                out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, [0, *ends[:-1]], ends))
+        return out
+
     def _learn(self, wanted: set[str], first: set[str]) -> None:
         """Words stand after a space, but for those that begin with a line break, and the first ones of texts."""
         new = first.difference(self.first)
@@ -111,19 +140,25 @@ class Codec:
         if len(known) + len(new) > PIECES:
             known.clear()
             new = wanted
-        ended = [w for w in new if w[-1:] in ENDS and w[-2:-1].isalpha()]
-        whole = new.difference(ended)
-        whole.update(w[:-1] for w in ended)
+        ended = [(w, stem) for w in new if w[-1:] in MARKS and (stem := w.rstrip(MARKS)).isalpha()]
+        runs = {w[len(stem):] for w, stem in ended}.difference(self.marks)
+        if len(self.marks) + len(runs) > PIECES // 10:
+            self.marks.clear()
+            runs = {w[len(stem):] for w, stem in ended}
+        self.marks.update(zip(runs, self._library(list(runs))))
+        whole = new.difference([w for w, _ in ended])
+        whole.update([stem for _, stem in ended])
         whole = whole.difference(known)
         lines = [w for w in whole if w[:1] == "\n"]
         known.update(zip(lines, self._library(lines)))
-        known.update(self._spaced([w for w in whole.difference(lines) if w]))
-        for w in ended:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        letters = [w for w in whole if w.isalpha() and (w.isascii() or max(w) < LATIN)]
+        known.update(self._lettered(letters))
+        known.update(self._spaced([w for w in whole.difference(lines, letters) if w]))
+        for w, stem in ended:
+            known[w] = known[stem] + self.marks[w[len(stem):]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        self.marks = dict(zip(ENDS, self._library(list(ENDS))))
         first: set[str] = set()
         wanted: set[str] = set()
         cut = []

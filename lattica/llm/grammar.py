@@ -2,12 +2,13 @@
 
 Documents are encoded in ascending order of doc_id, each followed by an end id. A *shard* holds about ``SHARD_IDS`` ids.
 Within a shard, frequent pairs of neighbouring symbols are replaced by a new nonterminal, round after round: each round
-counts all pairs, takes those with at least a quarter of the largest count (and ``MIN_COUNT``), and replaces their
-occurrences from left to right. What is stored: the rules, the length of each rule's expansion, and the remaining
-sequence. With the expansion lengths, any range of ids is decoded from the symbols that cover it alone.
+counts all pairs, takes those with at least ``SHARE`` of the largest count (and ``MIN_COUNT``), and replaces their
+occurrences from left to right, until no pair stands ``MIN_COUNT`` times. What is stored: the rules, the length of each
+rule's expansion, and the remaining sequence. With the expansion lengths, any range of ids is decoded from the symbols
+that cover it alone, and only the rules that these use are looked at.
 
 Shards are rows of a Parquet table in the shared store: ``part`` and ``shard`` (their order is the order of the ids),
-``doc_ids``, ``counts`` and ``payload``. The rounds and the limit on rules only bear on how small the files are.
+``doc_ids``, ``counts`` and ``payload``. Symbols take 16 bits, or 32 in a shard that has more than 65536 of them.
 
 Defined cases: a null text counts as empty, so its document is the end id alone; null doc_ids come first; rows with the
 same doc_id are ordered by a hash of their text; extra columns are ignored; an empty table gives no shards.
@@ -28,26 +29,24 @@ from lattica.llm import bpe
 from lattica.llm.common import map_batches, scratch_path
 
 SHARD_IDS = 1 << 20
-ROUNDS, MIN_COUNT = 6, 8
-#: Terminals and nonterminals together fit 16 bits.
-SYMBOLS = 1 << 16
+SHARE, MIN_COUNT = 1 / 16, 8
 MAGIC = b"RPG1"
 _SLOTS = 1 << 18
 
 
-def _replaced(seq: np.ndarray, first: int, room: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+def _replaced(seq: np.ndarray, first: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: the new sequence, and the pairs that became the symbols first, first + 1, ..."""
-    half, mixer, kind = (16, np.uint32(0x9E3779B1), np.uint32) if first + room <= 1 << 16 else (32, np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    half, mixer, kind = (16, np.uint32(0x9E3779B1), np.uint32) if first <= 1 << 16 else (32, np.uint64(0x9E3779B97F4A7C15), np.uint64)
     slot_of = lambda c: ((c * mixer) >> kind(2 * half - 18)).astype(np.intp)
     code = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
     at = slot_of(code)
     # A pair is no more frequent than its slot, and some pair is as frequent as the best of the fullest slot: most needn't be counted.
     full = np.bincount(at, minlength=_SLOTS)
     best = np.unique(code[at == full.argmax()], return_counts=True)[1].max()
-    pairs, counts = np.unique(code[(full >= max(min_count, best // 4))[at]], return_counts=True)
-    good = counts >= max(min_count, counts.max(initial=0) // 4)
+    pairs, counts = np.unique(code[(full >= max(min_count, int(best * SHARE)))[at]], return_counts=True)
+    good = counts >= max(min_count, int(counts.max(initial=0) * SHARE))
     pairs, counts = pairs[good], counts[good]
-    pairs = pairs[np.argsort(-counts, kind="stable")[:room]]
+    pairs = pairs[np.argsort(-counts, kind="stable")]
     _, free = np.unique(slot_of(pairs), return_index=True)  # a pair whose slot is taken waits for the next round
     pairs = pairs[np.sort(free)]
     if not len(pairs):
@@ -68,14 +67,11 @@ def _replaced(seq: np.ndarray, first: int, room: int, min_count: int) -> tuple[n
     return out[keep], np.stack([pairs >> kind(half), pairs & kind((1 << half) - 1)], axis=1).astype(np.uint32)
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, symbols: int = SYMBOLS) -> bytes:
+def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> bytes:
     """The grammar of a sequence of ids below ``terminals``."""
     seq, rules = np.asarray(ids, dtype=np.uint32), np.empty((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
-        room = symbols - terminals - len(rules)
-        if room <= 0 or len(seq) < 2 * min_count:
-            break
-        seq, new = _replaced(seq, terminals + len(rules), room, min_count)
+    while len(seq) > min_count:
+        seq, new = _replaced(seq, terminals + len(rules), min_count)
         if not len(new):
             break
         rules = np.concatenate([rules, new])
@@ -109,22 +105,29 @@ class Grammar:
         self.ends = np.cumsum(self.lengths[self.seq])
         self.flat: np.ndarray | None = None
 
-    def expand(self, seq: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for, copied from the expansions of all symbols, which are made once."""
+    def ids(self) -> np.ndarray:
+        """All ids, copied from the expansions of all symbols, which are made once."""
         if self.flat is None:
-            flat, at = [np.arange(self.terminals, dtype=np.uint32)], self.terminals
-            self.begins = np.concatenate([np.arange(self.terminals), at + np.cumsum(self.lengths[self.terminals:]) - self.lengths[self.terminals:]])
-            whole: list[np.ndarray] = []
-            part = lambda x: whole[x - self.terminals] if x >= self.terminals else flat[0][x:x + 1]
+            at = self.terminals
+            self.begins = np.concatenate([np.arange(at), at + np.cumsum(self.lengths[at:]) - self.lengths[at:]])
+            own, whole = np.arange(at, dtype=np.uint32), []
+            part = lambda x: whole[x - at] if x >= at else own[x:x + 1]
             for x, y in self.rules.tolist():
                 whole.append(np.concatenate([part(x), part(y)]))
-            self.flat = np.concatenate(flat + whole)
-        size = self.lengths[seq]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.begins[seq] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            self.flat = np.concatenate([own, *whole])
+        size = self.lengths[self.seq]
+        return self.flat[np.repeat(self.begins[self.seq] - (self.ends - size), size) + np.arange(int(self.ends[-1]) if len(size) else 0)]
 
-    def ids(self) -> np.ndarray:
-        return self.expand(self.seq)
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for; each pass replaces the nonterminals that are left by their rules."""
+        while (more := seq >= self.terminals).any():
+            at = np.cumsum(1 + more) - 1 - more
+            out = np.empty(len(seq) + int(more.sum()), np.uint32)
+            out[at[~more]] = seq[~more]
+            rule = self.rules[seq[more] - self.terminals]
+            out[at[more]], out[at[more] + 1] = rule[:, 0], rule[:, 1]
+            seq = out
+        return seq
 
     def slice(self, start: int, end: int) -> np.ndarray:
         """The ids from start up to end, from the symbols that cover them."""

@@ -94,7 +94,38 @@ def test_grammar_random_and_smaller():
     ids = rng.zipf(1.4, 20000).clip(1, 399).astype(np.uint32)
     packed = grammar.compress(ids, 400)
     assert (grammar.Grammar(packed).ids() == ids).all() and len(packed) < 2 * len(ids)
-    assert (grammar.Grammar(grammar.compress(ids, 400, symbols=1 << 20)).ids() == ids).all()
+    wide = grammar.Grammar(grammar.compress(ids, 65530))  # more than 65536 symbols
+    assert len(wide.rules) > 6 and (wide.ids() == ids).all() and (wide.slice(700, 9000) == ids[700:9000]).all()
+
+
+@pytest.mark.parametrize("ids", [[1, 2] * 500, [1] * 3000, list(range(300)) * 70, [5, 5, 6] * 999])
+def test_grammar_goes_on_until_no_pair_is_frequent(ids):
+    g = grammar.Grammar(grammar.compress(np.array(ids, dtype=np.uint32), 400, min_count=4))
+    seq = g.seq.tolist()
+    counts, k = {}, 0
+    while k + 1 < len(seq):  # without overlaps
+        pair = (seq[k], seq[k + 1])
+        counts[pair] = counts.get(pair, 0) + 1
+        k += 2 if seq[k] == seq[k + 1] else 1
+    assert max(counts.values(), default=0) < 2 * 4 and g.ids().tolist() == ids
+    lengths = grammar.expansion_lengths(g.rules, 400)
+    assert lengths.tolist() == g.lengths.tolist() and int(lengths[g.seq].sum()) == len(ids)
+
+
+def test_slice_looks_at_covering_symbols_only():
+    ids = np.random.default_rng(4).zipf(1.3, 50_000).clip(1, 399).astype(np.uint32)
+    g = grammar.Grammar(grammar.compress(ids, 400))
+    seen = []
+    whole, g.expand = g.expand, lambda seq: seen.append(len(seq)) or whole(seq)
+    assert (g.slice(20_000, 20_010) == ids[20_000:20_010]).all() and max(seen) <= 10 and g.flat is None
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d")], "doc_id long, text string")
+    got = bpe.digests(df, RANKS, P.PATTERN).collect()
+    assert len(got) == 3 and len(set(map(tuple, got))) == 2
+    read = grammar.read_documents(spark, grammar.write_shards(df, P.path("byte_bpe_50k.json"))).collect()
+    assert sorted(tuple(r) for r in read) == brute_shards([(1, "a b c"), (1, "a b c"), (2, "d")])
 
 
 def brute_shards(docs):
