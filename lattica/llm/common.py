@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts differ in length by orders of magnitude, so Arrow batches are kept to this many rows.
-ARROW_ROWS = 1000
+#: Texts differ in length by orders of magnitude, so Arrow batches are kept to this many rows, and to this many bytes
+#: unless one row has more.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -78,10 +80,12 @@ def discard(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ARROW_ROWS rows."""
+    """``mapInArrow`` with batches of at most ARROW_ROWS rows and ARROW_BYTES bytes."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most, usual in (("maxRecordsPerBatch", ARROW_ROWS, 10_000), ("maxBytesPerBatch", ARROW_BYTES, 64 << 20)):
+        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}", str(usual))))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     owner = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
