@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from lattica.functions import exprs
 
 
-def endpoint_edges(segments: DataFrame, reach: int = 15) -> DataFrame:
-    """image_id, a, b (a < b): segments with two end points nearer than ``reach``."""
+def endpoint_edges(segments: DataFrame, reach: int = 15, once: bool = True) -> DataFrame:
+    """image_id, a, b (a < b): segments with two end points nearer than ``reach``; without ``once``, a pair may come once for each two such points.
+
+    A point meets the points of its own cell and of the four cells that follow; the other four meet it."""
     ends = segments.select("image_id", "ord", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
-    cell = lambda c: F.floor(c / reach)
-    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
-    a = ends.select("image_id", F.col("ord").alias("a"), F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), near.alias("d"))
-    a = a.select("image_id", "a", "ax", "ay", (cell(F.col("ax")) + F.col("d.i")).alias("cx"), (cell(F.col("ay")) + F.col("d.j")).alias("cy"))
-    b = ends.select("image_id", F.col("ord").alias("b"), F.col("p.x").alias("bx"), F.col("p.y").alias("by"), cell(F.col("p.x")).alias("cx"), cell(F.col("p.y")).alias("cy"))
+    ends = ends.select("image_id", "ord", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.floor(F.col("p.x") / reach).alias("cx"), F.floor(F.col("p.y") / reach).alias("cy"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    a = ends.select("image_id", F.col("ord").alias("oa"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", ahead.alias("d"))
+    a = a.select("image_id", "oa", "ax", "ay", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), ((F.col("d.i") == 0) & (F.col("d.j") == 0)).alias("same"))
+    b = ends.select("image_id", F.col("ord").alias("ob"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, ["image_id", "cx", "cy"]).where((F.col("a") < F.col("b")) & (dx * dx + dy * dy < reach * reach)).select("image_id", "a", "b").distinct()
+    other = F.when(F.col("same"), F.col("oa") < F.col("ob")).otherwise(F.col("oa") != F.col("ob"))
+    met = a.join(b, ["image_id", "cx", "cy"]).where(other & (dx * dx + dy * dy < reach * reach)).select("image_id", F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
+    return met.distinct() if once else met
 
 
 def box_edges(boxes: DataFrame, reach: int, condition: Column, cell: int = 64, extra: list[Column] | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.images import Grid, by_image
+
 #: Hue ranges (hue 0-179, saturation and value 0-255) by label.
 HSV_RANGES = [("red_low", 0, 10), ("red_high", 170, 179), ("orange", 11, 25), ("yellow", 26, 35), ("green", 36, 85), ("cyan", 86, 100), ("blue", 101, 130), ("purple", 131, 160), ("magenta", 161, 169)]
 LEAST_S, LEAST_V = 70, 50
@@ -32,12 +36,27 @@ def dark(pixels: DataFrame) -> DataFrame:
     return pixels.join(otsu(pixels), "image_id").withColumn("ink", gray() <= F.col("threshold"))
 
 
-def stencil(pixels: DataFrame, columns: list[str], how=F.min, offsets=CROSS) -> DataFrame:
-    """The least (or other) value of each pixel's neighbourhood; neighbours outside the image don't count."""
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
-    moved = pixels.select("image_id", "y", "x", *columns, near.alias("d"))
-    spread = moved.select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), *columns, ((F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("own"))
-    return spread.groupBy("image_id", "y", "x").agg(F.max("own").alias("own"), *[how(c).alias(c) for c in columns]).where("own").drop("own")
+def stencil(pixels: DataFrame, columns: list[str], *hows: str, offsets=CROSS) -> DataFrame:
+    """The least (``min``) or largest (``max``) value of each pixel's neighbourhood, one step after another; neighbours outside the
+    image don't count. Other columns stay."""
+    steps = [{"min": np.minimum, "max": np.maximum}[how] for how in hows]
+
+    def fn(table: pa.Table) -> pa.Table:
+        image, y, x = (table.column(c).to_numpy() for c in ("image_id", "y", "x"))
+        grid = Grid(image, y, x)
+        near = [grid.find(image, y + dy, x + dx) for dy, dx in offsets if (dy, dx) != (0, 0)]
+        for c in columns:
+            value = table.column(c).to_numpy()
+            for step in steps:
+                out = value.copy()
+                for there, row in near:
+                    out = np.where(there, step(out, value[row]), out)
+                value = out
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(value, table.schema.field(c).type))
+        return table
+
+    first = pixels.select("image_id", *[c for c in pixels.columns if c != "image_id"])
+    return by_image(first, ["y", "x"], fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema))
 
 
 def hsv() -> dict[str, Column]:
@@ -52,30 +71,61 @@ def hsv() -> dict[str, Column]:
 
 def channels(pixels: DataFrame) -> DataFrame:
     """image_id, channel, y, x: pixels of each colour range; both ends of red are one channel, and empty channels don't appear."""
-    ranges = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in HSV_RANGES])
+    name = F
+    for label, low, high in HSV_RANGES:  # they don't overlap
+        name = name.when(F.col("h").between(low, high), "red" if label.startswith("red_") else label)
     rows = pixels.withColumns(hsv()).where((F.col("s") >= LEAST_S) & (F.col("v") >= LEAST_V))
-    met = F.explode(F.filter(ranges, lambda x: (F.col("h") >= x["lo"]) & (F.col("h") <= x["hi"])))
-    named = rows.select("image_id", "y", "x", met.alias("m")).withColumn("channel", F.when(F.col("m.n").startswith("red_"), "red").otherwise(F.col("m.n")))
-    return named.select("image_id", "channel", "y", "x").distinct()
+    return rows.select("image_id", name.alias("channel"), "y", "x").where("channel is not null")
+
+
+def _along(lines: DataFrame, pixels: DataFrame, values: list[str], n: int, fn, schema: str) -> DataFrame:
+    """fn(line rows, whether a point has a pixel (lines × n), values of its pixel) for n evenly spaced points of each line; lines and pixels of an
+    image meet in one call."""
+    whole = lambda *cs: [F.col(c).cast("long").alias(a) for c, a in cs]
+    none = lambda *cs: [F.lit(0).cast("long").alias(c) for c in cs]
+    image = F.col("image_id").cast("long").alias("image_id")
+    points = pixels.select(image, F.lit(0).alias("kind"), *whole(("y", "y"), ("x", "x")), *none("ord", "y2", "x2"), *[F.col(v).cast("long").alias(v) for v in values])
+    ends = lines.select(image, F.lit(1).alias("kind"), *whole(("y1", "y"), ("x1", "x"), ("ord", "ord"), ("y2", "y2"), ("x2", "x2")), *none(*values))
+    step = np.arange(n)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = {c: table.column(c).to_numpy() for c in table.column_names}
+        pixel, line = (np.flatnonzero(at["kind"] == k) for k in (0, 1))
+        grid = Grid(*(at[c][pixel] for c in ("image_id", "y", "x")))
 
+        def way(a: str, b: str) -> np.ndarray:
+            first, last = at[a][line][:, None], at[b][line][:, None]
+            num = first * (n - 1) + step * (last - first)
+            return np.sign(num) * (np.abs(num) // (n - 1))
 
-def samples(lines: DataFrame, pixels: DataFrame, n: int) -> DataFrame:
-    """lines with i, b, g, r at n evenly spaced points, by a join on the point."""
-    at = lambda a, b: F.expr(f"transform(sequence(0, {n - 1}), i -> ({a} * {n - 1} + i * ({b} - {a})) div {n - 1})")
-    points = lines.select("image_id", "ord", F.posexplode(F.arrays_zip(at("x1", "x2").alias("x"), at("y1", "y2").alias("y"))).alias("i", "p"))
-    return points.select("image_id", "ord", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(pixels, ["image_id", "y", "x"])
+        there, row = grid.find(np.repeat(at["image_id"][line][:, None], n, 1), way("y", "y2"), way("x", "x2"))
+        got = {v: np.where(there, at[v][pixel][row], 0) if len(pixel) else np.zeros(there.shape, np.int64) for v in values}
+        some = there.any(axis=1)
+        return fn({c: at[c][line][some] for c in ("image_id", "ord")}, there[some], {v: x[some] for v, x in got.items()})
+
+    return by_image(points.unionByName(ends), ["kind", "y", "x"], run, schema)
 
 
 def mean_colours(lines: DataFrame, pixels: DataFrame, n: int = 20) -> DataFrame:
     """The mean colour of n points of each line, cut to integers."""
-    mean = lambda c: F.floor(F.avg(c)).cast("long").alias(c)
-    return samples(lines, pixels, n).groupBy("image_id", "ord").agg(mean("r"), mean("g"), mean("b"))
+
+    def fn(line: dict, there: np.ndarray, got: dict) -> pa.Table:
+        count = there.sum(axis=1)
+        return pa.table({**line, **{c: got[c].sum(axis=1) // count for c in ("r", "g", "b")}})
+
+    return _along(lines, pixels, ["r", "g", "b"], n, fn, "image_id long, ord long, r long, g long, b long")
 
 
 def dashes(lines: DataFrame, pixels: DataFrame, n: int = 40, least: int = 6) -> DataFrame:
     """How often the gray of n points changes its side of their mean; a line of at least six changes is dashed."""
-    w = Window.partitionBy("image_id", "ord")
-    # the sum and the count keep the comparison with the mean exact
-    side = samples(lines, pixels, n).withColumn("gray", gray()).withColumn("side", F.signum(F.col("gray") * F.count(F.lit(1)).over(w) - F.sum("gray").over(w)))
-    changed = side.withColumn("turn", (F.col("side") != F.lag("side").over(w.orderBy("i"))).cast("long"))
-    return changed.groupBy("image_id", "ord").agg(F.coalesce(F.sum("turn"), F.lit(0)).alias("changes")).withColumn("is_dashed", F.col("changes") >= least)
+
+    def fn(line: dict, there: np.ndarray, got: dict) -> pa.Table:
+        # the sum and the count keep the comparison with the mean exact
+        side = np.sign(got["gray"] * there.sum(axis=1)[:, None] - got["gray"].sum(axis=1)[:, None])
+        of, at = np.nonzero(there)
+        said = side[of, at]
+        turn = (of[1:] == of[:-1]) & (said[1:] != said[:-1])
+        changes = np.bincount(of[1:][turn], minlength=len(there)).astype(np.int64)
+        return pa.table({**line, "changes": changes, "is_dashed": changes >= least})
+
+    return _along(lines, pixels.select("image_id", "y", "x", gray().alias("gray")), ["gray"], n, fn, "image_id long, ord long, changes long, is_dashed boolean")

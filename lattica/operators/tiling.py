@@ -62,16 +62,24 @@ def tiles(images: DataFrame, overlap: float) -> DataFrame:
     return both.select("image_id", "row_no", "col_no", (F.col("row_no") * F.col("cols") + F.col("col_no")).alias("ord"), "x", "y", "width", "height")
 
 
-def adjacent(grid: DataFrame) -> DataFrame:
-    """Tiles with their right and lower neighbours, and the rectangle that both cover."""
-    to = F.explode(F.array(F.struct(F.col("row_no").alias("row_b"), (F.col("col_no") + 1).alias("col_b")), F.struct((F.col("row_no") + 1).alias("row_b"), F.col("col_no").alias("col_b"))))
-    a = grid.select("image_id", F.struct("row_no", "col_no", "x", "y", "width", "height").alias("a"), to.alias("to")).select("image_id", "a", "to.*")
-    b = grid.select("image_id", F.col("row_no").alias("row_b"), F.col("col_no").alias("col_b"), F.struct("x", "y", "width", "height").alias("b"))
-    low = lambda p, s: F.least(F.col(f"a.{p}") + F.col(f"a.{s}"), F.col(f"b.{p}") + F.col(f"b.{s}"))
-    x, y = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
+def _with_next(axis: Column) -> Column:
+    """Each position of an axis with the one after it, null after the last."""
+    return F.transform(axis, lambda p, k: F.struct(p.alias("own"), F.get(axis, k + 1).alias("next")))
+
+
+def adjacent(images: DataFrame, overlap: float) -> DataFrame:
+    """Tiles of an image of w × h pixels in rows × cols with their right and lower neighbours, and the rectangle that both cover. All follows from the axes of one row."""
+    down = images.withColumn("across", _with_next(exprs.axis_positions(F.col("w"), F.col("cols"), overlap)))
+    down = down.select("image_id", "across", F.explode(_with_next(exprs.axis_positions(F.col("h"), F.col("rows"), overlap))).alias("v"))
+    cells = down.select("image_id", "v", F.explode("across").alias("u"))
+    pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+    near = F.filter(F.array(pair("v.own", "u.next"), pair("v.next", "u.own")), lambda p: p["v"].isNotNull() & p["u"].isNotNull())
+    both = cells.select("image_id", F.col("v.own").alias("va"), F.col("u.own").alias("ua"), F.explode(near).alias("b")).select("image_id", "va", "ua", F.col("b.v").alias("vb"), F.col("b.u").alias("ub"))
+    start = lambda a: F.greatest(F.col(f"{a}a.origin"), F.col(f"{a}b.origin"))
+    end = lambda a: F.least(*[F.col(f"{a}{k}.origin") + F.col(f"{a}{k}.size") for k in "ab"])
     zero = F.lit(0).cast("long")
-    return a.join(b, ["image_id", "row_b", "col_b"]).select("image_id", F.col("a.row_no").alias("row_a"), F.col("a.col_no").alias("col_a"), "row_b", "col_b", x.alias("x"), y.alias("y"),
-                                                            F.greatest(zero, low("x", "width") - x).alias("width"), F.greatest(zero, low("y", "height") - y).alias("height"))
+    return both.select("image_id", F.col("va.i").alias("row_a"), F.col("ua.i").alias("col_a"), F.col("vb.i").alias("row_b"), F.col("ub.i").alias("col_b"),
+                       start("u").alias("x"), start("v").alias("y"), F.greatest(zero, end("u") - start("u")).alias("width"), F.greatest(zero, end("v") - start("v")).alias("height"))
 
 
 def zones(rects: DataFrame, image_area: Column) -> DataFrame:

@@ -32,7 +32,7 @@ def connection_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     select image_id, count(distinct root) as connections from (select image_id, ord, min(root) as root from reach group by 1, 2) group by 1""")
 def connection_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = view(spark, sf_dir, "v_segments")
-    return graph.image_components(segments, graph.endpoint_edges(segments)).groupBy("image_id").agg(F.countDistinct("root").alias("connections"))
+    return graph.image_components(segments, graph.endpoint_edges(segments, once=False)).groupBy("image_id").agg(F.countDistinct("root").alias("connections"))
 
 
 @query(ctes("v_texts") + """ select l.image_id, l.ord as a, r.ord as b from v_texts l join v_texts r on l.image_id = r.image_id and l.ord < r.ord
@@ -124,17 +124,16 @@ def axis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TILES = f"""{_IM}, ax as ({_axis('w', 'cols')}), ay as ({_axis('h', 'rows')}),
-    tiles as (select ay.image_id, ay.i as row_no, ax.i as col_no, ax.origin as x, ay.origin as y, ax.size as width, ay.size as height from ax join ay using (image_id))"""
+    tiles as materialized (select ay.image_id, ay.i as row_no, ax.i as col_no, ax.origin as x, ay.origin as y, ax.size as width, ay.size as height from ax join ay using (image_id))"""
 
 
-def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = view(spark, sf_dir, "v_images").withColumn("rows", 1 + F.col("image_id") % 4).withColumn("cols", 1 + F.col("image_id") % 5)
-    return tiling.tiles(images, 0.25)
+def _gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_images").withColumn("rows", 1 + F.col("image_id") % 4).withColumn("cols", 1 + F.col("image_id") % 5)
 
 
 @query(ctes("v_images") + f", {_TILES} select image_id, row_no, col_no, row_number() over (partition by image_id order by row_no, col_no) - 1 as ord, x, y, width, height from tiles")
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark, sf_dir)
+    return tiling.tiles(_gridded(spark, sf_dir), 0.25)
 
 
 _PAIRS = """pairs as (select a.image_id, a.row_no as row_a, a.col_no as col_a, b.row_no as row_b, b.col_no as col_b, greatest(a.x, b.x) as x, greatest(a.y, b.y) as y,
@@ -144,12 +143,12 @@ _PAIRS = """pairs as (select a.image_id, a.row_no as row_a, a.col_no as col_a, b
 
 @query(ctes("v_images") + f", {_TILES}, {_PAIRS} select image_id, row_a, col_a, row_b, col_b from pairs")
 def tile_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.adjacent(_tiles(spark, sf_dir)).select("image_id", "row_a", "col_a", "row_b", "col_b")
+    return tiling.adjacent(_gridded(spark, sf_dir), 0.25).select("image_id", "row_a", "col_a", "row_b", "col_b")
 
 
 @query(ctes("v_images") + f", {_TILES}, {_PAIRS} select * from pairs")
 def tile_overlap_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.adjacent(_tiles(spark, sf_dir))
+    return tiling.adjacent(_gridded(spark, sf_dir), 0.25)
 
 
 @query(ctes("v_images") + """ select image_id, round_even(w * (1024.0::double / greatest(w, h)), 0)::bigint as global_w, round_even(h * (1024.0::double / greatest(w, h)), 0)::bigint as global_h,

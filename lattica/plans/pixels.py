@@ -47,21 +47,21 @@ def _stencil(source: str, how: str) -> str:
 
 @query(ctes("v_pixels") + " " + _stencil("v_pixels", "min"))
 def erode_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.stencil(view(spark, sf_dir, "v_pixels"), ["b", "g", "r"])
+    return pixels.stencil(view(spark, sf_dir, "v_pixels"), ["b", "g", "r"], "min")
 
 
 @query(ctes("v_pixels") + f", e as ({_stencil('v_pixels', 'min')}) " + _stencil("e", "max"))
 def close_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.stencil(pixels.stencil(view(spark, sf_dir, "v_pixels"), ["b", "g", "r"]), ["b", "g", "r"], F.max)
+    return pixels.stencil(view(spark, sf_dir, "v_pixels"), ["b", "g", "r"], "min", "max")
 
 
 @query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, {_G} <= threshold as ink from v_pixels join t using (image_id)),
     n as (select distinct image_id, y + dy as y, x + dx as x from i, (values (0, 1), (0, -1), (1, 0), (-1, 0)) as o(dy, dx) where ink)
     select image_id, y, x from i semi join n using (image_id, y, x) where not ink""")
 def new_line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ink = pixels.dark(view(spark, sf_dir, "v_pixels")).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"))
-    grown = pixels.stencil(ink, ["ink"], F.max).where("ink = 1").select("image_id", "y", "x")
-    return grown.join(ink.where("ink = 1"), ["image_id", "y", "x"], "left_anti")
+    ink = pixels.dark(view(spark, sf_dir, "v_pixels")).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"), "ink")
+    ink = ink.toDF("image_id", "y", "x", "grown", "ink")
+    return pixels.stencil(ink, ["grown"], "max").where("grown = 1 and not ink").select("image_id", "y", "x")
 
 
 _HSV = """c as (select *, greatest(r,g,b) as v, greatest(r,g,b) - least(r,g,b) as d from v_pixels),
