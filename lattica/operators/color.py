@@ -21,6 +21,22 @@ def legend(clusters: DataFrame) -> DataFrame:
     return named.withColumn("before", before).withColumn("label", F.when(F.col("before") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("before").cast("string")))).drop("base", "before")
 
 
+def with_rgb(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Legend entries (image_id, ord, label) with their cluster's colour; black where there is no such cluster."""
+    colours = clusters.select("image_id", "ord", "r", "g", "b")
+    return entries.select("image_id", "ord", "label").join(colours, ["image_id", "ord"], "left").fillna(0, ["r", "g", "b"])
+
+
+def by_count(found: DataFrame) -> DataFrame:
+    """found (image_id, ord, count, ...) with ``place``: the most frequent cluster first, the earlier one of equals."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("count"), "ord")) - 1)
+
+
+def coloured(lines: DataFrame) -> DataFrame:
+    """Lines that have a colour: ``color_rgb``, or else ``color`` (structs); black is one."""
+    return lines.withColumn("rgb", F.coalesce("color_rgb", "color")).where("rgb is not null")
+
+
 def nearest(entries: list[tuple[str, int, int, int]], r: Column, g: Column, b: Column) -> Column:
     """The label of the nearest entry of a legend, the first on a tie; null for an empty legend."""
     if not entries:

@@ -118,8 +118,8 @@ def thickness(mask: np.ndarray) -> float:
     return float(mask.sum()) / line if line else 1.0
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 8-connected regions, in reading order; 0 outside. Runs of rows are joined where they touch."""
+def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Labels from 1 of connected regions, in reading order; 0 outside. Runs of rows are joined where they touch, with ``diagonal`` at a corner too."""
     h, w = mask.shape
     p = np.pad(mask.astype(np.int8), ((0, 0), (1, 1)))
     edge = np.diff(p, axis=1)
@@ -137,7 +137,7 @@ def components(mask: np.ndarray) -> np.ndarray:
     for y in range(1, h):
         i, j = int(first[y - 1]), int(first[y])
         while i < first[y] and j < first[y + 1]:
-            if start[i] <= end[j] and start[j] <= end[i]:
+            if start[i] < end[j] + diagonal and start[j] < end[i] + diagonal:
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
             if end[i] < end[j]:
@@ -160,6 +160,18 @@ def regions(labels: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def outer(mask: np.ndarray) -> np.ndarray:
+    """Labels of the regions that the outside of the image reaches: those within a hole of another one go."""
+    labels = components(mask)
+    free = np.pad(~mask.astype(bool), 1, constant_values=True)
+    outside = components(free, diagonal=False)
+    reached = _around(np.pad(outside == outside[0, 0], 0), np.logical_or, False)[1:-1, 1:-1]
+    seen = np.unique(labels[reached & (labels > 0)])
+    keep = np.zeros(int(labels.max(initial=0)) + 1, np.int32)
+    keep[seen] = np.arange(1, len(seen) + 1)
+    return keep[labels]
+
+
 def text_density(mask: np.ndarray) -> float:
     """The share of an image in small, evenly sided regions."""
     total = mask.size
@@ -304,10 +316,10 @@ def simplified(path: list[tuple[int, int]], tolerance: float) -> list[tuple[int,
     return [path[k] for k in sorted(keep)]
 
 
-def shapes(gray: np.ndarray, min_area: float = 500, max_area: float = float("inf")) -> list[dict]:
-    """Outer outlines of edges with their type, box, area and centre."""
+def contours(gray: np.ndarray, sigma: float) -> list[dict]:
+    """Outer outlines of the edges of a blurred image: path, box, area, length and centre (by moments; of the box without an area)."""
     found = []
-    labels = components(dilated(edges(blurred(gray, 1.1).astype(np.uint8))))
+    labels = outer(dilated(edges(blurred(gray, sigma).astype(np.uint8))))
     for k, (x, y, w, h, _) in enumerate(regions(labels), 1):
         path = outline(labels == k)
         if len(path) < 3:
@@ -315,11 +327,224 @@ def shapes(gray: np.ndarray, min_area: float = 500, max_area: float = float("inf
         pts = np.array(path, float)
         nxt = np.roll(pts, -1, axis=0)
         cross = pts[:, 0] * nxt[:, 1] - nxt[:, 0] * pts[:, 1]
-        area, around = abs(cross.sum()) / 2, float(np.hypot(*(nxt - pts).T).sum())
-        if not min_area <= area <= max_area:
-            continue
-        corners = len(simplified(path, 0.02 * around))
-        kind = "rectangle" if corners == 4 else "circle" if around and 4 * np.pi * area / around**2 > 0.75 else "polygon"
-        centre = ((pts + nxt) * cross[:, None]).sum(0) / (3 * cross.sum()) if cross.sum() else pts.mean(0)
-        found.append({"type": kind, "x": x, "y": y, "width": w, "height": h, "area": round(float(area), 2), "cx": int(centre[0]), "cy": int(centre[1])})
+        centre = ((pts + nxt) * cross[:, None]).sum(0) / (3 * cross.sum()) if cross.sum() else np.array([x + w // 2, y + h // 2])
+        found.append({"path": path, "x": x, "y": y, "width": w, "height": h, "area": abs(float(cross.sum())) / 2,
+                      "around": float(np.hypot(*(nxt - pts).T).sum()), "cx": int(centre[0]), "cy": int(centre[1])})
+    return found
+
+
+def _box(c: dict) -> dict:
+    return {**{k: c[k] for k in ("x", "y", "width", "height")}, "area": round(c["area"], 2)}
+
+
+def shapes(gray: np.ndarray, min_area: float = 500, max_area: float = float("inf")) -> list[dict]:
+    """Outer outlines with their type, box, area and centre."""
+    found = []
+    for c in contours(gray, 1.1):
+        if min_area <= c["area"] <= max_area:
+            corners = len(simplified(c["path"], 0.02 * c["around"]))
+            round_ = c["around"] and 4 * np.pi * c["area"] / c["around"] ** 2 > 0.75
+            kind = "rectangle" if corners == 4 else "circle" if round_ else "polygon"
+            found.append({"type": kind, **_box(c), "cx": c["cx"], "cy": c["cy"]})
     return found
+
+
+def rectangles(gray: np.ndarray, min_area: float = 500) -> list[dict]:
+    """Boxes and areas of outlines of four corners, found with twice the tolerance of ``shapes``."""
+    return [_box(c) for c in contours(gray, 1.1) if c["area"] >= min_area and len(simplified(c["path"], 0.04 * c["around"])) == 4]
+
+
+def icons(gray: np.ndarray, min_area: float = 100, max_area: float = 5000) -> list[dict]:
+    """Boxes, areas and centres of small outlines, less blurred."""
+    return [{**_box(c), "cx": c["cx"], "cy": c["cy"]} for c in contours(gray, 0.8) if min_area <= c["area"] <= max_area]
+
+
+def along(img: np.ndarray, x1: int, y1: int, x2: int, y2: int, n: int = 20) -> np.ndarray:
+    """The values at n evenly spaced points from one end to the other, cut to pixels and kept inside the image."""
+    xs, ys = (np.linspace(a, b, n).astype(int) for a, b in ((x1, x2), (y1, y2)))
+    return img[np.clip(ys, 0, img.shape[0] - 1), np.clip(xs, 0, img.shape[1] - 1)]
+
+
+def described_lines(img: np.ndarray, min_length: int = 30, votes: int = 50, max_gap: int = 10) -> list[dict]:
+    """Segments with length, angle (0 to 90), mean red, green and blue along them, and whether they are dashed."""
+    colour = img if img.ndim == 3 else np.repeat(img[:, :, None], 3, axis=2)
+    gray, found = to_gray(img), []
+    for x1, y1, x2, y2 in line_segments(gray, min_length, votes, max_gap):
+        mean = along(colour, x1, y1, x2, y2).mean(axis=0).astype(int)
+        side = np.sign((s := along(gray, x1, y1, x2, y2, 40).astype(float)) - s.mean())
+        found.append({"x1": x1, "y1": y1, "x2": x2, "y2": y2, "length": round(float(np.hypot(x2 - x1, y2 - y1)), 2),
+                      "angle": round(float(np.degrees(np.arctan2(abs(y2 - y1), abs(x2 - x1)))), 2),
+                      "r": int(mean[2]), "g": int(mean[1]), "b": int(mean[0]), "is_dashed": int(np.count_nonzero(np.diff(side))) >= 6})
+    return found
+
+
+def clustered_colours(points: np.ndarray, k: int | None = None) -> list[dict]:
+    """Centres of a list of colours, cut to integers; without k, the last k from 2 at which inertia falls enough. Each with the number of points that
+    equal it, by that number."""
+    points = np.asarray(points, float).reshape(-1, 3)
+    if not len(points):
+        return []
+    k = 1 if len(points) < 2 else min(k or distinct_colours(points, sample=len(points)), len(points))
+    centres = kmeans(points, k)[0].astype(int) if len(points) > 1 else points.astype(int)
+    rows = [{"r": int(c[0]), "g": int(c[1]), "b": int(c[2]), "count": int((points == c).all(1).sum())} for c in centres]
+    return sorted([{**r, "percentage": round(100 * r["count"] / len(points), 2)} for r in rows], key=lambda r: -r["count"])
+
+
+def ellipse(size: int) -> np.ndarray:
+    """A structuring element: rows as wide as an ellipse in a square; a cross for 3."""
+    r = size // 2
+    out = np.zeros((size, size), bool)
+    for y in range(size):
+        if abs(y - r) <= r:
+            reach = int(round(r * np.sqrt(max(0.0, (r * r - (y - r) ** 2) / (r * r))))) if r else 0
+            out[y, max(r - reach, 0):min(r + reach + 1, size)] = True
+    return out
+
+
+def _spread(x: np.ndarray, element: np.ndarray, how, outside) -> np.ndarray:
+    r = element.shape[0] // 2
+    p = np.pad(x, [(r, r)] * 2 + [(0, 0)] * (x.ndim - 2), constant_values=outside)
+    return how.reduce([p[dy:dy + x.shape[0], dx:dx + x.shape[1]] for dy, dx in zip(*np.nonzero(element))])
+
+
+def grown(mask: np.ndarray, element: np.ndarray, times: int = 1) -> np.ndarray:
+    for _ in range(times):
+        mask = _spread(mask, element, np.logical_or, False)
+    return mask
+
+
+def shrunk(mask: np.ndarray, element: np.ndarray, times: int = 1) -> np.ndarray:
+    for _ in range(times):
+        mask = _spread(mask, element, np.logical_and, True)
+    return mask
+
+
+def ink(gray: np.ndarray) -> np.ndarray:
+    """What is at most the threshold between dark and bright."""
+    return gray <= otsu(gray)
+
+
+def thickened(img: np.ndarray, size: int = 3, times: int = 1) -> np.ndarray:
+    """Dark lines grow: the least value of each channel around a pixel; a gray image becomes lines of black on white."""
+    if times <= 0:
+        return img
+    if img.ndim == 2:
+        return np.where(grown(ink(img), ellipse(size), times), 0, 255).astype(np.uint8)
+    for _ in range(times):
+        img = _spread(img, ellipse(size), np.minimum, 255)
+    return img
+
+
+def gaps_closed(img: np.ndarray, size: int = 3) -> np.ndarray:
+    """Dark lines grow and shrink again."""
+    if img.ndim == 3:
+        return _spread(_spread(img, ellipse(size), np.minimum, 255), ellipse(size), np.maximum, 0)
+    return np.where(shrunk(grown(ink(img), ellipse(size)), ellipse(size)), 0, 255).astype(np.uint8)
+
+
+def lines_enhanced(img: np.ndarray, size: int, times: int) -> np.ndarray:
+    """Pixels that lines gain become black, the others stay; a gray image becomes lines of black on white."""
+    if times <= 0 or img.ndim == 2:
+        return thickened(img, size, times)
+    lines = ink(to_gray(img))
+    out = img.copy()
+    out[grown(lines, ellipse(size), times) & ~lines] = 0
+    return out
+
+
+_RGB_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def to_lab(img: np.ndarray) -> np.ndarray:
+    """CIE Lab of a blue-green-red image with sRGB's curve: L in 0 to 100, a and b around 0."""
+    c = img[..., ::-1] / 255.0
+    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    xyz = c @ _RGB_XYZ.T / _WHITE
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    xyz = np.where(f**3 > 0.008856, f**3, (f - 16 / 116) / 7.787) * _WHITE
+    c = np.clip(xyz @ np.linalg.inv(_RGB_XYZ).T, 0, 1)
+    c = np.where(c > 0.0031308, 1.055 * c ** (1 / 2.4) - 0.055, 12.92 * c)
+    return np.clip(np.rint(c[..., ::-1] * 255), 0, 255).astype(np.uint8)
+
+
+def contrast_enhanced(img: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """CLAHE of a gray image, or of the lightness of a colour one."""
+    if img.ndim == 2:
+        return clahe(img, clip, grid)
+    lab = to_lab(img)
+    light = np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.uint8)
+    lab[..., 0] += (clahe(light, clip, grid).astype(float) - light) / 2.55
+    return from_lab(lab)
+
+
+def upscaled(img: np.ndarray, factor: int) -> np.ndarray:
+    """Larger by a whole factor with a Lanczos kernel of four pixels' reach; edges repeat."""
+    if factor <= 1:
+        return img
+    out = img.astype(np.float64)
+    for axis in (0, 1):
+        old = out.shape[axis]
+        at = (np.arange(old * factor) + 0.5) / factor - 0.5
+        low = np.floor(at).astype(int)
+        taps = np.arange(-3, 5)
+        d = (at - low)[:, None] - taps
+        w = np.sinc(d) * np.sinc(d / 4)
+        w /= w.sum(1, keepdims=True)
+        shape = [-1 if a == axis else 1 for a in range(out.ndim)]
+        out = sum(np.take(out, np.clip(low + t, 0, old - 1), axis) * w[:, k].reshape(shape) for k, t in enumerate(taps))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def preprocessed(img: np.ndarray, params: dict) -> dict[str, np.ndarray]:
+    """The image after each step that its parameters ask for, by the name of the step; the last one is the result."""
+    steps = {"original": img}
+    if params.get("morph_iterations", 0) > 0:
+        img = steps["dilated"] = thickened(img, params.get("morph_kernel_size", 3), params["morph_iterations"])
+    if params.get("close_gaps_kernel", 0) > 0:
+        img = steps["gaps_closed"] = gaps_closed(img, params["close_gaps_kernel"])
+    if params.get("clahe_enabled", False):
+        img = steps["clahe"] = contrast_enhanced(img, params.get("clahe_clip_limit", 2.0), params.get("clahe_grid_size", 8))
+    if params.get("sharpen_enabled", True):
+        steps["sharpened"] = sharpened(img, params.get("sharpen_amount", 1.5))
+    return steps
+
+
+def locally_dark(gray: np.ndarray, block: int = 15, offset: float = 5) -> np.ndarray:
+    """What is darker than the Gaussian mean of its block by the offset; edges repeat."""
+    sigma, r = 0.3 * ((block - 1) * 0.5 - 1) + 0.8, block // 2
+    k = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma * sigma))
+    k /= k.sum()
+    mean = gray.astype(float)
+    for axis in (0, 1):
+        p = np.pad(mean, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        mean = sum(w * np.take(p, range(i, i + gray.shape[axis]), axis) for i, w in enumerate(k))
+    return gray <= np.rint(mean) - offset
+
+
+def zone_boxes(img: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes x, y, w, h of what dark frames enclose: local threshold, closed by 7 × 7 twice, outer regions of 1 to 95 % of the image and an aspect of
+    at most 8, merged where they overlap by more than half, by (y, x)."""
+    from lattica.operators.graph import merge_boxes
+
+    gray = to_gray(img)
+    square = np.ones((7, 7), bool)
+    closed = shrunk(grown(locally_dark(gray), square, 2), square, 2)
+    boxes = [(x, y, w, h) for x, y, w, h, _ in regions(outer(closed))
+             if 0.01 * gray.size <= w * h <= 0.95 * gray.size and max(w, h) <= 8 * max(min(w, h), 1)]
+    return sorted(merge_boxes(boxes), key=lambda b: (b[1], b[0]))
+
+
+def crop(img: np.ndarray, x: int, y: int, width: int, height: int, longest: int | None = None) -> np.ndarray:
+    """A part of an image; its longer side at most ``longest`` pixels."""
+    part = img[y:y + height, x:x + width]
+    size = max(part.shape[:2])
+    if longest is None or size <= longest:
+        return part.copy()
+    return resized(part, *(max(1, round(n * longest / size)) for n in (part.shape[1], part.shape[0])))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lattica.operators import text
 
 Client = Callable[[str, bytes | None], str]
 
@@ -15,6 +22,52 @@ PROMPTS = {
     "tile": "List every device, label and connection in this part of the diagram, one bullet each.\n\nMeasured in advance:\n{cv_context}",
     "cross": "These two parts of the diagram touch. List the connections that run from one to the other.\n\nMeasured in advance:\n{cv_context}",
 }
+MEASURED = "\n\nMeasured in advance:\n"
+
+
+def global_prompt(context: Column) -> Column:
+    """The first pass's prompt; a context is put at its end if there is any."""
+    return F.concat(F.lit(PROMPTS["global"]), F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(MEASURED), context)).otherwise(""))
+
+
+def with_contexts(units: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """units with ``context`` by their keys; none is the empty one."""
+    return units.join(contexts.select(*keys, "context"), keys, "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def requests(views: DataFrame, tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Requests of all three passes: views (image_id, image, context), tiles and pairs (image_id, ord, image, context)."""
+    row = lambda df, name, order, prompt: df.select("image_id", F.lit(name).alias("pass"), order.alias("ord"), prompt.alias("prompt"), "image")
+    first = row(views, "global", F.lit(0).cast("long"), global_prompt(F.col("context")))
+    second = row(tiles, "tile", F.col("ord").cast("long"), text.rendered(F.lit(PROMPTS["tile"]), F.col("context")))
+    third = row(pairs, "cross", F.col("ord").cast("long"), text.rendered(F.lit(PROMPTS["cross"]), F.col("context")))
+    return first.unionByName(second).unionByName(third)
+
+
+def fragments(url: str, model: str, prompt: str, image: bytes | None, timeout: float = 300) -> Iterator[str]:
+    """The fragments of an answer as a server sends them: one JSON object a line, with ``response`` and, at the end, ``done``."""
+    body = {"model": model, "prompt": prompt, "stream": True, **({"images": [base64.b64encode(image).decode()]} if image else {})}
+    call = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    try:
+        with urllib.request.urlopen(call, timeout=timeout) as said:
+            for line in said:
+                if line.strip():
+                    got = json.loads(line)
+                    if got.get("error"):
+                        raise RuntimeError(got["error"])
+                    if got.get("response"):
+                        yield got["response"]
+                    if got.get("done"):
+                        return
+    except urllib.error.URLError as e:
+        if isinstance(e.reason, TimeoutError):
+            raise TimeoutError(str(e.reason)) from e
+        raise ConnectionError(str(e.reason)) from e
+
+
+def http_client(url: str, model: str, timeout: float = 300) -> Client:
+    """A client of such a server: whole answers, their fragments joined."""
+    return lambda prompt, image: "".join(fragments(url, model, prompt, image, timeout))
 
 
 def stub(prompt: str, image: bytes | None) -> str:
@@ -47,4 +100,5 @@ def ask(requests: DataFrame, client: Client, workers: int | None = None) -> Data
                     wrong.append(f"other: {e}"[:200])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.string()), pa.array(wrong, pa.string())], names=["image_id", "pass", "ord", "result", "error"])
 
-    return rows.mapInArrow(fn, "image_id long, pass string, ord long, result string, error string")
+    kind = rows.schema["image_id"].dataType.simpleString()
+    return rows.mapInArrow(fn, f"image_id {kind}, pass string, ord long, result string, error string")

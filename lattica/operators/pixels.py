@@ -59,6 +59,26 @@ def stencil(pixels: DataFrame, columns: list[str], *hows: str, offsets=CROSS) ->
     return by_image(first, ["y", "x"], fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema))
 
 
+def enhanced(pixels: DataFrame) -> DataFrame:
+    """Pixels that dark lines gain when they grow become black; the others stay."""
+    rows = dark(pixels).select("image_id", "y", "x", "b", "g", "r", "ink", F.col("ink").cast("int").alias("grown"))
+    gained = F.expr("grown = 1 and not ink")
+    return stencil(rows, ["grown"], "max").select("image_id", "y", "x", *[F.when(gained, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("b", "g", "r")])
+
+
+def closed_gray(pixels: DataFrame) -> DataFrame:
+    """Gaps of dark lines closed, as lines of black on white."""
+    rows = dark(pixels).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"))
+    return stencil(rows, ["ink"], "max", "min").select("image_id", "y", "x", (255 - 255 * F.col("ink")).alias("gray"))
+
+
+def crops(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pixels of each tile (image_id, row_no, col_no, x, y, width, height), at their place in the tile; where tiles overlap, a pixel is in each."""
+    at = tiles.select("image_id", "row_no", "col_no", F.col("x").alias("tx"), F.col("y").alias("ty"), "width", "height")
+    held = (F.col("x") >= F.col("tx")) & (F.col("x") < F.col("tx") + F.col("width")) & (F.col("y") >= F.col("ty")) & (F.col("y") < F.col("ty") + F.col("height"))
+    return pixels.join(at, "image_id").where(held).withColumns({"x": F.col("x") - F.col("tx"), "y": F.col("y") - F.col("ty")}).drop("tx", "ty", "width", "height")
+
+
 def hsv() -> dict[str, Column]:
     """Hue (0-179), saturation and value of a pixel."""
     top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")

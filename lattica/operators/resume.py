@@ -27,3 +27,9 @@ def answers(tiles: DataFrame, progress: DataFrame) -> DataFrame:
 def latest(progress: DataFrame, version: str = "version") -> DataFrame:
     """Of all answers written for a tile, the last: how appended progress is read."""
     return progress.groupBy("image_id", "tile").agg(F.max_by("result", version).alias("result"))
+
+
+def counted(tiles: DataFrame, progress: DataFrame) -> DataFrame:
+    """image_id, done, total: how many tiles of an image have an answer."""
+    done = progress.select("image_id", "tile").distinct().withColumn("done", F.lit(1))
+    return tiles.join(done, ["image_id", "tile"], "left").groupBy("image_id").agg(F.count("done").alias("done"), F.count(F.lit(1)).alias("total"))

@@ -52,7 +52,39 @@ def meta_table(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, F.array_join(whole, "\n")).otherwise("")
 
 
+def meta_entries(path: Column, w: Column, h: Column, kernel: Column, times: Column, rows: Column, cols: Column, model: Column, seconds: Column | None = None) -> Column:
+    """The entries of a run's metadata table."""
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    last = [entry("Duration", F.concat(seconds.cast("string"), F.lit("s")))] if seconds is not None else []
+    return F.array(entry("Source", exprs.base_name(path)), entry("Image size", F.format_string("%dx%d", w, h)), entry("Dilation", F.format_string("kernel=%d iter=%d", kernel, times)),
+                   entry("Tiles", F.format_string("%d (%dx%d)", rows * cols, rows, cols)), entry("Model", model), *last)
+
+
+#: Fixed wording of what is measured in a diagram.
+LINES, CONNECTIONS, CATEGORIES, CATEGORY = "%d line segments detected, grouped into %d visual categories.", "Estimated distinct connections: %d.", "Line categories:", "  - %s: %d segments"
+COLOURS, COLOUR = "Colour legend (auto-detected):", "  - %s: RGB(%d, %d, %d)"
+TEXTS, LABELS, MORE = "OCR detected %d text elements.", "Visible labels: ", "  ... and %d more."
+GROUPS, GROUP, SHAPES = "%d multi-line label groups detected:", '  - "%s"', "Shapes: %d zones, %d device boxes, %d icons detected."
+MOST_LABELS, MOST_GROUPS = 30, 10
+
+
+def cv_context(lines: Column, connections: Column, categories: Column, legend: Column, texts: Column, groups: Column, zones: Column, devices: Column, icons: Column) -> Column:
+    """What a prompt is told of a whole image. categories: structs (key, n); legend: (label, r, g, b); texts: strings; groups: joined labels of several
+    texts; all in order, empty arrays where there are none."""
+    block = lambda head, rows: F.when(F.size(rows) > 0, F.concat_ws("\n", head, F.array_join(rows, "\n")))
+    n = F.size(texts)
+    quoted = F.transform(F.slice(texts, 1, MOST_LABELS), lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+    return F.concat_ws(
+        "\n", F.format_string(LINES, lines, F.size(categories)), F.format_string(CONNECTIONS, connections),
+        block(F.lit(CATEGORIES), F.transform(categories, lambda c: F.format_string(CATEGORY, c["key"], c["n"]))),
+        block(F.lit(COLOURS), F.transform(legend, lambda c: F.format_string(COLOUR, c["label"], c["r"], c["g"], c["b"]))),
+        F.format_string(TEXTS, n), F.when(n > 0, F.concat(F.lit(LABELS), F.array_join(quoted, ", "))), F.when(n > MOST_LABELS, F.format_string(MORE, n - MOST_LABELS)),
+        block(F.format_string(GROUPS, F.size(groups)), F.transform(F.slice(groups, 1, MOST_GROUPS), lambda g: F.format_string(GROUP, g))),
+        F.format_string(SHAPES, zones, devices, icons))
+
+
 def cv_summary(lines: Column, texts: Column, shapes: Column, clusters: Column) -> Column:
+    """Fixed wording, too."""
     return F.format_string("- **Lines detected**: %d segments\n- **Text elements**: %d labels extracted via OCR\n- **Shapes detected**: %d (rectangles, circles, polygons)\n"
                            "- **Color categories**: %d distinct line color groups", lines, texts, shapes, clusters)
 

@@ -41,6 +41,40 @@ def nearest_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_segments").select("image_id", "ord", color.nearest(LEGEND, F.col("r"), F.col("g"), F.col("b")).alias("label"))
 
 
+#: Clusters of an image's lines, for want of fitted ones, and those that a legend finds again.
+CLUSTER_SQL = """cl as (select image_id, ord % 5 as ord, floor(avg(r))::bigint as r, floor(avg(g))::bigint as g, floor(avg(b))::bigint as b, count(*) as count from v_segments group by 1, 2),
+    ln as (select *, """ + _NAME + """ as base from cl), lg as (select *, base || case when k = 0 then '' else '_' || k end as label from (select *, row_number() over (partition by image_id, base order by ord) - 1 as k from ln)),
+    lr as (select lg.image_id, lg.ord, label, coalesce(f.r, 0) as r, coalesce(f.g, 0) as g, coalesce(f.b, 0) as b from lg left join (select * from cl where image_id % 7 <> 0 or ord <> 4) f on f.image_id = lg.image_id and f.ord = lg.ord)"""
+
+
+def clusters(segments: DataFrame) -> DataFrame:
+    mean = lambda c: F.floor(F.avg(c)).cast("long").alias(c)
+    return segments.groupBy("image_id", (F.col("ord") % 5).alias("ord")).agg(mean("r"), mean("g"), mean("b"), F.count(F.lit(1)).alias("count"))
+
+
+def legend_of(segments: DataFrame) -> DataFrame:
+    found = clusters(segments)
+    return color.with_rgb(color.legend(found), found.where("image_id % 7 <> 0 or ord <> 4"))
+
+
+@query(ctes("v_segments") + f", {CLUSTER_SQL} select image_id, ord, label, r, g, b from lr")
+def legend_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legend_of(view(spark, sf_dir, "v_segments"))
+
+
+@query(ctes("v_segments") + f", {CLUSTER_SQL} select image_id, ord, count, row_number() over (partition by image_id order by count desc, ord) - 1 as place from cl")
+def clusters_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return color.by_count(clusters(view(spark, sf_dir, "v_segments"))).select("image_id", "ord", "count", F.col("place").cast("long").alias("place"))
+
+
+@query(ctes("v_segments") + " select image_id, ord, r, case when ord % 3 = 0 then g else 0 end as g, case when ord % 3 = 0 then b else 0 end as b from v_segments where ord % 3 = 0 or ord % 2 = 0")
+def coloured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("ord") % 3 == 0, F.struct("r", "g", "b"))
+    other = F.when(F.col("ord") % 2 == 0, F.struct("r", F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("b")))
+    lines = view(spark, sf_dir, "v_segments").select("image_id", "ord", own.alias("color_rgb"), other.alias("color"))
+    return color.coloured(lines).select("image_id", "ord", "rgb.r", "rgb.g", "rgb.b")
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_segments").withColumn("label", exprs.rgb_name(F.col("r"), F.col("g"), F.col("b")))
 
@@ -63,7 +97,7 @@ def exact_center_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 1000).cast("long")).alias("v"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000).cast("long")).alias("v"))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +107,7 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return color.assigned(points, [list(r["v"]) for r in centres])
 
 
-_ASSIGNED = """with p as (select vec_id, label, list_transform(embedding[1:8], lambda x: floor(x * 1000::float)::bigint) as v from embeddings),
+_ASSIGNED = """with p as (select vec_id, label, list_transform(embedding, lambda x: floor(x * 1000::float)::bigint) as v from embeddings),
     c as (select row_number() over (order by label) - 1 as k, v from (select label, arg_min(v, vec_id) as v from p group by label)),
     d as (select vec_id, k, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))::bigint as d2 from p, c),
     a as (select * from (select *, row_number() over (partition by vec_id order by d2, k) as n from d) where n = 1)"""

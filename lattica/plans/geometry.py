@@ -59,9 +59,9 @@ def zone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("v_rects") + f""", z as (select * from v_rects where area >= {_AREA} * 0.01 and area <= {_AREA} * 0.95 and greatest(width, height) / greatest(least(width, height), 1) <= 8)
-    select image_id, count(*) as zones, round_even(cast(sum(area) as double) / {_AREA}, 6) as coverage, count(*) between 3 and 12 and cast(sum(area) as double) / {_AREA} between 0.30 and 1.5 as use_smart_tiling from z group by 1""")
+    select image_id, count(*) as zones, round_even(cast(sum(area) as double) / {_AREA}, 6) as coverage, count(*) between 3 and (2 + image_id % 3) * (2 + image_id % 4) and cast(sum(area) as double) / {_AREA} between 0.30 and 1.5 as use_smart_tiling from z group by 1""")
 def zone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.coverage(tiling.zones(view(spark, sf_dir, "v_rects"), F.lit(_AREA)), F.lit(_AREA), F.lit(12))
+    return tiling.coverage(tiling.zones(view(spark, sf_dir, "v_rects"), F.lit(_AREA)), F.lit(_AREA), (2 + F.col("image_id") % 3) * (2 + F.col("image_id") % 4))
 
 
 @query(ctes("v_rects") + """, m as (select image_id, case when count(*) >= 3 then median(area) else 50000.0 end as split from v_rects group by 1)

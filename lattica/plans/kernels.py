@@ -1,7 +1,9 @@
-"""Queries that run kernels, models and streams: results by invariants, not by SQL."""
+"""Queries that run kernels, models and streams. Kernels are tested by golden vectors and plain loops, not by SQL."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators import kernels, model
+from lattica.operators import kernels, model, text
 from lattica.plans.registry import query
 from lattica.plans.text import tokens
-from lattica.sources.adapters import view
+from lattica.sources.adapters import ctes, view
 from lattica.streaming import think
 
 
@@ -79,21 +81,101 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, fn, "cluster long, r long, g long, b long, members long")
 
 
-@query()
+def _answer(prompt: str) -> str:
+    """What the stub answers to a prompt without an image."""
+    return f"'<think>' || length({prompt}) || '</think>- seen 0 bytes'"
+
+
+def _prompt(name: str, context: str) -> str:
+    return f"replace('{model.PROMPTS[name]}', '{{cv_context}}', {context})"
+
+
+@query(ctes("v_tiles") + f" select image_id, 'tile' as pass, tile as ord, {_answer(_prompt('tile', chr(39) + 'none' + chr(39)))} as result, null::varchar as error from v_tiles where action = 'run'")
 def vlm_stub_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = view(spark, sf_dir, "v_tiles").where("action = 'run'").select(
-        "image_id", F.lit("tile").alias("pass"), F.col("tile").alias("ord"), F.replace(F.lit(model.PROMPTS["tile"]), F.lit("{cv_context}"), F.lit("none")).alias("prompt"), F.lit(None).cast("binary").alias("image"))
+        "image_id", F.lit("tile").alias("pass"), F.col("tile").alias("ord"), text.rendered(F.lit(model.PROMPTS["tile"]), F.lit("none")).alias("prompt"), F.lit(None).cast("binary").alias("image"))
     return model.ask(requests, model.stub)
 
 
-@query()
+@query(ctes("v_tiles") + f""", c as (select image_id, tile, 'tile ' || tile as context from v_tiles where tile % 3 = 0),
+    q as (select distinct image_id, 'global' as pass, 0::bigint as ord, '{model.PROMPTS["global"]}' || case when image_id % 2 = 0 then '{model.MEASURED}' || 'image ' || image_id else '' end as prompt from v_tiles
+        union all select t.image_id, 'tile', t.tile, {_prompt('tile', "coalesce(c.context, '')")} from v_tiles t left join c on c.image_id = t.image_id and c.tile = t.tile
+        union all select a.image_id, 'cross', a.tile, {_prompt('cross', "''")} from v_tiles a join v_tiles b on b.image_id = a.image_id and b.row_no = a.row_no and b.col_no = a.col_no + 1)
+    select image_id, pass, ord, {_answer('prompt')} as result, null::varchar as error from q""")
+def three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles, none = view(spark, sf_dir, "v_tiles"), F.lit(None).cast("binary").alias("image")
+    views = tiles.select("image_id").distinct().select("image_id", F.when(F.col("image_id") % 2 == 0, F.format_string("image %d", "image_id")).alias("context"), none)
+    contexts = tiles.where("tile % 3 = 0").select("image_id", "tile", F.format_string("tile %d", "tile").alias("context"))
+    parts = model.with_contexts(tiles, contexts, ["image_id", "tile"]).select("image_id", F.col("tile").alias("ord"), "context", none)
+    right = tiles.select("image_id", "row_no", (F.col("col_no") - 1).alias("col_no"))
+    pairs = tiles.join(right, ["image_id", "row_no", "col_no"]).select("image_id", F.col("tile").alias("ord"), F.lit("").alias("context"), none)
+    return model.ask(model.requests(views, parts, pairs), model.stub)
+
+
+@query(ctes("v_raw_answers") + """ select conv_id * 1000 + turn as response_id, regexp_replace(raw, '(?s)<think>.*?(</think>|$)', '', 'g') as said,
+    case when raw like '%</think>%' then regexp_extract(raw, '(?s)<think>(.*?)</think>', 1) else regexp_extract(raw, '(?s)<think>(.*)$', 1) end as thought from v_raw_answers where length(raw) > 0""")
 def stream_think_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens as a stream from files, through keyed state, to a table that is read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-streams-")
+    """Tokens as a stream from files, through keyed state, to a table of pieces; what each response said and thought."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _local(spark)
     base = f"{shared.rstrip('/')}/think-{uuid.uuid4().hex}"
-    rows = tokens(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.col("seq").cast("long").alias("seq"), "fragment")
-    rows.write.parquet(f"{base}/in")
-    stream = think.pieces(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id")
+    rows = tokens(spark, sf_dir).select(key, F.col("seq").cast("long").alias("seq"), "fragment")
+    ends = view(spark, sf_dir, "v_raw_answers").where("length(raw) > 0").select(key, F.lit((1 << 62)).cast("long").alias("seq"), F.lit(None).cast("string").alias("fragment"))
+    rows.unionByName(ends).write.parquet(f"{base}/in")
+    stream = think.pieces(spark.readStream.schema("response_id long, seq long, fragment string").parquet(f"{base}/in"))
     run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("response_id long, piece_no long, piece string, is_thinking boolean").parquet(f"{base}/out")
+    pieces = spark.read.schema("response_id long, piece_no long, piece string, is_thinking boolean").parquet(f"{base}/out")
+    part = lambda thinking: text.joined([F.col("piece_no")], F.when(F.col("is_thinking") == thinking, F.col("piece")), "")
+    return pieces.groupBy("response_id").agg(part(False).alias("said"), part(True).alias("thought"))
+
+
+def _local(spark: SparkSession) -> str:
+    """A folder for tests, where no shared one is set; it goes with the driver."""
+    folder = tempfile.mkdtemp(prefix="lattica-streams-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def _gray_zones(img: np.ndarray) -> list[tuple]:
+    large = np.repeat(np.repeat(img, 8, axis=0), 8, axis=1)  # tiny test images hold no zones otherwise
+    return [(k, *box) for k, box in enumerate(kernels.zone_boxes(large))]
+
+
+@query()
+def detect_zones_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, _gray_zones, "ord long, x long, y long, w long, h long")
+
+
+@query()
+def detect_rectangles_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: [(k, *r.values()) for k, r in enumerate(kernels.rectangles(kernels.to_gray(img), 10))], "ord long, x long, y long, width long, height long, area double")
+
+
+@query()
+def detect_icons_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: [(k, *r.values()) for k, r in enumerate(kernels.icons(kernels.to_gray(img), 5))],
+                     "ord long, x long, y long, width long, height long, area double, cx long, cy long")
+
+
+@query()
+def described_lines_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: [(k, *s.values()) for k, s in enumerate(kernels.described_lines(img, 6, 7, 3))],
+                     "ord long, x1 long, y1 long, x2 long, y2 long, length double, angle double, r long, g long, b long, is_dashed boolean")
+
+
+@query()
+def clahe_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: [(y, x, *map(int, v)) for y, row in enumerate(kernels.contrast_enhanced(img, 2.0, 2)) for x, v in enumerate(row)], "y long, x long, b long, g long, r long")
+
+
+@query()
+def upscale_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: _rows(kernels.upscaled(kernels.to_gray(img), 2)), "y long, x long, gray long")
+
+
+@query()
+def auto_k_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_image(spark, sf_dir, lambda img: [(k, *c.values()) for k, c in enumerate(kernels.clustered_colours(img[kernels.ink(kernels.to_gray(img))][:, ::-1]))],
+                     "cluster long, r long, g long, b long, members long, percentage double")

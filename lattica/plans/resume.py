@@ -32,3 +32,8 @@ def tile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [view(spark, sf_dir, n).select("image_id", F.lit(k).alias("kind")) for k, n in enumerate(("v_segments", "v_texts", "v_rects"))]
     rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     return rows.groupBy("image_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(("lines", "texts", "shapes"))])
+
+
+@query(ctes("v_tiles", "v_progress") + " select t.image_id, count(p.tile) as done, count(*) as total from v_tiles t left join v_progress p on p.image_id = t.image_id and p.tile = t.tile group by 1")
+def progress_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resume.counted(view(spark, sf_dir, "v_tiles"), view(spark, sf_dir, "v_progress"))

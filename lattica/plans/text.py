@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import exprs
-from lattica.operators import graph, text
+from lattica.operators import graph, text, tiling
+from lattica.plans.color import CLUSTER_SQL, legend_of
+from lattica.plans.geometry import _EDGES
 from lattica.plans.registry import query
+from lattica.sources import ocr
 from lattica.sources.adapters import ctes, view
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -47,38 +50,64 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.report(answers)
 
 
-def _block(*parts: str) -> str:
-    return " || chr(10) || ".join(parts)
-
-
 _QUANT = "'(' || r//32*32 || ',' || g//32*32 || ',' || b//32*32 || ')_' || case when is_dashed then 'dashed' else 'solid' end"
 
 
-@query(ctes("v_segments", "v_texts", "v_rects") + f""",
+_CONTEXT = ctes("v_segments", "v_texts", "v_rects").replace("with ", "with recursive ", 1) + f""", {_EDGES},
+    linked as (select image_id, a, b from e union select image_id, b, a from e),
+    reach as (select image_id, ord, ord as root from v_segments union select linked.image_id, linked.b, reach.root from reach join linked on linked.image_id = reach.image_id and linked.a = reach.ord),
+    conn as (select image_id, count(distinct root) as n from (select image_id, ord, min(root) as root from reach group by 1, 2) group by 1),
+    te as (select l.image_id, l.ord as a, r.ord as b from v_texts l join v_texts r on l.image_id = r.image_id and l.ord <> r.ord
+        where pow(greatest(0, l.x - r.x - r.width, r.x - l.x - l.width), 2) + pow(greatest(0, l.y - r.y - r.height, r.y - l.y - l.height), 2) < 900),
+    treach as (select image_id, ord, ord as root from v_texts union select te.image_id, te.b, treach.root from treach join te on te.image_id = treach.image_id and te.a = treach.ord),
+    own as (select image_id, ord, min(root) as root from treach group by 1, 2),
+    multi as (select image_id, root, string_agg(text, ' / ' order by y, x, ord) as label from own join v_texts using (image_id, ord) group by 1, 2 having count(*) > 1),
+    grps as (select image_id, count(*) as n, string_agg('  - "' || label || '"', chr(10) order by root) filter (where k <= 10) as t from (select *, row_number() over (partition by image_id order by root) as k from multi) group by 1),
+    {CLUSTER_SQL},
+    leg as (select image_id, string_agg('  - ' || label || ': RGB(' || r || ', ' || g || ', ' || b || ')', chr(10) order by ord) as t from lr group by 1),
     grp as (select image_id, {_QUANT} as k, count(*) as n, min(ord) as o from v_segments group by 1, 2),
     cats as (select image_id, count(*) as groups, string_agg('  - ' || k || ': ' || n || ' segments', chr(10) order by o) as t from grp group by 1),
     segs as (select image_id, count(*) as n from v_segments group by 1),
     labs as (select image_id, count(*) as n, string_agg('"' || text || '"', ', ' order by ord) filter (where ord_n <= 30) as t from (select *, row_number() over (partition by image_id order by ord) as ord_n from v_texts) group by 1),
     med as (select image_id, case when count(*) >= 3 then median(area) else 50000.0 end as m from v_rects group by 1),
     shp as (select v.image_id, count(*) filter (where area >= m) as z, count(*) filter (where area < m) as d, count(*) filter (where area between 100 and 5000) as i from v_rects v join med using (image_id) group by 1)
-    select s.image_id, s.n || ' line segments detected, grouped into ' || groups || ' visual categories.' || chr(10) || 'Line categories:' || chr(10) || cats.t || chr(10)
+    select s.image_id, s.n || ' line segments detected, grouped into ' || groups || ' visual categories.' || chr(10) || 'Estimated distinct connections: ' || conn.n || '.' || chr(10) || 'Line categories:' || chr(10) || cats.t || chr(10)
+      || 'Colour legend (auto-detected):' || chr(10) || leg.t || chr(10)
       || 'OCR detected ' || coalesce(labs.n, 0) || ' text elements.' || coalesce(chr(10) || 'Visible labels: ' || labs.t, '') || case when labs.n > 30 then chr(10) || '  ... and ' || (labs.n - 30) || ' more.' else '' end || chr(10)
+      || coalesce(grps.n || ' multi-line label groups detected:' || chr(10) || grps.t || chr(10), '')
       || 'Shapes: ' || shp.z || ' zones, ' || shp.d || ' device boxes, ' || shp.i || ' icons detected.' as context
-    from segs s join cats using (image_id) left join labs using (image_id) join shp using (image_id)""")
+    from segs s join cats using (image_id) join conn using (image_id) join leg using (image_id) left join labs using (image_id) left join grps using (image_id) join shp using (image_id)"""
+
+
+def _ordered(order: str, *fields: str):
+    """Aggregate: structs of fields in an order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+
+def multi_groups(texts: DataFrame) -> DataFrame:
+    """image_id, root, label: groups of several texts that stand near each other, joined from the top."""
+    own = graph.image_components(texts, graph.text_edges(texts)).join(texts, ["image_id", "ord"])
+    found = own.groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("members"), text.joined([F.col("y"), F.col("x"), F.col("ord")], F.col("text"), " / ").alias("label"))
+    return found.where("members > 1").drop("members")
+
+
+@query(_CONTEXT)
 def cv_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, texts, rects = (view(spark, sf_dir, n) for n in ("v_segments", "v_texts", "v_rects"))
     key = exprs.quantised_key(F.col("r"), F.col("g"), F.col("b"), F.col("is_dashed"))
-    groups = segments.groupBy("image_id", key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"))
-    cats = groups.groupBy("image_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), text.joined([F.col("o")], F.format_string("  - %s: %d segments", "k", "n"), "\n").alias("cats"))
-    nth = F.row_number().over(Window.partitionBy("image_id").orderBy("ord"))
-    labels = texts.withColumn("nth", nth).groupBy("image_id").agg(F.count(F.lit(1)).alias("texts"), text.joined([F.col("ord")], F.when(F.col("nth") <= 30, F.concat(F.lit('"'), F.col("text"), F.lit('"'))), ", ").alias("labels"))
-    split = rects.join(rects.groupBy("image_id").agg(F.when(F.count(F.lit(1)) >= 3, F.percentile("area", F.lit(0.5))).otherwise(50000.0).alias("m")), "image_id")
-    shapes = split.groupBy("image_id").agg(F.count_if(F.col("area") >= F.col("m")).alias("z"), F.count_if(F.col("area") < F.col("m")).alias("d"), F.count_if(F.col("area").between(100, 5000)).alias("i"))
-    block = F.concat_ws("\n", F.format_string("%d line segments detected, grouped into %d visual categories.", "n", "groups"), F.lit("Line categories:"), F.col("cats"),
-                        F.format_string("OCR detected %d text elements.", F.coalesce("texts", F.lit(0))), F.concat(F.lit("Visible labels: "), F.col("labels")),
-                        F.when(F.col("texts") > 30, F.format_string("  ... and %d more.", F.col("texts") - 30)),
-                        F.format_string("Shapes: %d zones, %d device boxes, %d icons detected.", "z", "d", "i"))
-    return cats.join(labels, "image_id", "left").join(shapes, "image_id").select("image_id", block.alias("context"))
+    groups = segments.groupBy("image_id", key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"))
+    lines = groups.groupBy("image_id").agg(F.sum("n").alias("lines"), _ordered("o", "key", "n").alias("categories"))
+    linked = graph.image_components(segments, graph.endpoint_edges(segments, once=False)).groupBy("image_id").agg(F.countDistinct("root").alias("connections"))
+    legend = legend_of(segments).groupBy("image_id").agg(_ordered("ord", "label", "r", "g", "b").alias("legend"))
+    labels = texts.groupBy("image_id").agg(F.transform(_ordered("ord", "text"), lambda x: x["text"]).alias("texts"))
+    multi = multi_groups(texts).groupBy("image_id").agg(F.transform(_ordered("root", "label"), lambda x: x["label"]).alias("groups"))
+    shapes = tiling.split_by_median(rects).groupBy("image_id").agg(
+        F.count_if(F.col("kind") == "zone").alias("zones"), F.count_if(F.col("kind") == "device").alias("devices"), F.count_if(F.col("area").between(100, 5000)).alias("icons"))
+    whole = lines.join(linked, "image_id").join(legend, "image_id").join(labels, "image_id", "left").join(multi, "image_id", "left").join(shapes, "image_id")
+    strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    block = text.cv_context(F.col("lines"), F.col("connections"), F.col("categories"), F.col("legend"), strings(F.col("texts")), strings(F.col("groups")),
+                            F.col("zones"), F.col("devices"), F.col("icons"))
+    return whole.select("image_id", block.alias("context"))
 
 
 @query(ctes("v_segments", "v_texts") + """,
@@ -103,13 +132,23 @@ def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_images").select("image_id", meta.alias("meta"), F.concat(exprs.without_extension(path), F.lit(".md")).alias("report_path"))
 
 
-@query(ctes("v_images") + """ select image_id, '# Diagram Analysis: img' || image_id || '.png' || chr(10) || chr(10) || 'Generated on 2024-05-06 07:08 UTC' || chr(10) || chr(10) || '## COMPUTER VISION FINDINGS' || chr(10) || chr(10)
-    || '- **Lines detected**: ' || w || ' segments' || chr(10) || '- **Text elements**: ' || h || ' labels extracted via OCR' || chr(10) || '- **Shapes detected**: ' || colors || ' (rectangles, circles, polygons)' || chr(10)
-    || '- **Color categories**: ' || colors || ' distinct line color groups' || chr(10) || chr(10) || 'body' || chr(10) as report from v_images""")
+@query(ctes("v_images") + """ select image_id, '# Diagram Analysis: img' || image_id || '.png' || chr(10) || chr(10) || 'Generated on 2024-05-06 07:08 UTC' || chr(10) || chr(10)
+    || '## ANALYSIS METADATA' || chr(10) || chr(10) || '| Parameter | Value |' || chr(10) || '|---|---|' || chr(10) || '| Source | img' || image_id || '.png |' || chr(10) || '| Image size | ' || w || 'x' || h || ' |' || chr(10)
+    || '| Dilation | kernel=3 iter=' || case when thickness >= 4 then 0 when thickness >= 2 then 1 else 2 end || ' |' || chr(10) || '| Tiles | ' || (1 + image_id % 4) * (1 + image_id % 5) || ' (' || (1 + image_id % 4) || 'x' || (1 + image_id % 5) || ') |' || chr(10)
+    || '| Model | stub |' || chr(10) || '| Duration | ' || round_even(contrast / 8, 1) || 's |' || chr(10) || chr(10)
+    || case when colors = 0 then '' else '## COMPUTER VISION FINDINGS' || chr(10) || chr(10) || '- **Lines detected**: ' || w || ' segments' || chr(10) || '- **Text elements**: ' || h || ' labels extracted via OCR' || chr(10)
+    || '- **Shapes detected**: ' || colors || ' (rectangles, circles, polygons)' || chr(10) || '- **Color categories**: ' || colors || ' distinct line color groups' || chr(10) || chr(10) end
+    || '## 1. OVERVIEW' || chr(10) || chr(10) || 'seen ' || image_id || chr(10) || chr(10) || '## 2. DETAILED ANALYSIS BY ZONE' || chr(10) || chr(10) || '## 4. CONSOLIDATED INVENTORY' || chr(10) || chr(10)
+    || 'No structured inventory items detected.' || chr(10) as report from v_images""")
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = text.cv_summary(F.col("w"), F.col("h"), F.col("colors"), F.col("colors"))
-    whole = text.full_report(F.format_string("/data/img%d.png", "image_id"), F.lit("2024-05-06 07:08:09").cast("timestamp"), F.lit(""), summary, F.lit("body"))
-    return view(spark, sf_dir, "v_images").select("image_id", whole.alias("report"))
+    images = tiling.preprocess_params(view(spark, sf_dir, "v_images")).join(view(spark, sf_dir, "v_images"), "image_id")
+    answers = images.select("image_id", F.lit("global").alias("pass"), *[F.lit(0).cast("long").alias(c) for c in ("ord", "row_no", "col_no", "x", "y")], F.format_string("seen %d", "image_id").alias("result"))
+    path = F.format_string("/data/img%d.png", "image_id")
+    rows, cols = 1 + F.col("image_id") % 4, 1 + F.col("image_id") % 5
+    meta = text.meta_table(text.meta_entries(path, F.col("w"), F.col("h"), F.col("morph_kernel_size"), F.col("morph_iterations"), rows, cols, F.lit("stub"), F.bround(F.col("contrast") / 8, 1)))
+    summary = F.when(F.col("colors") == 0, "").otherwise(text.cv_summary(F.col("w"), F.col("h"), F.col("colors"), F.col("colors")))
+    whole = images.join(text.report(answers).withColumnRenamed("report", "merged"), "image_id")
+    return whole.select("image_id", text.full_report(path, F.lit("2024-05-06 07:08:09").cast("timestamp"), meta, summary, F.col("merged")).alias("report"))
 
 
 _ANSWER = strip("regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g')")
@@ -139,6 +178,15 @@ def token_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "turn", "fragments", exprs.without_thinking(F.col("raw")).alias("answer"))
 
 
+@query(ctes("v_texts") + """ select image_id, ord, x, y, width, height, round_even(0.5::double + (ord % 7) / 30.0::double, 4) as confidence, text from v_texts""")
+def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from polygons whose points lie between pixels, in no fixed order."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, right, low = F.col("x") + 0.7, F.col("y") + 0.2, F.col("x") + F.col("width") + 0.4, F.col("y") + F.col("height") + 0.9
+    raw = view(spark, sf_dir, "v_texts").select("image_id", "ord", F.array(at(right, y), at(x, low), at(x, y), at(right, low)).alias("polygon"), "text", (F.lit(0.5) + F.col("ord") % 7 / 30.0).alias("confidence"))
+    return ocr.texts(raw)
+
+
 @query(ctes("v_texts").replace("with ", "with recursive ", 1) + """,
     e as (select l.image_id, l.ord as a, r.ord as b from v_texts l join v_texts r on l.image_id = r.image_id and l.ord <> r.ord
         where pow(greatest(0, l.x - r.x - r.width, r.x - l.x - l.width), 2) + pow(greatest(0, l.y - r.y - r.height, r.y - l.y - l.height), 2) < 900),

@@ -1,7 +1,7 @@
 """A stream of answer fragments, told apart into thinking and saying.
 
 State for each response is whether it is thinking, and the end of the last fragment that could be part of a tag, so tags
-that are split over fragments or micro-batches are found.
+that are split over fragments or micro-batches are found. A null fragment ends a response: what is held back comes out then.
 """
 
 from __future__ import annotations
@@ -38,8 +38,11 @@ def pieces(tokens: DataFrame) -> DataFrame:
     def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         thinking, held, n = state.get if state.exists else (False, "", 0)
         rows = []
-        for fragment in pd.concat(list(frames)).sort_values("seq")["fragment"].dropna():
-            got, thinking, held = split(fragment, thinking, held)
+        for fragment in pd.concat(list(frames)).sort_values("seq")["fragment"]:
+            if pd.isna(fragment):
+                got, held = [(held, thinking)] if held else [], ""
+            else:
+                got, thinking, held = split(fragment, thinking, held)
             for text, is_thinking in got:
                 rows.append((key[0], n, text, is_thinking))
                 n += 1
