@@ -22,6 +22,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from lattica.llm.common import env_threads, map_batches, on_leaving
 
-#: Distinct pieces whose ids a worker keeps (about 200 bytes each); the table is emptied when it is full.
+#: Distinct pieces whose ids a worker keeps (about 200 bytes each), in two halves: when the younger one is full, the older one goes.
 PIECES = 600_000
 
 CUT = re.compile(r" (?=\S)")
@@ -94,6 +95,7 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.plain = plain_tokenizer(tokenizer)
         self.visible = dict(enumerate(byte_characters()))
@@ -135,11 +137,14 @@ class Codec:
             self.first.clear()
             new = first
         self.first.update(zip(new, self._library(list(new))))
-        known = self.known
-        new = wanted.difference(known)
-        if len(known) + len(new) > PIECES:
-            known.clear()
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > PIECES // 2:
+            self.older, self.known = self.known, {}
             new = wanted
+        known, older = self.known, self.older
+        if older:
+            known.update([(w, older[w]) for w in new if w in older])
+            new = new.difference(known)
         ended = [(w, stem) for w in new if w[-1:] in MARKS and (stem := w.rstrip(MARKS)).isalpha()]
         runs = {w[len(stem):] for w, stem in ended}.difference(self.marks)
         if len(self.marks) + len(runs) > PIECES // 10:
@@ -165,7 +170,7 @@ class Codec:
         for text in texts:
             pieces = text.replace("\n", " \n").split(" ") if text else []
             first.update(pieces[:1])
-            wanted.update(pieces[1:])
+            wanted.update(pieces)  # the first one stands without a space; that it is learned with one as well doesn't matter
             cut.append(pieces)
         # Where white space is more than lone spaces and line breaks, some piece is empty or has more of it at an end.
         odd = {p for p in wanted | first if not (q := p[p[:1] == "\n":]) or q[0].isspace() or q[-1].isspace()}
@@ -175,7 +180,7 @@ class Codec:
             wanted = {w for p in cut for w in p[1:]}
         self._learn(wanted, first)
         known = self.known.__getitem__
-        return [np.frombuffer(self.first[p[0]] + b"".join(map(known, p[1:])) if p else b"", dtype="<u4") for p in cut]
+        return [np.frombuffer(self.first[p[0]] + b"".join(map(known, islice(p, 1, None))) if p else b"", dtype="<u4") for p in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))

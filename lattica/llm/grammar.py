@@ -29,7 +29,7 @@ from lattica.llm import bpe
 from lattica.llm.common import map_batches, scratch_path
 
 SHARD_IDS = 1 << 20
-SHARE, MIN_COUNT = 1 / 16, 8
+SHARE, MIN_COUNT = 1 / 32, 8
 MAGIC = b"RPG1"
 _SLOTS = 1 << 18
 
