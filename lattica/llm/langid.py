@@ -49,41 +49,62 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 BUCKETS, PER_LANGUAGE, COST, SLOPE = 4096, 300, 10.0, 6.0
+#: Bytes of text that are counted at once (about 40 bytes of memory for each).
+GROUP = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that aren't letters become spaces; bytes of other characters stay.
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """One row of unit length for each text."""
-    raw = [text.lower().encode().translate(PLAIN) for text in texts]
+def _counted(raw: list[bytes]) -> np.ndarray:
+    """The n-gram counts of some texts, one row each. What begins between two texts goes into a row of its own."""
     joined = np.frombuffer(b"\0\0".join(raw) + b"\0\0", dtype=np.uint8).astype(np.uint32)
-    doc = np.repeat(np.arange(len(raw)), [len(r) + 2 for r in raw])[:-2] * BUCKETS
+    row = np.stack([np.arange(len(raw)), np.full(len(raw), len(raw))], axis=1).ravel()
+    doc = np.repeat(row, [n for r in raw for n in (len(r), 2)])[:-2] * BUCKETS
     one, two = joined[:-2], joined[:-2] * np.uint32(257) + joined[1:-1]
     three = two * np.uint32(263) + joined[2:]
-    places = []
+    out = np.zeros((len(raw) + 1) * BUCKETS, np.int64)
     for salt, gram in ((0, one), (1, two), (2, three)):
         mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(salt * 40503)
-        places.append(doc + (mixed >> np.uint32(20)))
-    out = np.bincount(np.concatenate(places), minlength=len(raw) * BUCKETS).astype(np.float32)
-    out = np.sqrt(out.reshape(len(raw), BUCKETS))
+        out += np.bincount(doc + (mixed >> np.uint32(20)), minlength=len(out))
+    return out.reshape(len(raw) + 1, BUCKETS)[:-1]
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """One row of unit length for each text. Texts are counted in groups of at most ``GROUP`` bytes, longer ones in parts."""
+    raw = [text.lower().encode().translate(PLAIN) for text in texts]
+    out, at = np.zeros((len(raw), BUCKETS), np.float32), 0
+    while at < len(raw):
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) <= GROUP):
+            size += len(raw[end])
+            end += 1
+        if size <= GROUP:
+            out[at:end] = _counted(raw[at:end])
+        else:  # one long text; a part has the two bytes after it, as the whole has at its end, and what these count for goes
+            for k in range(0, size, GROUP):
+                part = raw[at][k:k + GROUP + 2]
+                out[at] += _counted([part])[0] - (_counted([part[GROUP:]])[0] if k + GROUP < size and len(part) > GROUP else 0)
+        at = end
+    out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = 12) -> np.ndarray:
-    """Weights, the bias last, of a squared-hinge SVM, by dual coordinate descent on the Gram matrix. y: 1 or -1."""
-    gram = x @ x.T + 1.0
+    """Weights, the bias last, of a squared-hinge SVM, by dual coordinate descent that keeps the weights. y: 1 or -1."""
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    alpha, made = np.zeros(len(y)), np.zeros(len(y))  # made: the decision values so far
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    size = (x * x).sum(axis=1)
+    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
             ridge = 1 / (2 * cost * weight[i])
-            step = max(-alpha[i], -(y[i] * made[i] - 1 + ridge * alpha[i]) / (gram[i, i] + ridge))
+            step = max(-alpha[i], -(y[i] * (x[i] @ w) - 1 + ridge * alpha[i]) / (size[i] + ridge))
             if step:
                 alpha[i] += step
-                made += step * y[i] * gram[i]
-    return np.append((alpha * y) @ x, (alpha * y).sum()).astype(np.float32)
+                w += step * y[i] * x[i]
+    return w.astype(np.float32)
 
 
 class Model:

@@ -1,5 +1,6 @@
 """Held-out accuracy, and odd rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -37,3 +38,61 @@ def test_features_follow_whole_text():
     a, b = langid.features(["abc " * 50000 + "xyz", "abc " * 50000])
     assert not np.array_equal(a, b) and abs(np.linalg.norm(a) - 1) < 1e-5
     assert np.allclose(langid.features(["x", "abc"])[1], langid.features(["abc"])[0])
+
+
+def plain_features(text):
+    """The definition, gram by gram."""
+    raw = text.lower().encode().translate(langid.PLAIN) + b"\0\0"
+    count = np.zeros(langid.BUCKETS)
+    for i in range(len(raw) - 2):
+        two = (raw[i] * 257 + raw[i + 1]) % 2**32
+        for salt, gram in enumerate((raw[i], two, (two * 263 + raw[i + 2]) % 2**32)):
+            count[(((gram ^ (gram >> 15)) * 2654435761 + salt * 40503) % 2**32) >> 20] += 1
+    x = np.sqrt(count)
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
+def test_features_against_the_definition(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (5, 0, 900, 17, 62, 63, 64, 65, 66, 129, 130, 300)]
+    for group in (1 << 20, 64):  # groups of texts, and long texts in parts
+        monkeypatch.setattr(langid, "GROUP", group)
+        assert np.abs(langid.features(texts) - np.stack([plain_features(t) for t in texts])).max() < 1e-6
+
+
+def test_predictions_against_plain_loops(spark):
+    """The whole table with one fixed model, decided text by text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        x = plain_features(r.text)
+        top = np.exp([langid.SLOPE * (w[:-1] @ x + w[-1]) for w in model.top])
+        f = int(np.argmax(top))
+        codes = list(model.families.values())[f]
+        votes = {c: 0.0 for c in codes}
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                p = 1 / (1 + np.exp(-langid.SLOPE * (w[:-1] @ x + w[-1])))
+                votes[a] += p
+                votes[b] += 1 - p
+        best = max(codes, key=votes.get)
+        want = votes[best] / max(1, len(codes) - 1) * top[f] / top.sum() if len(codes) > 1 else top[f] / top.sum()
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - want) < 1e-4
+
+
+def test_svm_reaches_the_optimum():
+    """The weights against many steps of plain gradient descent on the same loss."""
+    rng = np.random.default_rng(2)
+    y = np.where(rng.random(80) < 0.4, 1, -1)
+    x = (rng.normal(size=(80, 5)) + y[:, None] * 0.8).astype(np.float32)
+    weight = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    one = np.concatenate([x, np.ones((80, 1))], axis=1)
+    loss = lambda w: 0.5 * w @ w + langid.COST * (weight * np.maximum(0, 1 - y * (one @ w)) ** 2).sum()
+    w = np.zeros(6)
+    for _ in range(20_000):
+        w -= 2e-5 * (w - 2 * langid.COST * ((weight * np.maximum(0, 1 - y * (one @ w)) * y) @ one))
+    assert loss(langid.linear_svm(x, y, epochs=200)) <= loss(w) * 1.01
