@@ -2,13 +2,14 @@
 
 Texts are equal when they are identical after each run of ASCII white space has become one space.
 
-* **Memtables and runs.** Documents are dealt over ``runs`` memtables by a hash of their identifier. Each flushes one
-  *run*: its distinct digests with the smallest identifier and the row counts, sorted by digest, as Parquet with a Bloom
-  filter on the digest and the fences (least and largest digest) that Parquet keeps for each row group.
-* **Compaction.** Runs are merged by digest; the smallest identifier survives. The merged level is sorted again. Later
+* **Memtables and runs.** Each task's part of a batch is a memtable. It flushes one *run*, a Parquet file of its digests
+  with their identifiers, sorted by digest, with a Bloom filter on the digest and the fences (least and largest digest)
+  that Parquet keeps for each row group. Nothing is shuffled for that.
+* **Compaction.** Runs are merged by digest; the smallest identifier survives. The merged level is sorted as well. Later
   batches flush further runs and are compacted with the level that is there.
-* **Lookup.** Documents are looked up by digest. Hits (digests of more than one row) are verified byte by byte against
-  the text of the row that stays. A hit that fails the verification is a document of its own.
+* **Lookup.** Single digests are looked up through fences and filters (``find``). Documents are looked up by a join with
+  the digests of more than one row, which Spark filters by a Bloom filter of its own before a large shuffle. Hits are
+  verified byte by byte against the text of the row that stays. A hit that fails is a document of its own.
 
 Defined cases: a null text counts as empty, and all such texts are one group; a null identifier counts as larger than
 all others; rows that repeat the same identifier and text are members of their group, each counted and each with the
@@ -38,8 +39,8 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """A log-structured merge index of text digests in a folder of the shared store."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: int = 8):
-        self.spark, self.runs = spark, runs
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
         self.path = path or scratch_path(spark, "digests")
         self.pending: list[str] = []
         self.level: str | None = None
@@ -54,13 +55,9 @@ class DigestIndex:
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add a batch of documents: one sorted run for each memtable."""
         self.generation += 1
-        rows = docs.select(
-            F.col(id_col).alias("id"), F.sha2(normalised(text_or_empty(text_col)), 256).alias("digest"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(self.runs)).cast("int").alias("run"))
-        runs = (rows.groupBy("run", "digest", "id").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("run", "digest").agg(*_smallest("n", "n"))
-                .sortWithinPartitions("run", "digest"))
-        self.pending.append(self._write(runs, f"runs-{self.generation}"))
+        one = F.lit(1).cast("long")
+        rows = docs.select(F.sha2(normalised(text_or_empty(text_col)), 256).alias("digest"), F.col(id_col).alias("id"), one.alias("rows"), one.alias("at_id"))
+        self.pending.append(self._write(rows.sortWithinPartitions("digest", "id"), f"runs-{self.generation}"))
 
     def compact(self) -> None:
         """Merge all pending runs and the level below them into one sorted level."""
@@ -71,8 +68,7 @@ class DigestIndex:
         for path in paths:
             part = self.spark.read.parquet(path).select("digest", "id", "rows", "at_id")
             entries = part if entries is None else entries.unionByName(part)
-        merged = (entries.groupBy("digest", "id").agg(F.sum("rows").alias("rows"), F.sum("at_id").alias("at_id"))
-                  .groupBy("digest").agg(*_smallest("rows", "at_id")).sortWithinPartitions("digest"))
+        merged = _merged(entries).sortWithinPartitions("digest")
         self.generation += 1
         self.level, self.pending = self._write(merged, f"level-{self.generation}"), []
 
@@ -80,10 +76,20 @@ class DigestIndex:
         """digest, id (the smallest), rows (of the group), at_id (rows that carry the smallest id)."""
         return self.spark.read.parquet(self.level)
 
+    def find(self, digests: list[str]) -> DataFrame:
+        """The entries of some digests: row groups whose fences or filters rule them out aren't read. Runs that aren't compacted yet count as well."""
+        parts = [self.spark.read.parquet(path).where(F.col("digest").isin(digests)) for path in [*self.pending, *([self.level] if self.level else [])]]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        return _merged(every)
 
-def _smallest(rows: str, at_id: str) -> list[Column]:
-    least = F.expr(f"min_by({at_id}, struct(id is null, id))")
-    return [F.expr("min_by(id, struct(id is null, id))").alias("id"), F.sum(rows).alias("rows"), least.alias("at_id")]
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """One row for each digest. Rows of an identifier are summed first, so a digest of any number of rows is no one task's."""
+    least = F.expr("min_by(at_id, struct(id is null, id))").alias("at_id")
+    by_id = entries.groupBy("digest", "id").agg(F.sum("rows").alias("rows"), F.sum("at_id").alias("at_id"))
+    return by_id.groupBy("digest").agg(F.expr("min_by(id, struct(id is null, id))").alias("id"), F.sum("rows").alias("rows"), least)
 
 
 def _looked_up(index: DigestIndex, docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
@@ -110,24 +116,24 @@ def _looked_up(index: DigestIndex, docs: DataFrame, id_col: str, text_col: str,
     return alone.unionByName(verified).withColumn("kept", F.expr("id <=> keep_id"))
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 8) -> DigestIndex:
-    index = DigestIndex(docs.sparkSession, runs=runs)
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DigestIndex:
+    index = DigestIndex(docs.sparkSession)
     index.flush(docs, id_col, text_col)
     index.compact()
     return index
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 8,
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document: its identifier, keep_id, group_size, kept, text_sha256."""
-    found = _looked_up(build(docs, id_col, text_col, runs), docs.select(id_col, text_col), id_col, text_col, broadcast_rows)
+    found = _looked_up(build(docs, id_col, text_col), docs.select(id_col, text_col), id_col, text_col, broadcast_rows)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 8,
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat identifier and text, one."""
-    found = _looked_up(build(docs, id_col, text_col, runs), docs, id_col, text_col, broadcast_rows).where("kept")
+    found = _looked_up(build(docs, id_col, text_col), docs, id_col, text_col, broadcast_rows).where("kept")
     once = found.where("at_id = 1").select("row")
     repeated = found.where("at_id > 1").groupBy("id", "digest").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(repeated).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -50,18 +50,32 @@ def test_large_groups_in_parts(spark, monkeypatch):
 def test_batches_flush_runs_and_compact(spark):
     rows = [(k, f"t{k % 7}") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    index = exact_dedup.DigestIndex(spark, runs=3)
+    index = exact_dedup.DigestIndex(spark)
     for part in (df.where("doc_id >= 30"), df.where("doc_id between 10 and 29")):
         index.flush(part)
     index.compact()
     index.flush(df.where("doc_id < 10"))
     assert len(index.pending) == 1
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = index.find([digest("t3"), digest("t5"), digest("none")])
+    assert {(r.digest, r.id, r.rows) for r in found.collect()} == {(digest(f"t{k}"), k, len(range(k, 40, 7))) for k in (3, 5)}
+    assert re.search(r"PushedFilters: \[[^]]*In\(digest", found._jdf.queryExecution().executedPlan().toString())
     index.compact()
     whole = exact_dedup.build(df).entries().select("digest", "id", "rows", "at_id")
     assert sorted(map(tuple, index.entries().select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
     assert {(r.id, r.rows) for r in whole.collect()} == {(k, len(range(k, 40, 7))) for k in range(7)}
 
 
+def test_runs_are_sorted(spark):
+    df = spark.createDataFrame([(k, f"t{k % 50}") for k in range(300)], "doc_id long, text string").repartition(3)
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(df)
+    runs = {}
+    for r in spark.read.parquet(index.pending[0]).select("digest", F.input_file_name().alias("run")).collect():
+        runs.setdefault(r.run, []).append(r.digest)
+    assert len(runs) == 3 and all(d == sorted(d) for d in runs.values()) and sum(map(len, runs.values())) == 300
+
+
 def test_collision_is_found(spark, monkeypatch):
     """With a digest that doesn't tell texts apart, the bytes still do."""
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
