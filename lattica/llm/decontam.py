@@ -11,8 +11,10 @@ A document is contaminated by an item if, within one stretch of the text of at m
 ``SHARE`` of the item's windows are met and at least ``CONSISTENT`` of its repeated values are held. Stretches are checked
 from each place of the text, and the best one that holds counts.
 
-The benchmark's window hashes go to the executors as a Bloom filter of fixed size. Windows that pass it are joined with
-the benchmark's windows by hash in Spark, which shuffles or broadcasts by size, so the benchmark may be of any size.
+The benchmark's window hashes go to the executors as a Bloom filter of 16 bits and more for each window, up to
+``FILTER_BITS``; its size is counted first. Windows that pass it are joined with the benchmark's windows by hash in Spark,
+which shuffles or broadcasts by size. Of a benchmark of more than 67 million windows more chance hits go into that join;
+the result is the same.
 Windows that are nearly all placeholders say nothing and are left out on both sides.
 
 Defined cases: null and empty texts are clean; an item shorter than a window is one window of its own length, met only
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 from lattica.llm.common import map_batches, on_leaving, written
 
 WINDOW, SHARE, CONSISTENT = 5, 0.5, 0.8
-#: Bits of the Bloom filter: 2 MB, whatever the benchmark's size.
-FILTER_BITS = 1 << 24
+#: The most bits of the Bloom filter (128 MB), and the least.
+FILTER_BITS, LEAST_BITS = 1 << 30, 1 << 20
+#: Bytes of a block in which parts of the filter are merged.
+BLOCK = 1 << 16
 #: Distinct words that a worker keeps.
 WORDS = 400_000
 #: Units of measure and currencies.
@@ -141,8 +145,9 @@ def spoken(kind: np.ndarray, size: int) -> np.ndarray:
     return count[size:] - count[:-size] >= min(3, (size + 1) // 2)
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(s)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 20, 40)]
+def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of hashes in a filter of ``size`` bits, a power of two."""
+    return [((h * np.uint64(m)) >> np.uint64(65 - size.bit_length())).astype(np.int64) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def _slots(words: list[str], kind: np.ndarray, a: int, size: int) -> list[str]:
@@ -174,26 +179,34 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return map_batches(rows, fn, "hash long, size int, item_id long, place int, n_windows int, n_words int, form int, slots array<string>")
 
 
-def _filter(spark, bench: DataFrame) -> tuple[bytes, list[int]]:
-    """The Bloom filter of the benchmark's hashes, of fixed size: parts of tasks are merged by tree."""
+def filter_bits(windows: int) -> int:
+    """The size of the filter: at least 16 bits a window, as long as that is at most FILTER_BITS."""
+    return min(FILTER_BITS, max(LEAST_BITS, 1 << (16 * max(1, windows) - 1).bit_length()))
+
+
+def _filter(bench: DataFrame) -> tuple[bytes, list[int]]:
+    """The Bloom filter of the benchmark's hashes, and the sizes of its windows. Tasks send the blocks that they set bits in; the driver holds the
+    filter and one block."""
+    size = filter_bits(bench.count())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        packed = np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
-            for b in _bits(batch.column(0).to_numpy().view(np.uint64)):
-                bits[b] = True
-        at = np.flatnonzero(np.packbits(bits))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.packbits(bits)[at], pa.int32())], names=["byte", "bits"])
+            for b in _bits(batch.column(0).to_numpy().view(np.uint64), size):
+                np.bitwise_or.at(packed, b >> 3, (128 >> (b & 7)).astype(np.uint8))
+        for at in range(0, len(packed), BLOCK):
+            if packed[at:at + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed[at:at + BLOCK].tobytes()], pa.binary())], names=["at", "block"])
 
-    rows = map_batches(bench.select("hash"), fn, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).collect()
-    packed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    packed[[r["byte"] for r in rows]] = [r["bits"] for r in rows]
-    return packed.tobytes(), sorted(r["size"] for r in bench.select("size").distinct().collect())
+    packed = np.zeros(size // 8, dtype=np.uint8)
+    for r in map_batches(bench.select("hash").coalesce(8), fn, "at long, block binary").toLocalIterator():
+        packed[r["at"]:r["at"] + BLOCK] |= np.frombuffer(r["block"], np.uint8)
+    return packed.tobytes(), sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW sizes
 
 
 def _candidates(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
     """One row for each window of a text that passes the filter: its document, place, hash and slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes at most
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(shared.value, dtype=np.uint8)
@@ -208,7 +221,7 @@ def _candidates(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
                     for size in sizes:
                         h = windows(hashes, size)
                         at = np.arange(len(h))
-                        for b in _bits(h):
+                        for b in _bits(h, 8 * len(packed)):
                             b = b[at]
                             at = at[(packed[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1]
                         at = at[spoken(kinds, size)[at]]
@@ -298,7 +311,7 @@ def _held(rows: list[dict]) -> int:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), item_id, share: one row for each contaminated document and item."""
     bench = written(benchmark_windows(benchmark), "bench")
-    bits, sizes = _filter(docs.sparkSession, bench)
+    bits, sizes = _filter(bench)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     found = _candidates(rows, bits, sizes).join(bench, ["hash", "size"])
     met = found.groupBy("doc_id", "key", "item_id").agg(
