@@ -1,5 +1,7 @@
 """Planted passages, re-parameterised questions, and a brute-force search for whole items."""
 
+import numpy as np
+
 from lattica.llm import decontam, queries
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +86,74 @@ def test_whole_table_against_brute_force(spark):
         words = d.text.lower().split()
         touched = set().union(*[grams.get(tuple(words[k:k + 8]), set()) for k in range(len(words) - 7)], set())
         assert whole <= got[d.doc_id] <= touched, d.doc_id
+
+
+def met_by_loops(docs, items):
+    """(doc_id, item_id) → the meetings of their windows, token tuple by token tuple, without hashes or filters."""
+    def forms(text):
+        words, _, _, kind = decontam.tokens(text)
+        plain = [w.strip(decontam._MARKS).lower() for w in words]
+        out = []
+        for named in (False, True):
+            kinds = [decontam.WORD if k == decontam.NAME and not named else int(k) for k in kind]
+            out.append((words, [p if k == decontam.WORD else k for p, k in zip(plain, kinds)], kinds))
+        return out if (kind == decontam.NAME).any() else out[:1]
+
+    def windows(form, size):
+        words, tokens, kinds = form
+        for at in range(len(words) - size + 1):
+            part = kinds[at:at + size]
+            if part.count(decontam.WORD) >= min(3, (size + 1) // 2):
+                slots = [w.strip(decontam._MARKS).lower() for w, k in zip(words[at:at + size], part) if k > 0]
+                yield at, tuple(tokens[at:at + size]), slots
+
+    found, items = {}, [(i, forms(t), len(decontam.tokens(t)[0])) for i, t in items if t]
+    index = {}
+    for item, own, n in items:
+        size = min(decontam.WINDOW, n)
+        for form, f in enumerate(own if size else []):
+            every = list(windows(f, size))
+            for place, key, slots in every:
+                index.setdefault((size, key), []).append((item, place, len(every), n, form, slots))
+    for doc, text in docs:
+        theirs = forms(text or "")
+        for number, f in enumerate(theirs):
+            for size in {s for s, _ in index}:
+                for at, key, said in windows(f, size):
+                    if number and decontam.NAME not in key:
+                        continue  # the same window in both forms
+                    for item, place, n_windows, n_words, form, slots in index.get((size, key), ()):
+                        row = (at, place, n_windows, n_words, form, tuple(slots), tuple(said))
+                        found.setdefault((doc, item), set()).add(row)
+    return found
+
+
+def test_decisions_against_loops(spark):
+    """Every document and item of the small tables, with re-parameterised and broken copies of items among the documents."""
+    small = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()] + [(900, ITEM), (901, "the sum of 7 and 7 with 7 and 7 or 7 then 7 by 7")]
+    docs += [(90001, ITEM.replace("12", "31")), (90002, ITEM.replace("has 12", "has 40")), (90003, "so " + items[0][1] + " end"), (90004, "the sum of 1 and 2 with 3 and 4 or 5 then 6 by 8"),
+             (90005, ITEM.replace("Mary Jones", "Ann Lee").replace("km", "miles").lower()), (90006, " ".join(ITEM.split()[:9]) + " and then something else happens altogether")]
+    want = {}
+    for (doc, item), rows in met_by_loops(docs, items).items():
+        names = ("at", "place", "n_windows", "n_words", "form", "slots", "said")
+        rows = [dict(zip(names, (*r[:5], list(r[5]), list(r[6])))) for r in rows]
+        if len(rows) >= rows[0]["n_windows"] * decontam.SHARE and decontam._met(rows) >= decontam.SHARE:
+            want.setdefault(doc, set()).add(item)
+    got = {doc: set(found) for doc, found in decided(spark, docs, items).items() if found}
+    assert got == want and {90001, 90003} <= set(got) and 90004 not in got and 90006 not in got
+
+
+def test_filter_grows_with_the_benchmark(spark):
+    assert [decontam.filter_bits(n) for n in (0, 1000, 1 << 16, (1 << 16) + 1, 1 << 40)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 30]
+    hashes = spark.range(100_000).selectExpr("xxhash64(id) as hash", "5 as size")
+    bits, sizes = decontam._filter(hashes)
+    assert len(bits) * 8 == decontam.filter_bits(100_000) and sizes == [5]
+    packed = np.frombuffer(bits, np.uint8)
+
+    def passed(rows):
+        h = np.array([r[0] for r in rows.collect()]).view(np.uint64)
+        return np.mean(np.all([(packed[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1 for b in decontam._bits(h, 8 * len(packed))], axis=0))
+
+    assert passed(hashes.select("hash")) == 1 and passed(spark.range(10_000).selectExpr("xxhash64(id, 7) as hash")) < 0.02
