@@ -50,8 +50,8 @@ def clahe(gray: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
                 continue
             n = np.bincount(cell, minlength=256).astype(float)
             top = max(1.0, clip * len(cell) / 256)
-            n = np.minimum(n, top) + np.maximum(n - top, 0).sum() / 256
-            maps[i, j] = np.cumsum(n) * 255 / len(cell)
+            spare = np.maximum(n - top, 0).sum()
+            maps[i, j] = (np.cumsum(np.minimum(n, top)) + spare * np.arange(1, 257) / 256) * 255 / len(cell)
 
     def between(n: int, edges: np.ndarray):
         at = np.clip(np.interp(np.arange(n), (edges[:-1] + edges[1:] - 1) / 2, np.arange(grid)), 0, grid - 1)

@@ -36,12 +36,39 @@ def _rows(gray: np.ndarray) -> list[tuple]:
     return [(int(y), int(x), int(gray[y, x])) for y in range(gray.shape[0]) for x in range(gray.shape[1])]
 
 
-@query()
+_GRAY = "select image_id, y, x, ((r*4899 + g*9617 + b*1868 + 8192) // 16384)::double as v from v_pixels"
+
+
+# Four cells of 64 pixels and a limit of 2.0 keep one pixel of each level; the rest of a cell's pixels are spread over all levels.
+@query(ctes("v_pixels") + f""", g as (select image_id, y, x, v::bigint as v from ({_GRAY})), c as (select image_id, y // 8 as i, x // 8 as j, v, count(*) as n from g group by 1, 2, 3, 4),
+    s as (select image_id, i, j, sum(n - 1)::double as spare from c group by 1, 2, 3),
+    m as (select g.image_id, g.y, g.x, s.i, s.j, (count(c.v) + any_value(s.spare) * (any_value(g.v) + 1) / 256) * 255 / 64 as m from g join s using (image_id)
+        left join c on c.image_id = g.image_id and c.i = s.i and c.j = s.j and c.v <= g.v group by 1, 2, 3, 4, 5),
+    f as (select image_id, y, x, greatest(0, least(1, (y - 3.5::double) / 8)) as fy, greatest(0, least(1, (x - 3.5::double) / 8)) as fx, sum(m) filter (where i = 0 and j = 0) as a, sum(m) filter (where i = 0 and j = 1) as b,
+        sum(m) filter (where i = 1 and j = 0) as c, sum(m) filter (where i = 1 and j = 1) as d from m group by 1, 2, 3)
+    select image_id, y, x, greatest(0, least(255, round_even((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy, 0)))::bigint as gray from f""")
 def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, lambda img: _rows(kernels.clahe(kernels.to_gray(img), 2.0, 2)), "y long, x long, gray long")
 
 
-@query()
+_SIZE = "sz as (select image_id, max(y) + 1 as h, max(x) + 1 as w from v_pixels group by 1)"
+
+
+def _weighted(source: str, axis: str, side: str, taps: str, place: str) -> str:
+    """Values of ``source`` summed along an axis: ``taps`` (k, d, w) give, for each result, the places and their weights; ``place`` keeps them inside."""
+    other = "x" if axis == "y" else "y"
+    return f"""select q.image_id, q.{other}, q.k as {axis}, sum(q.w * s.v) as v from (
+        select l.image_id, l.{other}, t.k, t.w, {place} as p from (select distinct image_id, {other} from {source}) l join sz using (image_id) join {taps} t on t.n = sz.{side}) q
+        join {source} s on s.image_id = q.image_id and s.{other} = q.{other} and s.{axis} = q.p group by 1, 2, 3"""
+
+
+_BLUR = """tp as (select n, k, k + d as i, exp(-d*d/18.0::double) / (select sum(exp(-e*e/18.0::double)) from range(-9, 10) as r(e)) as w
+        from (select distinct h as n from sz union select w from sz), range(4096) as a(k), range(-9, 10) as b(d) where k < n)"""
+_MIRRORED = "case when t.i < 0 then -1 - t.i when t.i >= t.n then 2 * t.n - 1 - t.i else t.i end"
+
+
+@query(ctes("v_pixels") + f""", g as ({_GRAY}), {_SIZE}, {_BLUR}, down as ({_weighted('g', 'y', 'h', 'tp', _MIRRORED)}), done as ({_weighted('down', 'x', 'w', 'tp', _MIRRORED)})
+    select g.image_id, g.y, g.x, greatest(0, least(255, round_even(2.5 * g.v - 1.5 * b.v, 0)))::bigint as gray from g join done b on b.image_id = g.image_id and b.y = g.y and b.x = g.x""")
 def sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, lambda img: _rows(kernels.sharpened(kernels.to_gray(img))), "y long, x long, gray long")
 
@@ -170,7 +197,15 @@ def clahe_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, lambda img: [(y, x, *map(int, v)) for y, row in enumerate(kernels.contrast_enhanced(img, 2.0, 2)) for x, v in enumerate(row)], "y long, x long, b long, g long, r long")
 
 
-@query()
+_LANCZOS = """raw as (select n, k, floor((k + 0.5) / 2 - 0.5)::bigint + t as i, (k + 0.5) / 2 - 0.5 - floor((k + 0.5) / 2 - 0.5) - t as d
+        from (select distinct h as n from sz union select w from sz), range(8192) as a(k), range(-3, 5) as b(t) where k < 2 * n),
+    wt as (select n, k, i, case when d = 0 then 1.0 else sin(pi()*d)/(pi()*d) * sin(pi()*d/4)/(pi()*d/4) end as w from raw),
+    tp as (select n, k, i, w / sum(w) over (partition by n, k) as w from wt)"""
+_KEPT = "greatest(0, least(t.n - 1, t.i))"
+
+
+@query(ctes("v_pixels") + f""", g as ({_GRAY}), {_SIZE}, {_LANCZOS}, down as ({_weighted('g', 'y', 'h', 'tp', _KEPT)}), done as ({_weighted('down', 'x', 'w', 'tp', _KEPT)})
+    select image_id, y, x, greatest(0, least(255, round_even(v, 0)))::bigint as gray from done""")
 def upscale_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, lambda img: _rows(kernels.upscaled(kernels.to_gray(img), 2)), "y long, x long, gray long")
 
