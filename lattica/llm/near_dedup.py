@@ -119,13 +119,13 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
 def _nodes(signed: DataFrame) -> DataFrame:
     """node, h1, h2, first (doc_id, text_key), signature of each distinct set. A node is called h1; sets that agree in h1 alone are called by both."""
     sets = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature"))
-    sets = written(sets, "sets")
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature")).withColumn("node", F.col("h1"))
+    sets = written(sets, "nodes")
     twice = written(sets.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("twice")), "twice")
     if twice.isEmpty():
-        return sets.withColumn("node", F.col("h1"))
-    return sets.join(broadcast_if_small(twice, BROADCAST_ROWS), F.col("h1") == F.col("twice"), "left").withColumn(
-        "node", F.when(F.col("twice").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("twice")
+        return sets
+    named = sets.drop("node").join(broadcast_if_small(twice, BROADCAST_ROWS), F.col("h1") == F.col("twice"), "left")
+    return written(named.withColumn("node", F.when(F.col("twice").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))).drop("twice"), "nodes")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -327,13 +327,14 @@ class _Joined:
 def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and h1, h2, first (doc_id, text_key) of its component, of each node."""
     signed = written(_signed(docs, words), "signed")
-    nodes = written(_nodes(signed), "nodes")
+    nodes = _nodes(signed)
     walk = _forest(nodes, threshold)
     cand = written(walk.where("apart is not null").groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
-    cloud = written(components(walk.where("apart is null").select("a", "b").distinct()), "clouds")
+    found = written(components(walk.where("apart is null").select("a", "b").distinct()), "clouds")
     discard(walk)
-    cloud = cloud.select("node", F.col("label").alias("cloud"))
+    cloud = found.select("node", F.col("label").alias("cloud"))
     cloud = written(cloud.union(cloud.select("cloud", "cloud").distinct()), "clouds")
+    discard(found)
     joined = _Joined(docs.sparkSession)
     if not cand.isEmpty() or not cloud.isEmpty():
         named = cand.select(F.col("a").alias("node")).union(cand.select("b")).union(cloud.select("node")).distinct()
@@ -347,8 +348,12 @@ def _linked(docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, D
         discard(texts)
     discard(cand)
     label = written(joined.of(nodes.select("node", "h1", "h2", "first")), "named")
+    discard(nodes)
     first = written(label.groupBy("label").agg(F.min("first").alias("first")), "first")  # by itself, so that a join with a large component can be split
-    return signed, written(label.select("h1", "h2", "label").join(first, "label").select("h1", "h2", "first"), "firsts")
+    out = written(label.select("h1", "h2", "label").join(first, "label").select("h1", "h2", "first"), "firsts")
+    for table in (label, first, cloud):
+        discard(table)
+    return signed, out
 
 
 def _tried(cand: DataFrame, cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, threshold: float) -> None:
@@ -401,26 +406,26 @@ def _settled(cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, th
         if mixed.isEmpty():
             return
         small = broadcast_if_small(mixed, BROADCAST_ROWS)
-        rows = written(cloud.join(small, "cloud").join(texts, "node").select("cloud", "node", "text"), "members")
-        counts = written(_counted(rows, words).groupBy("cloud", "g").agg(F.sum("n").alias("n")), "counts")
+        members = written(cloud.join(small, "cloud").join(texts, "node").select("cloud", "node", "text"), "members")
+        counts = written(_counted(members, words).groupBy("cloud", "g").agg(F.sum("n").alias("n")), "counts")
         middle = counts.join(small, "cloud").where("2 * n > m").groupBy("cloud").agg(F.collect_list("g").alias("middle"))
         middle = written(middle, "middle")
         size = middle.agg(F.sum(F.size("middle"))).first()[0] or 0
-        rows = rows.join(F.broadcast(middle) if size <= BROADCAST_SHINGLES else middle, "cloud", "left")
+        rows = members.join(F.broadcast(middle) if size <= BROADCAST_SHINGLES else middle, "cloud", "left")
         apart = written(_compared(rows, words, p), "apart")
-        hub = F.min(F.struct("e", "node")).alias("hub")
-        hubs = broadcast_if_small(written(apart.groupBy("cloud").agg(hub), "hubs"), BROADCAST_ROWS)
-        star = apart.join(hubs, "cloud").where("e + hub.e <= 0 and node <> hub.node")
+        hubs = written(apart.groupBy("cloud").agg(F.min(F.struct("e", "node")).alias("hub")), "hubs")
+        central = broadcast_if_small(hubs, BROADCAST_ROWS)
+        star = apart.join(central, "cloud").where("e + hub.e <= 0 and node <> hub.node")
         joined.add(written(star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "links"))
-        known = joined.of(joined.of(apart.join(hubs, "cloud").withColumn("_h", F.col("hub.node"))), "_h", "main")
+        known = joined.of(joined.of(apart.join(central, "cloud").withColumn("_h", F.col("hub.node"))), "_h", "main")
         known = known.withColumn("far", F.expr("e + hub.e > 0 and label <> main"))
-        known = written(known.select("cloud", "node", "label", "far", "size", "e", "own", F.size("added").alias("n_added"),
-                                     F.size("lacked").alias("n_lacked"), "middle_size", "added", "lacked"), "known")
-        open_clouds = known.groupBy("cloud").agg(F.max("far").alias("open")).where("open").select("cloud")
+        settled = written(known.select("cloud", "node", "label", "far", "size", "e", "own", F.size("added").alias("n_added"),
+                                       F.size("lacked").alias("n_lacked"), "middle_size", "added", "lacked"), "known")
+        open_clouds = settled.groupBy("cloud").agg(F.max("far").alias("open")).where("open").select("cloud")
         open_clouds = written(open_clouds, "open")
         if open_clouds.isEmpty():
             return
-        known = known.join(broadcast_if_small(open_clouds, BROADCAST_ROWS), "cloud")
+        known = settled.join(broadcast_if_small(open_clouds, BROADCAST_ROWS), "cloud")
         pairs, hot = _sharing(known, counts, p, level == LEVELS - 1)
         pairs = written(pairs.union(_lacking(known, p)).distinct(), "pairs")
         side = lambda s: known.select(F.col("node").alias(s), F.col("e").alias(f"e{s}"), F.col("added").alias(f"added_{s}"),
@@ -430,11 +435,11 @@ def _settled(cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, th
         joined.add(written(met.select("a", "b"), "links"))
         if level == LEVELS - 1:
             return
-        again = written(components(hot), "clouds").select("node", F.col("label").alias("cloud"))
-        again = again.union(again.select("cloud", "cloud").distinct())
-        for table in (mixed, counts, middle, apart, pairs):
+        found = written(components(hot), "clouds")
+        again = found.select("node", F.col("label").alias("cloud"))
+        cloud = written(again.union(again.select("cloud", "cloud").distinct()), "clouds")
+        for table in (mixed, counts, middle, apart, pairs, members, hubs, settled, open_clouds, found):
             discard(table)
-        cloud = written(again, "clouds")
         if cloud.isEmpty():
             return
 
