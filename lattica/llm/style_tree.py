@@ -16,7 +16,8 @@ keeps in how many pages it occurs, the styles of its children there, the texts u
 * A node's **importance** is ``MARKED`` * (1 + mark) / 2 + (1 - ``MARKED``) * entropy.
 
 A branch is removed from the host's pages if its importance is under ``FLOOR``, or under ``RATIO`` of that of its best
-sibling, or if it has no mark of 1 and an entropy under ``LEAST`` while a sibling's is not. So the tree chooses the main branch at each node on the way down: a marked article against what stands beside it
+sibling, or if it has no mark of 1 and an entropy under ``LEAST`` while a sibling's is not. So the tree chooses the main
+branch at each node on the way down: a marked article against what stands beside it
 (and nothing inside it, as its parts are marked as well, though copies of a page repeat as a template does), and, among
 branches without marks, those whose texts differ from page to page. Of what is left, block elements give one line each,
 in page order, with character references decoded and white space joined.
@@ -64,7 +65,10 @@ td tfoot th thead tr ul""".split())
 ENDS_P = BLOCK - {"br", "html", "body", "option", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: Elements and class words that aren't content.
 ASIDE = frozenset("nav footer aside header form button select menu dialog head script style noscript template iframe object svg math".split())
-ASIDE_CLASS = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|respond|share|sharing|sidebar|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[-_\s])", re.I)
+ASIDE_WORDS = """ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer header masthead
+menu nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar signup skip social sponsor sponsored
+subscribe toolbar widget""".split()
+ASIDE_CLASS = re.compile(rf"(?:^|[-_\s])(?:{'|'.join(ASIDE_WORDS)})(?:$|[-_\s])", re.I)
 MAIN = frozenset(("article", "main"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -291,7 +295,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [main_text(page, set(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], dtype=np.int64))],
-                                             names=["page_id", "url", "text", "n_chars"])
+            size = pa.array([len(t) for t in text], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), size], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(rows.select("page_id", "url", "html", "low"), fn, "page_id long, url string, text string, n_chars long")
