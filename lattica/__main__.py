@@ -42,9 +42,10 @@ def run(spark, path: str, client, model_name: str, from_tile: int = 0, debug: bo
     params, tiles = params.persist(), tiles.persist()
     parts = analysis.measured(found, params, tiles, make or ocr.stub).persist()
     if debug:
-        shown = analysis.steps(found, params).select(F.concat(F.lit(f"{folder}/debug/"), F.regexp_extract("image_id", "([^/]*)$", 1), F.lit("/"), "stage", F.lit(".png")).alias("path"), F.col("image").alias("body"))
+        name = F.concat(F.lit(f"{folder}/debug/"), F.regexp_extract("image_id", "([^/]*)$", 1), F.lit("/"))
+        file = lambda df, stage: df.select(F.concat(name, stage, F.lit(".png")).alias("path"), F.col("image").alias("body"))
         view = F.when(F.col("ord") < 0, "05_global_view").otherwise(F.format_string("05_tile_%d_%d", "row_no", "col_no"))
-        sinks.write_files(shown.unionByName(parts.select(F.concat(F.lit(f"{folder}/debug/"), F.regexp_extract("image_id", "([^/]*)$", 1), F.lit("/"), view, F.lit(".png")).alias("path"), F.col("image").alias("body"))))
+        sinks.write_files(file(analysis.steps(found, params), F.col("stage")).unionByName(file(parts, view)))
     known = sinks.read_progress(spark, progress)
     said = analysis.asked(parts, client, known, None, from_tile, workers)
     answers = said.where("error is null").select("image_id", F.when(F.col("pass") == "global", -1).otherwise(F.col("ord")).cast("long").alias("tile"), "result")

@@ -18,7 +18,8 @@ def legend(clusters: DataFrame) -> DataFrame:
     """clusters with a name each; the second and later ones of a name get _1, _2, ..."""
     named = clusters.withColumn("base", exprs.rgb_name(F.col("r"), F.col("g"), F.col("b")))
     before = F.row_number().over(Window.partitionBy("image_id", "base").orderBy("ord")) - 1
-    return named.withColumn("before", before).withColumn("label", F.when(F.col("before") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("before").cast("string")))).drop("base", "before")
+    label = F.when(F.col("before") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("before").cast("string")))
+    return named.withColumn("before", before).withColumn("label", label).drop("base", "before")
 
 
 def with_rgb(entries: DataFrame, clusters: DataFrame) -> DataFrame:

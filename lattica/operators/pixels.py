@@ -84,7 +84,8 @@ def hsv() -> dict[str, Column]:
     top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
     span = (top - low).cast("double")
     r, g, b = F.col("r"), F.col("g"), F.col("b")
-    hue = F.when(span == 0, 0.0).when(top == r, 30 * (g - b) / F.nullif(span, F.lit(0.0))).when(top == g, 60 + 30 * (b - r) / F.nullif(span, F.lit(0.0))).otherwise(120 + 30 * (r - g) / F.nullif(span, F.lit(0.0)))
+    some = F.nullif(span, F.lit(0.0))
+    hue = F.when(span == 0, 0.0).when(top == r, 30 * (g - b) / some).when(top == g, 60 + 30 * (b - r) / some).otherwise(120 + 30 * (r - g) / some)
     hue = F.rint(F.when(hue < 0, hue + 180).otherwise(hue)).cast("long") % 180
     return {"h": hue, "s": F.when(top == 0, F.lit(0)).otherwise(F.rint(255 * span / F.nullif(top, F.lit(0)))).cast("long"), "v": top}
 

@@ -20,7 +20,8 @@ def preprocess_params(images: DataFrame) -> DataFrame:
     t = F.col("thickness")
     return images.select(
         "image_id", F.when(t >= 3, 1).otherwise(2).alias("upscale_factor"), F.lit(3).alias("morph_kernel_size"),
-        F.when(t >= 4, 0).when(t >= 2, 1).otherwise(2).alias("morph_iterations"), F.when((t < 2) | (F.col("line_density") < 0.03), 3).otherwise(0).alias("close_gaps_kernel"),
+        F.when(t >= 4, 0).when(t >= 2, 1).otherwise(2).alias("morph_iterations"),
+        F.when((t < 2) | (F.col("line_density") < 0.03), 3).otherwise(0).alias("close_gaps_kernel"),
         (F.col("contrast") < 50).alias("clahe_enabled"), F.lit(2.0).alias("clahe_clip_limit"), F.lit(8).alias("clahe_grid_size"), F.lit(True).alias("sharpen_enabled"),
         F.when(F.col("text_density") > 0.05, 1.0).otherwise(1.5).alias("sharpen_amount"), _steps(F.col("line_density"), (0.15, 16), (0.08, 12), (0.03, 8), otherwise=4).alias("tile_count"))
 
@@ -52,7 +53,8 @@ def grid_size(images: DataFrame, target: int = 1024, overlap: float = 0.25, most
         s["r"] >= s["c"], F.struct(F.greatest(one, s["r"] - 1).alias("r"), s["c"].alias("c"))).otherwise(F.struct(s["r"].alias("r"), F.greatest(one, s["c"] - 1).alias("c"))))
     capped = free.withColumn("s", shrunk).withColumn("r", F.greatest("s.r", F.floor(most / F.col("s.c")))).withColumn("c", F.greatest("s.c", F.floor(most / F.col("r"))))
     over = F.col("free_rows") * F.col("free_cols") > most
-    return capped.select("image_id", "free_rows", "free_cols", F.when(over, F.col("r")).otherwise(F.col("free_rows")).alias("rows"), F.when(over, F.col("c")).otherwise(F.col("free_cols")).alias("cols"))
+    pick = lambda cut, free, name: F.when(over, F.col(cut)).otherwise(F.col(free)).alias(name)
+    return capped.select("image_id", "free_rows", "free_cols", pick("r", "free_rows", "rows"), pick("c", "free_cols", "cols"))
 
 
 def tiles(images: DataFrame, overlap: float) -> DataFrame:
@@ -74,7 +76,8 @@ def adjacent(images: DataFrame, overlap: float) -> DataFrame:
     cells = down.select("image_id", "v", F.explode("across").alias("u"))
     pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     near = F.filter(F.array(pair("v.own", "u.next"), pair("v.next", "u.own")), lambda p: p["v"].isNotNull() & p["u"].isNotNull())
-    both = cells.select("image_id", F.col("v.own").alias("va"), F.col("u.own").alias("ua"), F.explode(near).alias("b")).select("image_id", "va", "ua", F.col("b.v").alias("vb"), F.col("b.u").alias("ub"))
+    both = cells.select("image_id", F.col("v.own").alias("va"), F.col("u.own").alias("ua"), F.explode(near).alias("b"))
+    both = both.select("image_id", "va", "ua", F.col("b.v").alias("vb"), F.col("b.u").alias("ub"))
     start = lambda a: F.greatest(F.col(f"{a}a.origin"), F.col(f"{a}b.origin"))
     end = lambda a: F.least(*[F.col(f"{a}{k}.origin") + F.col(f"{a}{k}.size") for k in "ab"])
     zero = F.lit(0).cast("long")

@@ -13,7 +13,8 @@ from lattica.sources.adapters import ctes, read, view
 #: A legend to match colours with.
 LEGEND = [("power", 200, 30, 30), ("uplink", 40, 60, 200), ("lan", 30, 160, 60), ("spare", 128, 128, 128), ("note", 230, 200, 40)]
 
-_NAME = """case when greatest(r,g,b) < 40 then 'black' when greatest(r,g,b) - least(r,g,b) < 30 and greatest(r,g,b) > 180 then 'white' when greatest(r,g,b) - least(r,g,b) < 30 then 'gray'
+_NAME = """case when greatest(r,g,b) < 40 then 'black' when greatest(r,g,b) - least(r,g,b) < 30 and greatest(r,g,b) > 180 then 'white'
+        when greatest(r,g,b) - least(r,g,b) < 30 then 'gray'
     when r >= g and r >= b then case when g > b and g > 100 then 'yellow' else 'red' end when g >= r and g >= b then case when b > r and b > 100 then 'teal' else 'green' end
     else case when r > g and r > 100 then 'purple' else 'blue' end end || '_lines'"""
 
@@ -28,7 +29,8 @@ def rgb_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_segments").select("image_id", "ord", exprs.rgb_name(F.col("r"), F.col("g"), F.col("b")).alias("name"))
 
 
-@query(ctes("v_segments") + f""", n as (select image_id, ord, {_NAME} as base from v_segments), k as (select *, row_number() over (partition by image_id, base order by ord) - 1 as c from n)
+@query(ctes("v_segments") + f""", n as (select image_id, ord, {_NAME} as base from v_segments), k as (select *, row_number() over (partition by image_id,
+        base order by ord) - 1 as c from n)
     select image_id, ord, case when c = 0 then base else base || '_' || c end as label from k""")
 def legend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return color.legend(view(spark, sf_dir, "v_segments")).select("image_id", "ord", "label")
@@ -42,9 +44,11 @@ def nearest_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Clusters of an image's lines, for want of fitted ones, and those that a legend finds again.
-CLUSTER_SQL = """cl as (select image_id, ord % 5 as ord, floor(avg(r))::bigint as r, floor(avg(g))::bigint as g, floor(avg(b))::bigint as b, count(*) as count from v_segments group by 1, 2),
+CLUSTER_SQL = """cl as (select image_id, ord % 5 as ord, floor(avg(r))::bigint as r, floor(avg(g))::bigint as g, floor(avg(b))::bigint as b, count(*) as count
+        from v_segments group by 1, 2),
     ln as (select *, """ + _NAME + """ as base from cl), lg as (select *, base || case when k = 0 then '' else '_' || k end as label from (select *, row_number() over (partition by image_id, base order by ord) - 1 as k from ln)),
-    lr as (select lg.image_id, lg.ord, label, coalesce(f.r, 0) as r, coalesce(f.g, 0) as g, coalesce(f.b, 0) as b from lg left join (select * from cl where image_id % 7 <> 0 or ord <> 4) f on f.image_id = lg.image_id and f.ord = lg.ord)"""
+    lr as (select lg.image_id, lg.ord, label, coalesce(f.r, 0) as r, coalesce(f.g, 0) as g, coalesce(f.b, 0) as b from lg left join (select * from cl
+        where image_id % 7 <> 0 or ord <> 4) f on f.image_id = lg.image_id and f.ord = lg.ord)"""
 
 
 def clusters(segments: DataFrame) -> DataFrame:
@@ -83,14 +87,17 @@ _ALL = ["red_lines", "green_lines", "blue_lines", "gray_lines"]
 
 
 @query(ctes("v_segments") + f""", n as (select image_id, {_NAME} as label, count(*) as c from v_segments group by 1, 2), i as (select distinct image_id from n),
-    a as (select image_id, label from i, (values ('red_lines'), ('green_lines'), ('blue_lines'), ('gray_lines')) as v(label)), j as (select a.image_id, a.label, coalesce(c, 0) as count from a left join n using (image_id, label))
+    a as (select image_id, label from i, (values ('red_lines'), ('green_lines'), ('blue_lines'), ('gray_lines')) as v(label)), j as (select a.image_id, a.label,
+        coalesce(c, 0) as count from a left join n using (image_id, label))
     select image_id, label, count, round_even(100.0::double * count / sum(count) over (partition by image_id), 2) as percentage from j""")
 def cluster_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return color.shares(_labelled(spark, sf_dir), _ALL)
 
 
-@query(ctes("v_segments") + f""", n as (select image_id, {_NAME} as label, r, g, b from v_segments), c as (select image_id, label, floor(avg(r))::bigint as r, floor(avg(g))::bigint as g, floor(avg(b))::bigint as b from n group by 1, 2)
-    select c.image_id, c.label, c.r, c.g, c.b, count(n.r) as count, round_even(100.0::double * count(n.r) / (select count(*) from n t where t.image_id = c.image_id), 2) as percentage
+@query(ctes("v_segments") + f""", n as (select image_id, {_NAME} as label, r, g, b from v_segments), c as (select image_id, label, floor(avg(r))::bigint as r,
+        floor(avg(g))::bigint as g, floor(avg(b))::bigint as b from n group by 1, 2)
+    select c.image_id, c.label, c.r, c.g, c.b, count(n.r) as count, round_even(100.0::double * count(n.r) / (select count(*) from n t where t.image_id = c.image_id),
+        2) as percentage
     from c left join n on n.image_id = c.image_id and n.r = c.r and n.g = c.g and n.b = c.b group by 1, 2, 3, 4, 5""")
 def exact_center_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return color.exact_centres(_labelled(spark, sf_dir))

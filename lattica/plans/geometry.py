@@ -28,7 +28,8 @@ def connection_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_segments").replace("with ", "with recursive ", 1) + ", " + _EDGES + """,
     linked as (select image_id, a, b from e union select image_id, b, a from e),
-    reach as (select image_id, ord, ord as root from v_segments union select linked.image_id, linked.b, reach.root from reach join linked on linked.image_id = reach.image_id and linked.a = reach.ord)
+    reach as (select image_id, ord, ord as root from v_segments union select linked.image_id, linked.b, reach.root from reach
+        join linked on linked.image_id = reach.image_id and linked.a = reach.ord)
     select image_id, count(distinct root) as connections from (select image_id, ord, min(root) as root from reach group by 1, 2) group by 1""")
 def connection_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = view(spark, sf_dir, "v_segments")
@@ -58,8 +59,10 @@ def zone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.zones(view(spark, sf_dir, "v_rects"), F.lit(_AREA))
 
 
-@query(ctes("v_rects") + f""", z as (select * from v_rects where area >= {_AREA} * 0.01 and area <= {_AREA} * 0.95 and greatest(width, height) / greatest(least(width, height), 1) <= 8)
-    select image_id, count(*) as zones, round_even(cast(sum(area) as double) / {_AREA}, 6) as coverage, count(*) between 3 and (2 + image_id % 3) * (2 + image_id % 4) and cast(sum(area) as double) / {_AREA} between 0.30 and 1.5 as use_smart_tiling from z group by 1""")
+@query(ctes("v_rects") + f""", z as (select * from v_rects where area >= {_AREA} * 0.01 and area <= {_AREA} * 0.95 and greatest(width, height) / greatest(least(width,
+        height), 1) <= 8)
+    select image_id, count(*) as zones, round_even(cast(sum(area) as double) / {_AREA}, 6) as coverage,
+        count(*) between 3 and (2 + image_id % 3) * (2 + image_id % 4) and cast(sum(area) as double) / {_AREA} between 0.30 and 1.5 as use_smart_tiling from z group by 1""")
 def zone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(tiling.zones(view(spark, sf_dir, "v_rects"), F.lit(_AREA)), F.lit(_AREA), (2 + F.col("image_id") % 3) * (2 + F.col("image_id") % 4))
 
@@ -82,17 +85,23 @@ def contour_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.select("image_id", "ord", exprs.contour_type(F.col("vertices"), F.col("area").cast("double"), 2.0 * (F.col("width") + F.col("height"))).alias("type"))
 
 
-@query(ctes("v_images") + """ select image_id, 1 as upscale_factor, 3 as morph_kernel_size, case when thickness >= 4 then 0 when thickness >= 2 then 1 else 2 end as morph_iterations,
-    case when thickness < 2 or line_density < 0.03 then 3 else 0 end as close_gaps_kernel, contrast < 50 as clahe_enabled, 2.0::double as clahe_clip_limit, 8 as clahe_grid_size, true as sharpen_enabled,
-    case when text_density > 0.05 then 1.0 else 1.5 end::double as sharpen_amount, case when line_density > 0.15 then 16 when line_density > 0.08 then 12 when line_density > 0.03 then 8 else 4 end as tile_count from v_images""")
+@query(ctes("v_images") + """ select image_id, 1 as upscale_factor, 3 as morph_kernel_size, case when thickness >= 4 then 0 when thickness >= 2 then 1
+        else 2 end as morph_iterations,
+    case when thickness < 2 or line_density < 0.03 then 3 else 0 end as close_gaps_kernel, contrast < 50 as clahe_enabled, 2.0::double as clahe_clip_limit,
+        8 as clahe_grid_size, true as sharpen_enabled,
+    case when text_density > 0.05 then 1.0 else 1.5 end::double as sharpen_amount, case when line_density > 0.15 then 16 when line_density > 0.08 then 12
+        when line_density > 0.03 then 8 else 4 end as tile_count from v_images""")
 def preprocess_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.preprocess_params(view(spark, sf_dir, "v_images")).withColumn("upscale_factor", F.lit(1))
 
 
-@query(ctes("v_images") + """, t as (select *, case when line_density + text_density > 0.20 then 16 when line_density + text_density > 0.10 then 12 when line_density + text_density > 0.04 then 8 else 4 end as target, w / h as aspect from v_images),
+@query(ctes("v_images") + """, t as (select *, case when line_density + text_density > 0.20 then 16 when line_density + text_density > 0.10 then 12
+        when line_density + text_density > 0.04 then 8 else 4 end as target, w / h as aspect from v_images),
     f as (select *, case when w >= h then greatest(1, round_even(sqrt(target) * sqrt(aspect), 0)) else greatest(1, round_even(sqrt(target) / sqrt(aspect), 0)) end as major from t)
-    select image_id, greatest(2, case when w >= h then greatest(1, round_even(target / major, 0)) else major end)::bigint as rows, greatest(2, case when w >= h then major else greatest(1, round_even(target / major, 0)) end)::bigint as cols,
-        round_even(least(0.40, 0.20 + case when text_density > 0.05 then 0.05 else 0 end + case when thickness < 2 then 0.05 else 0 end + case when colors > 6 then 0.05 else 0 end)::double, 2) as overlap from f""")
+    select image_id, greatest(2, case when w >= h then greatest(1, round_even(target / major, 0)) else major end)::bigint as rows, greatest(2, case when w >= h
+        then major else greatest(1, round_even(target / major, 0)) end)::bigint as cols,
+        round_even(least(0.40, 0.20 + case when text_density > 0.05 then 0.05 else 0 end + case when thickness < 2 then 0.05 else 0 end + case when colors > 6 then 0.05
+        else 0 end)::double, 2) as overlap from f""")
 def tiling_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.tiling_params(view(spark, sf_dir, "v_images"))
 
@@ -111,7 +120,8 @@ def grid_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _axis(length: str, n: str) -> str:
     return f"""select image_id, i, case when {n} = 1 then 0 else greatest(0, least(round_even((len - t) / ({n} - 1) * i, 0), len - t)) end::bigint as origin,
         case when {n} = 1 then len else least(t, len - greatest(0, least(round_even((len - t) / ({n} - 1) * i, 0), len - t))) end::bigint as size from (
-        select image_id, {n}, {length} as len, greatest(1, least(round_even({length} / (1 + 0.75::double * ({n} - 1)), 0), {length}))::bigint as t, unnest(range({n})) as i from im)"""
+        select image_id, {n}, {length} as len, greatest(1, least(round_even({length} / (1 + 0.75::double * ({n} - 1)), 0), {length}))::bigint as t,
+        unnest(range({n})) as i from im)"""
 
 
 _IM = "im as (select *, 1 + image_id % 4 as rows, 1 + image_id % 5 as cols from v_images)"
@@ -124,7 +134,8 @@ def axis_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TILES = f"""{_IM}, ax as ({_axis('w', 'cols')}), ay as ({_axis('h', 'rows')}),
-    tiles as materialized (select ay.image_id, ay.i as row_no, ax.i as col_no, ax.origin as x, ay.origin as y, ax.size as width, ay.size as height from ax join ay using (image_id))"""
+    tiles as materialized (select ay.image_id, ay.i as row_no, ax.i as col_no, ax.origin as x, ay.origin as y, ax.size as width, ay.size as height from ax
+        join ay using (image_id))"""
 
 
 def _gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +162,10 @@ def tile_overlap_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.adjacent(_gridded(spark, sf_dir), 0.25)
 
 
-@query(ctes("v_images") + """ select image_id, round_even(w * (1024.0::double / greatest(w, h)), 0)::bigint as global_w, round_even(h * (1024.0::double / greatest(w, h)), 0)::bigint as global_h,
-    case when greatest(w, h) > 1024 then 'area' else 'linear' end as interpolation, case when greatest(w, h) <= 1024 then w else round_even(w * (1024.0::double / greatest(w, h)), 0)::bigint end as model_w,
+@query(ctes("v_images") + """ select image_id, round_even(w * (1024.0::double / greatest(w, h)), 0)::bigint as global_w, round_even(h * (1024.0::double / greatest(w,
+        h)), 0)::bigint as global_h,
+    case when greatest(w, h) > 1024 then 'area' else 'linear' end as interpolation, case when greatest(w, h) <= 1024 then w
+        else round_even(w * (1024.0::double / greatest(w, h)), 0)::bigint end as model_w,
     case when greatest(w, h) <= 1024 then h else round_even(h * (1024.0::double / greatest(w, h)), 0)::bigint end as model_h from v_images""")
 def view_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = exprs.scaled_to(F.col("w"), F.col("h"), 1024)
@@ -167,7 +180,8 @@ def coord_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.to_image(view(spark, sf_dir, "v_segments").join(tiles, ["image_id", "ord"])).select("image_id", "ord", "x1", "y1", "x2", "y2")
 
 
-@query(ctes("v_images", "v_rects") + """, z as (select r.image_id, r.ord, greatest(0, least(r.x - 300, 1199)) as x, greatest(0, least(r.y - 200, 899)) as y, r.width, r.height from v_rects r)
+@query(ctes("v_images", "v_rects") + """, z as (select r.image_id, r.ord, greatest(0, least(r.x - 300, 1199)) as x, greatest(0, least(r.y - 200, 899)) as y, r.width,
+        r.height from v_rects r)
     select image_id, ord, x, y, least(width, 1200 - x) as width, least(height, 900 - y) as height from z""")
 def zone_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rects = view(spark, sf_dir, "v_rects").withColumn("x", F.col("x") - 300).withColumn("y", F.col("y") - 200)

@@ -40,11 +40,13 @@ _GRAY = "select image_id, y, x, ((r*4899 + g*9617 + b*1868 + 8192) // 16384)::do
 
 
 # Four cells of 64 pixels and a limit of 2.0 keep one pixel of each level; the rest of a cell's pixels are spread over all levels.
-@query(ctes("v_pixels") + f""", g as (select image_id, y, x, v::bigint as v from ({_GRAY})), c as (select image_id, y // 8 as i, x // 8 as j, v, count(*) as n from g group by 1, 2, 3, 4),
+@query(ctes("v_pixels") + f""", g as (select image_id, y, x, v::bigint as v from ({_GRAY})), c as (select image_id, y // 8 as i, x // 8 as j, v, count(*) as n from g
+        group by 1, 2, 3, 4),
     s as (select image_id, i, j, sum(n - 1)::double as spare from c group by 1, 2, 3),
     m as (select g.image_id, g.y, g.x, s.i, s.j, (count(c.v) + any_value(s.spare) * (any_value(g.v) + 1) / 256) * 255 / 64 as m from g join s using (image_id)
         left join c on c.image_id = g.image_id and c.i = s.i and c.j = s.j and c.v <= g.v group by 1, 2, 3, 4, 5),
-    f as (select image_id, y, x, greatest(0, least(1, (y - 3.5::double) / 8)) as fy, greatest(0, least(1, (x - 3.5::double) / 8)) as fx, sum(m) filter (where i = 0 and j = 0) as a, sum(m) filter (where i = 0 and j = 1) as b,
+    f as (select image_id, y, x, greatest(0, least(1, (y - 3.5::double) / 8)) as fy, greatest(0, least(1, (x - 3.5::double) / 8)) as fx,
+        sum(m) filter (where i = 0 and j = 0) as a, sum(m) filter (where i = 0 and j = 1) as b,
         sum(m) filter (where i = 1 and j = 0) as c, sum(m) filter (where i = 1 and j = 1) as d from m group by 1, 2, 3)
     select image_id, y, x, greatest(0, least(255, round_even((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy, 0)))::bigint as gray from f""")
 def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,8 @@ _MIRRORED = "case when t.i < 0 then -1 - t.i when t.i >= t.n then 2 * t.n - 1 -
 
 
 @query(ctes("v_pixels") + f""", g as ({_GRAY}), {_SIZE}, {_BLUR}, down as ({_weighted('g', 'y', 'h', 'tp', _MIRRORED)}), done as ({_weighted('down', 'x', 'w', 'tp', _MIRRORED)})
-    select g.image_id, g.y, g.x, greatest(0, least(255, round_even(2.5 * g.v - 1.5 * b.v, 0)))::bigint as gray from g join done b on b.image_id = g.image_id and b.y = g.y and b.x = g.x""")
+    select g.image_id, g.y, g.x, greatest(0, least(255, round_even(2.5 * g.v - 1.5 * b.v, 0)))::bigint as gray from g
+        join done b on b.image_id = g.image_id and b.y = g.y and b.x = g.x""")
 def sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_image(spark, sf_dir, lambda img: _rows(kernels.sharpened(kernels.to_gray(img))), "y long, x long, gray long")
 
@@ -125,9 +128,11 @@ def vlm_stub_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("v_tiles") + f""", c as (select image_id, tile, 'tile ' || tile as context from v_tiles where tile % 3 = 0),
-    q as (select distinct image_id, 'global' as pass, 0::bigint as ord, '{model.PROMPTS["global"]}' || case when image_id % 2 = 0 then '{model.MEASURED}' || 'image ' || image_id else '' end as prompt from v_tiles
+    q as (select distinct image_id, 'global' as pass, 0::bigint as ord, '{model.PROMPTS["global"]}' || case when image_id % 2 = 0
+        then '{model.MEASURED}' || 'image ' || image_id else '' end as prompt from v_tiles
         union all select t.image_id, 'tile', t.tile, {_prompt('tile', "coalesce(c.context, '')")} from v_tiles t left join c on c.image_id = t.image_id and c.tile = t.tile
-        union all select a.image_id, 'cross', a.tile, {_prompt('cross', "''")} from v_tiles a join v_tiles b on b.image_id = a.image_id and b.row_no = a.row_no and b.col_no = a.col_no + 1)
+        union all select a.image_id, 'cross', a.tile, {_prompt('cross', "''")} from v_tiles a
+        join v_tiles b on b.image_id = a.image_id and b.row_no = a.row_no and b.col_no = a.col_no + 1)
     select image_id, pass, ord, {_answer('prompt')} as result, null::varchar as error from q""")
 def three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, none = view(spark, sf_dir, "v_tiles"), F.lit(None).cast("binary").alias("image")
@@ -140,7 +145,8 @@ def three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("v_raw_answers") + """ select conv_id * 1000 + turn as response_id, regexp_replace(raw, '(?s)<think>.*?(</think>|$)', '', 'g') as said,
-    case when raw like '%</think>%' then regexp_extract(raw, '(?s)<think>(.*?)</think>', 1) else regexp_extract(raw, '(?s)<think>(.*)$', 1) end as thought from v_raw_answers where length(raw) > 0""")
+    case when raw like '%</think>%' then regexp_extract(raw, '(?s)<think>(.*?)</think>', 1) else regexp_extract(raw, '(?s)<think>(.*)$', 1) end as thought
+        from v_raw_answers where length(raw) > 0""")
 def stream_think_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as a stream from files, through keyed state, to a table of pieces; what each response said and thought."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or _local(spark)

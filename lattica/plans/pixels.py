@@ -12,7 +12,8 @@ from lattica.sources.adapters import ctes, view
 
 _G = "(r*4899 + g*9617 + b*1868 + 8192) // 16384"
 _OTSU = f"""h as (select image_id, {_G} as level, count(*) as n from v_pixels group by 1, 2),
-    w as (select image_id, level, sum(n) over o as w0, sum(level*n) over o as s0, sum(n) over a as nn, sum(level*n) over a as ss from h window o as (partition by image_id order by level), a as (partition by image_id)),
+    w as (select image_id, level, sum(n) over o as w0, sum(level*n) over o as s0, sum(n) over a as nn, sum(level*n) over a as ss
+        from h window o as (partition by image_id order by level), a as (partition by image_id)),
     v as (select image_id, level, case when w0 < nn then (ss*w0 - nn*s0)::double * (ss*w0 - nn*s0)::double / (w0 * (nn - w0))::double else 0 end as b from w),
     t as (select image_id, level as threshold from (select *, row_number() over (partition by image_id order by b desc, level) as n from v) where n = 1)"""
 
@@ -67,7 +68,8 @@ def new_line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, b, g, r, {_G} <= threshold as ink from v_pixels join t using (image_id)),
     n as (select distinct image_id, y + dy as y, x + dx as x from i, (values (0, 1), (0, -1), (1, 0), (-1, 0)) as o(dy, dx) where ink)
-    select i.image_id, i.y, i.x, case when n.x is not null and not ink then 0 else b end as b, case when n.x is not null and not ink then 0 else g end as g, case when n.x is not null and not ink then 0 else r end as r
+    select i.image_id, i.y, i.x, case when n.x is not null and not ink then 0 else b end as b, case when n.x is not null and not ink then 0 else g end as g, case
+        when n.x is not null and not ink then 0 else r end as r
     from i left join n using (image_id, y, x)""")
 def enhance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.enhanced(view(spark, sf_dir, "v_pixels"))
@@ -78,7 +80,8 @@ def _ink_step(source: str, how: str) -> str:
         select image_id, y + dy as y, x + dx as x, ink, dy = 0 and dx = 0 as own from {source}, {_OFFSETS}) group by 1, 2, 3 having bool_or(own)"""
 
 
-@query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, ({_G} <= threshold)::int as ink from v_pixels join t using (image_id)), k as ({_ink_step('i', 'max')}), c as ({_ink_step('k', 'min')})
+@query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, ({_G} <= threshold)::int as ink from v_pixels join t using (image_id)),
+        k as ({_ink_step('i', 'max')}), c as ({_ink_step('k', 'min')})
     select image_id, y, x, 255 - 255 * ink as gray from c""")
 def close_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.closed_gray(view(spark, sf_dir, "v_pixels"))
@@ -86,7 +89,8 @@ def close_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_pixels") + f""", im as (select image_id, 1 + image_id % 3 as rows, 1 + image_id % 2 as cols, 16 as w, 16 as h from (select distinct image_id from v_pixels)),
     ax as materialized ({_axis('w', 'cols')}), ay as materialized ({_axis('h', 'rows')})
-    select p.image_id, ay.i as row_no, ax.i as col_no, count(*) as pixels, sum({_G})::bigint as gray from v_pixels p join ax on ax.image_id = p.image_id and p.x >= ax.origin and p.x < ax.origin + ax.size
+    select p.image_id, ay.i as row_no, ax.i as col_no, count(*) as pixels, sum({_G})::bigint as gray from v_pixels p
+        join ax on ax.image_id = p.image_id and p.x >= ax.origin and p.x < ax.origin + ax.size
         join ay on ay.image_id = p.image_id and p.y >= ay.origin and p.y < ay.origin + ay.size group by 1, 2, 3""")
 def tile_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = view(spark, sf_dir, "v_pixels").where("y = 0 and x = 0").selectExpr("image_id", "16L as w", "16L as h", "1 + image_id % 3 as rows", "1 + image_id % 2 as cols")
@@ -95,7 +99,8 @@ def tile_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HSV = """c as (select *, greatest(r,g,b) as v, greatest(r,g,b) - least(r,g,b) as d from v_pixels),
-    hue as (select *, case when d = 0 then 0 when v = r then 30*(g-b)/d::double when v = g then 60 + 30*(b-r)/d::double else 120 + 30*(r-g)/d::double end as q, case when v = 0 then 0 else round_even(255*d/v::double, 0) end as s from c),
+    hue as (select *, case when d = 0 then 0 when v = r then 30*(g-b)/d::double when v = g then 60 + 30*(b-r)/d::double else 120 + 30*(r-g)/d::double end as q, case
+        when v = 0 then 0 else round_even(255*d/v::double, 0) end as s from c),
     hs as (select image_id, y, x, v, s, round_even(case when q < 0 then q + 180 else q end, 0)::bigint % 180 as h from hue)"""
 
 
@@ -123,7 +128,8 @@ def segment_mean_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.mean_colours(_lines(spark, sf_dir), view(spark, sf_dir, "v_pixels"))
 
 
-@query(ctes("v_pixels") + f""", {_sampled(40)}, d as (select *, sign(gray * count(*) over (partition by image_id, ord) - sum(gray) over (partition by image_id, ord)) as side from s),
+@query(ctes("v_pixels") + f""", {_sampled(40)}, d as (select *, sign(gray * count(*) over (partition by image_id, ord) - sum(gray) over (partition by image_id,
+        ord)) as side from s),
     c as (select *, lag(side) over (partition by image_id, ord order by i) as was from d)
     select image_id, ord, count(*) filter (where side <> was) as changes, count(*) filter (where side <> was) >= 6 as is_dashed from c group by 1, 2""")
 def dash_detect(spark: SparkSession, sf_dir: str) -> DataFrame:

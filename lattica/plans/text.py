@@ -33,7 +33,8 @@ def inventory_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_answers") + ", " + _BULLETS + f""",
     items as (select image_id, string_agg(line, chr(10) order by ord, pos) as items from firsts group by image_id),
-    tiles as (select image_id, string_agg('### Zone (row ' || (ord-1)//3 || ', col ' || (ord-1)%3 || ') at (' || ((ord-1)%3)*768 || ', ' || ((ord-1)//3)*768 || ')' || chr(10) || chr(10) || {strip('result')} || chr(10), chr(10) order by ord) as tiles
+    tiles as (select image_id, string_agg('### Zone (row ' || (ord-1)//3 || ', col ' || (ord-1)%3 || ') at (' || ((ord-1)%3)*768 || ', ' || ((ord-1)//3)*768 || ')'
+        || chr(10) || chr(10) || {strip('result')} || chr(10), chr(10) order by ord) as tiles
         from v_answers where ord between 1 and 8 group by image_id),
     ids as (select distinct image_id from v_answers)
     select ids.image_id, '## 1. OVERVIEW' || chr(10) || chr(10) || coalesce({strip('g.result')}, '') || chr(10) || chr(10) || '## 2. DETAILED ANALYSIS BY ZONE' || chr(10)
@@ -55,28 +56,36 @@ _QUANT = "'(' || r//32*32 || ',' || g//32*32 || ',' || b//32*32 || ')_' || case
 
 _CONTEXT = ctes("v_segments", "v_texts", "v_rects").replace("with ", "with recursive ", 1) + f""", {_EDGES},
     linked as (select image_id, a, b from e union select image_id, b, a from e),
-    reach as (select image_id, ord, ord as root from v_segments union select linked.image_id, linked.b, reach.root from reach join linked on linked.image_id = reach.image_id and linked.a = reach.ord),
+    reach as (select image_id, ord, ord as root from v_segments union select linked.image_id, linked.b, reach.root from reach
+        join linked on linked.image_id = reach.image_id and linked.a = reach.ord),
     conn as (select image_id, count(distinct root) as n from (select image_id, ord, min(root) as root from reach group by 1, 2) group by 1),
     te as (select l.image_id, l.ord as a, r.ord as b from v_texts l join v_texts r on l.image_id = r.image_id and l.ord <> r.ord
         where pow(greatest(0, l.x - r.x - r.width, r.x - l.x - l.width), 2) + pow(greatest(0, l.y - r.y - r.height, r.y - l.y - l.height), 2) < 900),
-    treach as (select image_id, ord, ord as root from v_texts union select te.image_id, te.b, treach.root from treach join te on te.image_id = treach.image_id and te.a = treach.ord),
+    treach as (select image_id, ord, ord as root from v_texts union select te.image_id, te.b, treach.root from treach
+        join te on te.image_id = treach.image_id and te.a = treach.ord),
     own as (select image_id, ord, min(root) as root from treach group by 1, 2),
     multi as (select image_id, root, string_agg(text, ' / ' order by y, x, ord) as label from own join v_texts using (image_id, ord) group by 1, 2 having count(*) > 1),
-    grps as (select image_id, count(*) as n, string_agg('  - "' || label || '"', chr(10) order by root) filter (where k <= 10) as t from (select *, row_number() over (partition by image_id order by root) as k from multi) group by 1),
+    grps as (select image_id, count(*) as n, string_agg('  - "' || label || '"', chr(10) order by root) filter (where k <= 10) as t from (select *, row_number()
+        over (partition by image_id order by root) as k from multi) group by 1),
     {CLUSTER_SQL},
     leg as (select image_id, string_agg('  - ' || label || ': RGB(' || r || ', ' || g || ', ' || b || ')', chr(10) order by ord) as t from lr group by 1),
     grp as (select image_id, {_QUANT} as k, count(*) as n, min(ord) as o from v_segments group by 1, 2),
     cats as (select image_id, count(*) as groups, string_agg('  - ' || k || ': ' || n || ' segments', chr(10) order by o) as t from grp group by 1),
     segs as (select image_id, count(*) as n from v_segments group by 1),
-    labs as (select image_id, count(*) as n, string_agg('"' || text || '"', ', ' order by ord) filter (where ord_n <= 30) as t from (select *, row_number() over (partition by image_id order by ord) as ord_n from v_texts) group by 1),
+    labs as (select image_id, count(*) as n, string_agg('"' || text || '"', ', ' order by ord) filter (where ord_n <= 30) as t from (select *, row_number()
+        over (partition by image_id order by ord) as ord_n from v_texts) group by 1),
     med as (select image_id, case when count(*) >= 3 then median(area) else 50000.0 end as m from v_rects group by 1),
-    shp as (select v.image_id, count(*) filter (where area >= m) as z, count(*) filter (where area < m) as d, count(*) filter (where area between 100 and 5000) as i from v_rects v join med using (image_id) group by 1)
-    select s.image_id, s.n || ' line segments detected, grouped into ' || groups || ' visual categories.' || chr(10) || 'Estimated distinct connections: ' || conn.n || '.' || chr(10) || 'Line categories:' || chr(10) || cats.t || chr(10)
+    shp as (select v.image_id, count(*) filter (where area >= m) as z, count(*) filter (where area < m) as d, count(*) filter (where area between 100 and 5000) as i
+        from v_rects v join med using (image_id) group by 1)
+    select s.image_id, s.n || ' line segments detected, grouped into ' || groups || ' visual categories.'
+        || chr(10) || 'Estimated distinct connections: ' || conn.n || '.' || chr(10) || 'Line categories:' || chr(10) || cats.t || chr(10)
       || 'Colour legend (auto-detected):' || chr(10) || leg.t || chr(10)
-      || 'OCR detected ' || coalesce(labs.n, 0) || ' text elements.' || coalesce(chr(10) || 'Visible labels: ' || labs.t, '') || case when labs.n > 30 then chr(10) || '  ... and ' || (labs.n - 30) || ' more.' else '' end || chr(10)
+      || 'OCR detected ' || coalesce(labs.n, 0) || ' text elements.' || coalesce(chr(10) || 'Visible labels: ' || labs.t, '') || case when labs.n > 30
+        then chr(10) || '  ... and ' || (labs.n - 30) || ' more.' else '' end || chr(10)
       || coalesce(grps.n || ' multi-line label groups detected:' || chr(10) || grps.t || chr(10), '')
       || 'Shapes: ' || shp.z || ' zones, ' || shp.d || ' device boxes, ' || shp.i || ' icons detected.' as context
-    from segs s join cats using (image_id) join conn using (image_id) join leg using (image_id) left join labs using (image_id) left join grps using (image_id) join shp using (image_id)"""
+    from segs s join cats using (image_id) join conn using (image_id) join leg using (image_id) left join labs using (image_id) left join grps using (image_id)
+        join shp using (image_id)"""
 
 
 def _ordered(order: str, *fields: str):
@@ -112,8 +121,10 @@ def cv_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_segments", "v_texts") + """,
     s as (select image_id, count(*) as n, count(*) filter (where degrees(atan2(abs(y2-y1), abs(x2-x1))) < 30) as flat from v_segments group by 1),
-    t as (select image_id, count(*) as n, string_agg(text, ', ' order by ord) filter (where nth <= 10) as labels from (select *, row_number() over (partition by image_id order by ord) as nth from v_texts) group by 1)
-    select s.image_id, 'CV analysis detected ' || s.n || ' line segments and ' || coalesce(t.n, 0) || ' text labels. ' || case when s.n > 0 then 'Line orientations: mostly ' || case when flat*2 > s.n then 'horizontal' else 'mixed' end || '. ' else '' end
+    t as (select image_id, count(*) as n, string_agg(text, ', ' order by ord) filter (where nth <= 10) as labels from (select *, row_number()
+        over (partition by image_id order by ord) as nth from v_texts) group by 1)
+    select s.image_id, 'CV analysis detected ' || s.n || ' line segments and ' || coalesce(t.n, 0) || ' text labels. ' || case when s.n > 0
+        then 'Line orientations: mostly ' || case when flat*2 > s.n then 'horizontal' else 'mixed' end || '. ' else '' end
         || coalesce('Detected labels: ' || labels || '. ', '') as context from s left join t using (image_id)""")
 def tile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = exprs.segment_angle(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
@@ -123,7 +134,8 @@ def tile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(labels, "image_id", "left").select("image_id", text.tile_context(F.col("n"), F.col("flat"), F.coalesce("labels", none)).alias("context"))
 
 
-@query(ctes("v_images") + """ select image_id, '## ANALYSIS METADATA' || chr(10) || chr(10) || '| Parameter | Value |' || chr(10) || '|---|---|' || chr(10) || '| Source | img' || image_id || '.png |' || chr(10)
+@query(ctes("v_images") + """ select image_id, '## ANALYSIS METADATA' || chr(10) || chr(10) || '| Parameter | Value |' || chr(10) || '|---|---|'
+        || chr(10) || '| Source | img' || image_id || '.png |' || chr(10)
     || '| Image size | ' || w || 'x' || h || ' |' || chr(10) || chr(10) as meta, '/data/img' || image_id || '.md' as report_path from v_images""")
 def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.format_string("/data/img%d.png", "image_id")
@@ -133,12 +145,17 @@ def meta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ctes("v_images") + """ select image_id, '# Diagram Analysis: img' || image_id || '.png' || chr(10) || chr(10) || 'Generated on 2024-05-06 07:08 UTC' || chr(10) || chr(10)
-    || '## ANALYSIS METADATA' || chr(10) || chr(10) || '| Parameter | Value |' || chr(10) || '|---|---|' || chr(10) || '| Source | img' || image_id || '.png |' || chr(10) || '| Image size | ' || w || 'x' || h || ' |' || chr(10)
-    || '| Dilation | kernel=3 iter=' || case when thickness >= 4 then 0 when thickness >= 2 then 1 else 2 end || ' |' || chr(10) || '| Tiles | ' || (1 + image_id % 4) * (1 + image_id % 5) || ' (' || (1 + image_id % 4) || 'x' || (1 + image_id % 5) || ') |' || chr(10)
+    || '## ANALYSIS METADATA' || chr(10) || chr(10) || '| Parameter | Value |' || chr(10) || '|---|---|' || chr(10) || '| Source | img' || image_id || '.png |'
+        || chr(10) || '| Image size | ' || w || 'x' || h || ' |' || chr(10)
+    || '| Dilation | kernel=3 iter=' || case when thickness >= 4 then 0 when thickness >= 2 then 1 else 2 end || ' |'
+        || chr(10) || '| Tiles | ' || (1 + image_id % 4) * (1 + image_id % 5) || ' (' || (1 + image_id % 4) || 'x' || (1 + image_id % 5) || ') |' || chr(10)
     || '| Model | stub |' || chr(10) || '| Duration | ' || round_even(contrast / 8, 1) || 's |' || chr(10) || chr(10)
-    || case when colors = 0 then '' else '## COMPUTER VISION FINDINGS' || chr(10) || chr(10) || '- **Lines detected**: ' || w || ' segments' || chr(10) || '- **Text elements**: ' || h || ' labels extracted via OCR' || chr(10)
-    || '- **Shapes detected**: ' || colors || ' (rectangles, circles, polygons)' || chr(10) || '- **Color categories**: ' || colors || ' distinct line color groups' || chr(10) || chr(10) end
-    || '## 1. OVERVIEW' || chr(10) || chr(10) || 'seen ' || image_id || chr(10) || chr(10) || '## 2. DETAILED ANALYSIS BY ZONE' || chr(10) || chr(10) || '## 4. CONSOLIDATED INVENTORY' || chr(10) || chr(10)
+    || case when colors = 0 then '' else '## COMPUTER VISION FINDINGS' || chr(10) || chr(10) || '- **Lines detected**: ' || w || ' segments'
+        || chr(10) || '- **Text elements**: ' || h || ' labels extracted via OCR' || chr(10)
+    || '- **Shapes detected**: ' || colors || ' (rectangles, circles, polygons)' || chr(10) || '- **Color categories**: ' || colors || ' distinct line color groups'
+        || chr(10) || chr(10) end
+    || '## 1. OVERVIEW' || chr(10) || chr(10) || 'seen ' || image_id || chr(10) || chr(10) || '## 2. DETAILED ANALYSIS BY ZONE' || chr(10)
+        || chr(10) || '## 4. CONSOLIDATED INVENTORY' || chr(10) || chr(10)
     || 'No structured inventory items detected.' || chr(10) as report from v_images""")
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = tiling.preprocess_params(view(spark, sf_dir, "v_images")).join(view(spark, sf_dir, "v_images"), "image_id")

@@ -26,7 +26,8 @@ VIEWS = {
 
 ANSWER_SQL = """select doc_id // 10 as image_id, doc_id % 10 as ord, array_to_string(list_transform(string_split(text, chr(10)),
     lambda x, i: case when i % 3 = 0 then '* ' || x when i % 2 = 1 then '- ' || x else x end), chr(10)) as result from documents"""
-RAW_SQL = """select conv_id, turn, case when turn % 5 = 0 then '<think>' || left(text, 40) || text else left(text, 5) || '<think>' || left(text, 40) || '</think>' || text end as raw
+RAW_SQL = """select conv_id, turn, case when turn % 5 = 0 then '<think>' || left(text, 40) || text else left(text, 5) || '<think>' || left(text,
+        40) || '</think>' || text end as raw
     from conversations where role = 'assistant'"""
 PIXEL_SQL = """select p as image_id, y, x, case when dark then (p*40)%120 else 230 + (7*x+3*y+p)%20 end as b,
     case when dark then (p*23)%90 else 230 + (5*x+y+p)%20 end as g, case when dark then (p*11)%60 else 230 + (x+11*y+p)%20 end as r from (
