@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from lattica.llm.common import env_threads, map_batches, on_leaving
 
-#: Distinct pieces whose ids a worker keeps (about 200 bytes each), in two halves: when the younger one is full, the older one goes.
+#: Distinct pieces whose ids a worker keeps (about 200 bytes each), unless it is told otherwise; the table is emptied when it is full.
 PIECES = 600_000
 
 CUT = re.compile(r" (?=\S)")
@@ -84,8 +85,8 @@ def plain_tokenizer(tokenizer):
 class Codec:
     """Encodes texts to ids and decodes ids to bytes. Built once a worker; see ``codec``."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, pieces: int | None = None):
+        self.tokenizer, self.pieces = tokenizer, pieces or PIECES
         byte = {c: b for b, c in enumerate(byte_characters())}
         size = max(tokenizer.get_vocab().values()) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -95,7 +96,6 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.plain = plain_tokenizer(tokenizer)
         self.visible = dict(enumerate(byte_characters()))
@@ -104,21 +104,21 @@ class Codec:
         """The ids of pieces, each by itself."""
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that stand after a space, many in one string: no match reaches over a cut."""
-        out = {}
+    def _spaced(self, words: list[str]) -> None:
+        """Learn the ids of words that stand after a space, many in one string: no match reaches over a cut."""
         for at in range(0, len(words), 20_000):
             blocks = [words[k:k + 1000] for k in range(at, min(at + 20_000, len(words)), 1000)]
             for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in block]), side="right").tolist()
-                raw = ids.tobytes()
-                out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, [0, *ends[:-1]], ends))
-        return out
+                self._keep(block, ids, ends)
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[4 * a:4 * b] for a, b in zip([0, *ends], ends)]))
 
-    def _lettered(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words of letters that stand after a space, many in one string of visible byte characters."""
-        out = {}
+    def _lettered(self, words: list[str]) -> None:
+        """Learn the ids of words of letters that stand after a space, many in one string of visible byte characters."""
         for at in range(0, len(words), 20_000):
             blocks = [words[k:k + 1000] for k in range(at, min(at + 20_000, len(words)), 1000)]
             space = self.visible[32]
@@ -126,28 +126,23 @@ class Codec:
             for block, chars, e in zip(blocks, shown, self.plain.encode_batch_fast([" ".join(x) for x in shown], add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c) for c in chars]), side="right").tolist()
-                raw = ids.tobytes()
-                out.update((w, raw[4 * a:4 * b]) for w, a, b in zip(block, [0, *ends[:-1]], ends))
-        return out
+                self._keep(block, ids, ends)
 
     def _learn(self, wanted: set[str], first: set[str]) -> None:
         """Words stand after a space, but for those that begin with a line break, and the first ones of texts."""
         new = first.difference(self.first)
-        if len(self.first) + len(new) > PIECES:
+        if len(self.first) + len(new) > self.pieces:
             self.first.clear()
             new = first
         self.first.update(zip(new, self._library(list(new))))
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > PIECES // 2:
-            self.older, self.known = self.known, {}
+        known = self.known
+        new = wanted.difference(known)
+        if len(known) + len(new) > self.pieces:
+            known.clear()
             new = wanted
-        known, older = self.known, self.older
-        if older:
-            known.update([(w, older[w]) for w in new if w in older])
-            new = new.difference(known)
         ended = [(w, stem) for w in new if w[-1:] in MARKS and (stem := w.rstrip(MARKS)).isalpha()]
         runs = {w[len(stem):] for w, stem in ended}.difference(self.marks)
-        if len(self.marks) + len(runs) > PIECES // 10:
+        if len(self.marks) + len(runs) > self.pieces // 10:
             self.marks.clear()
             runs = {w[len(stem):] for w, stem in ended}
         self.marks.update(zip(runs, self._library(list(runs))))
@@ -157,13 +152,23 @@ class Codec:
         lines = [w for w in whole if w[:1] == "\n"]
         known.update(zip(lines, self._library(lines)))
         letters = [w for w in whole if w.isalpha() and (w.isascii() or max(w) < LATIN)]
-        known.update(self._lettered(letters))
-        known.update(self._spaced([w for w in whole.difference(lines, letters) if w]))
+        self._lettered(letters)
+        self._spaced([w for w in whole.difference(lines, letters) if w])
         for w, stem in ended:
             known[w] = known[stem] + self.marks[w[len(stem):]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text, as little-endian unsigned 32-bit integers. Python's search for cycles waits: it would go through all lists of pieces,
+        and there are none."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         first: set[str] = set()
         wanted: set[str] = set()
         cut = []
@@ -208,11 +213,11 @@ _codecs: dict[tuple[str, str | None], Codec] = {}
 on_leaving(_codecs.clear)
 
 
-def codec(path: str, pattern: str | None = None) -> Codec:
-    """The codec of a rank file (with its split pattern) or of a tokenizers JSON file (without)."""
+def codec(path: str, pattern: str | None = None, pieces: int | None = None) -> Codec:
+    """The codec of a rank file (with its split pattern) or of a tokenizers JSON file (without). pieces: how many distinct ones it keeps."""
     if (path, pattern) not in _codecs:
         env_threads()
-        _codecs[path, pattern] = Codec(rank_tokenizer(path, pattern) if pattern else json_tokenizer(path))
+        _codecs[path, pattern] = Codec(rank_tokenizer(path, pattern) if pattern else json_tokenizer(path), pieces)
     return _codecs[path, pattern]
 
 

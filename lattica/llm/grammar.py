@@ -30,6 +30,8 @@ from lattica.llm.common import map_batches, scratch_path
 
 SHARD_IDS = 1 << 20
 SHARE, MIN_COUNT = 1 / 32, 8
+#: Distinct pieces whose ids a worker keeps while it writes shards (about 200 bytes each).
+PIECES = 1_500_000
 MAGIC = b"RPG1"
 _SLOTS = 1 << 18
 
@@ -148,7 +150,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, shard = bpe.codec(vocabulary), TaskContext.get().partitionId(), 0
+        own, part, shard = bpe.codec(vocabulary, pieces=PIECES), TaskContext.get().partitionId(), 0
         end, docs_in, ids_in, held = np.array([end_id], dtype="<u4"), [], [], 0
 
         def row() -> pa.RecordBatch:
