@@ -302,20 +302,15 @@ class _Joined:
     """Labels of nodes, as links come in. A node without a label is its own."""
 
     def __init__(self, spark):
-        self.links: list[DataFrame] = []
-        self.labels = spark.createDataFrame([], "node long, label long")
+        self.labels = written(spark.createDataFrame([], "node long, label long"), "labels")
 
     def add(self, links: DataFrame) -> None:
-        """links: a written table (a, b)."""
-        if links.isEmpty():
-            return
-        self.links.append(links)
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.union(more)
-        old, self.labels = self.labels, written(components(every), "labels")
-        if len(self.links) > 1:
+        """links: a written table (a, b), which goes. Labels stand for all links before."""
+        if not links.isEmpty():
+            every = self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links.select("a", "b"))
+            old, self.labels = self.labels, written(components(every), "labels")
             discard(old)
+        discard(links)
 
     def of(self, rows: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
         """rows with the label of a node column."""
