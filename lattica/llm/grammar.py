@@ -72,12 +72,13 @@ def _replaced(seq: np.ndarray, first: int, min_count: int) -> tuple[np.ndarray,
 def compress(ids: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> bytes:
     """The grammar of a sequence of ids below ``terminals``."""
     seq, rules = np.asarray(ids, dtype=np.uint32), np.empty((0, 2), dtype=np.uint32)
+    lengths = np.ones(terminals, dtype=np.int64)
     while len(seq) > min_count:
         seq, new = _replaced(seq, terminals + len(rules), min_count)
         if not len(new):
             break
         rules = np.concatenate([rules, new])
-    lengths = expansion_lengths(rules, terminals)
+        lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])  # a round's rules refer to earlier rounds only
     wide = terminals + len(rules) > 1 << 16
     kind = "<u4" if wide else "<u2"
     return b"".join([MAGIC, struct.pack("<BIIQ", wide, terminals, len(rules), len(seq)), rules.astype(kind).tobytes(),
