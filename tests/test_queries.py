@@ -33,7 +33,7 @@ def test_query(spark, con, name):
         assert len(got) == len(want) and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["kmeans_assign_step"])
+@pytest.mark.parametrize("name", ["kmeans_assign_step", "kmeans_inertia"])
 def test_embeddings_near_thousandths(spark, tmp_path, name):
     """Every thousandth and its neighbours in single precision, where products of single and of double precision are cut to other integers."""
     thousandths = np.arange(-999, 1000, dtype=np.float32) / np.float32(1000)
