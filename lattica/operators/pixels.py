@@ -31,45 +31,104 @@ def otsu(pixels: DataFrame) -> DataFrame:
     return sums.groupBy("image_id").agg(F.min(F.struct((-between).alias("b"), "level")).alias("m")).select("image_id", F.col("m.level").alias("threshold"))
 
 
-def dark(pixels: DataFrame) -> DataFrame:
-    """pixels with ``ink``: whether they are at most their image's threshold."""
-    return pixels.join(otsu(pixels), "image_id").withColumn("ink", gray() <= F.col("threshold"))
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _thresholds(image: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """As ``otsu``: the threshold of each pixel's image. Images are numbered from 0, without gaps."""
+    low = int(level.min())
+    span = int(level.max()) - low + 1
+    key, n = np.unique(image * span + level - low, return_counts=True)
+    of, at = key // span, key % span + low
+    first = np.searchsorted(of, np.arange(int(of[-1]) + 1))
+    last = np.append(first[1:], len(of)) - 1
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(x)
+        return upto - (upto[first] - x[first])[of]
+
+    w0, s0 = sums(n), sums(at * n)
+    nn, ss = w0[last][of], s0[last][of]
+    gap = (ss * w0 - nn * s0).astype(float)
+    between = np.where(w0 < nn, gap * gap / np.maximum(w0 * (nn - w0), 1).astype(float), 0.0)
+    best = np.lexsort((at, -between, of))[first]
+    return at[best][image]
+
+
+def _dark(pixels: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over tables of whole images with the 0-1 column ``ink``: whether a pixel is at most its image's threshold. Threshold and neighbours take one
+    exchange, and no histogram is joined to the pixels, so none has to be ready, or fit, before they are read."""
+
+    def run(table: pa.Table) -> pa.Table:
+        level = table.column("level").to_numpy()
+        image = np.unique(table.column("image_id").to_numpy(), return_inverse=True)[1]
+        return fn(table.drop_columns("level").append_column("ink", pa.array((level <= _thresholds(image, level)).astype(np.int32))))
+
+    return by_image(pixels.withColumn("level", gray()), ["y", "x"], run, schema)
+
+
+def line_densities(pixels: DataFrame) -> DataFrame:
+    """image_id, line_density: the share of pixels that are at most their image's threshold."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        return table.group_by("image_id").aggregate([("ink", "sum"), ("ink", "count")]).select(["image_id", "ink_sum", "ink_count"])
+
+    sums = _dark(pixels.select("image_id", "y", "x", "b", "g", "r"), fn, "image_id long, ink_sum long, ink_count long")
+    return sums.select("image_id", F.bround(F.col("ink_sum").cast("double") / F.col("ink_count"), 6).alias("line_density"))
 
 
 def stencil(pixels: DataFrame, columns: list[str], *hows: str, offsets=CROSS) -> DataFrame:
     """The least (``min``) or largest (``max``) value of each pixel's neighbourhood, one step after another; neighbours outside the
     image don't count. Other columns stay."""
+    first = pixels.select("image_id", *[c for c in pixels.columns if c != "image_id"])
+    return by_image(first, ["y", "x"], lambda table: _spread(table, columns, hows, offsets), _schema(first))
+
+
+def _spread(table: pa.Table, columns: list[str], hows: tuple[str, ...], offsets=CROSS) -> pa.Table:
     steps = [{"min": np.minimum, "max": np.maximum}[how] for how in hows]
+    image, y, x = (table.column(c).to_numpy() for c in ("image_id", "y", "x"))
+    grid = Grid(image, y, x)
+    near = [grid.find(image, y + dy, x + dx) for dy, dx in offsets if (dy, dx) != (0, 0)]
+    for c in columns:
+        value = table.column(c).to_numpy()
+        for step in steps:
+            out = value.copy()
+            for there, row in near:
+                out = np.where(there, step(out, value[row]), out)
+            value = out
+        table = table.set_column(table.schema.get_field_index(c), c, pa.array(value, table.schema.field(c).type))
+    return table
+
+
+def _gained(pixels: DataFrame) -> DataFrame:
+    """image_id, y, x, b, g, r, ``ink`` and ``grown``: 1 for dark pixels, and for those and their neighbours."""
 
     def fn(table: pa.Table) -> pa.Table:
-        image, y, x = (table.column(c).to_numpy() for c in ("image_id", "y", "x"))
-        grid = Grid(image, y, x)
-        near = [grid.find(image, y + dy, x + dx) for dy, dx in offsets if (dy, dx) != (0, 0)]
-        for c in columns:
-            value = table.column(c).to_numpy()
-            for step in steps:
-                out = value.copy()
-                for there, row in near:
-                    out = np.where(there, step(out, value[row]), out)
-                value = out
-            table = table.set_column(table.schema.get_field_index(c), c, pa.array(value, table.schema.field(c).type))
-        return table
+        return _spread(table.append_column("grown", table.column("ink")), ["grown"], ("max",))
 
-    first = pixels.select("image_id", *[c for c in pixels.columns if c != "image_id"])
-    return by_image(first, ["y", "x"], fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema))
+    rows = pixels.select("image_id", "y", "x", "b", "g", "r")
+    return _dark(rows, fn, _schema(rows) + ", ink int, grown int")
+
+
+def gained(pixels: DataFrame) -> DataFrame:
+    """image_id, y, x of pixels that dark lines gain when they grow."""
+    return _gained(pixels).where("grown = 1 and ink = 0").select("image_id", "y", "x")
 
 
 def enhanced(pixels: DataFrame) -> DataFrame:
     """Pixels that dark lines gain when they grow become black; the others stay."""
-    rows = dark(pixels).select("image_id", "y", "x", "b", "g", "r", "ink", F.col("ink").cast("int").alias("grown"))
-    gained = F.expr("grown = 1 and not ink")
-    return stencil(rows, ["grown"], "max").select("image_id", "y", "x", *[F.when(gained, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("b", "g", "r")])
+    new = F.expr("grown = 1 and ink = 0")
+    return _gained(pixels).select("image_id", "y", "x", *[F.when(new, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("b", "g", "r")])
 
 
 def closed_gray(pixels: DataFrame) -> DataFrame:
     """Gaps of dark lines closed, as lines of black on white."""
-    rows = dark(pixels).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"))
-    return stencil(rows, ["ink"], "max", "min").select("image_id", "y", "x", (255 - 255 * F.col("ink")).alias("gray"))
+
+    def fn(table: pa.Table) -> pa.Table:
+        return _spread(table.select(["image_id", "y", "x", "ink"]), ["ink"], ("max", "min"))
+
+    return _dark(pixels.select("image_id", "y", "x", "b", "g", "r"), fn, "image_id long, y long, x long, ink int").select("image_id", "y", "x", (255 - 255 * F.col("ink")).alias("gray"))
 
 
 def crops(pixels: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("v_pixels") + f", {_OTSU} select image_id, round_even(count(*) filter (where {_G} <= threshold)::double / count(*), 6) as line_density from v_pixels join t using (image_id) group by 1")
 def line_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.dark(view(spark, sf_dir, "v_pixels")).groupBy("image_id").agg(F.bround(F.count_if("ink").cast("double") / F.count(F.lit(1)), 6).alias("line_density"))
+    return pixels.line_densities(view(spark, sf_dir, "v_pixels"))
 
 
 @query(ctes("v_pixels") + f" select image_id, round_even(stddev_pop({_G}), 6) as contrast_score from v_pixels group by 1")
@@ -61,9 +61,7 @@ def close_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
     n as (select distinct image_id, y + dy as y, x + dx as x from i, (values (0, 1), (0, -1), (1, 0), (-1, 0)) as o(dy, dx) where ink)
     select image_id, y, x from i semi join n using (image_id, y, x) where not ink""")
 def new_line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ink = pixels.dark(view(spark, sf_dir, "v_pixels")).select("image_id", "y", "x", F.col("ink").cast("int").alias("ink"), "ink")
-    ink = ink.toDF("image_id", "y", "x", "grown", "ink")
-    return pixels.stencil(ink, ["grown"], "max").where("grown = 1 and not ink").select("image_id", "y", "x")
+    return pixels.gained(view(spark, sf_dir, "v_pixels"))
 
 
 @query(ctes("v_pixels") + f""", {_OTSU}, i as (select image_id, y, x, b, g, r, {_G} <= threshold as ink from v_pixels join t using (image_id)),

@@ -196,3 +196,21 @@ def test_image_source_reads_what_png_writes(spark, tmp_path):
     assert images.read_images(spark, str(tmp_path), True).count() == 2
     with pytest.raises(ValueError):
         images.png(np.zeros((0, 3), np.uint8))
+
+
+@pytest.mark.parametrize("name", ["close_gray"])
+def test_thresholds_are_found_with_the_pixels(spark, name):
+    """A threshold that is joined to the pixels is a broadcast that ends the query where it takes too long."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_thresholds_of_a_batch_are_those_of_its_images():
+    from lattica.operators import kernels, pixels
+
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, rng.integers(1, 257), rng.integers(1, 300)) for _ in range(200)] + [np.array([7]), np.array([3, 3]), np.array([0, 255])]
+    got = pixels._thresholds(np.repeat(np.arange(len(images)), [len(x) for x in images]), np.concatenate(images))
+    assert (got == np.concatenate([np.full(len(x), x.min() if len(set(x)) == 1 else kernels.otsu(x.astype(np.uint8))) for x in images])).all()
