@@ -198,7 +198,7 @@ def test_image_source_reads_what_png_writes(spark, tmp_path):
         images.png(np.zeros((0, 3), np.uint8))
 
 
-@pytest.mark.parametrize("name", ["close_gray", "enhance_lines", "line_density"])
+@pytest.mark.parametrize("name", ["close_gray", "enhance_lines", "line_density", "new_line_pixels"])
 def test_thresholds_are_found_with_the_pixels(spark, name):
     """A threshold that is joined to the pixels is a broadcast that ends the query where it takes too long."""
     import __spark_entry__ as entry
