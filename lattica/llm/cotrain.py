@@ -35,6 +35,8 @@ LABELLED, POOL, ROUNDS, TAKEN, KEEP_FROM = 4000, 4000, 5, 0.05, 0.5
 BINS = 6000
 #: Tasks that add up the executors' sums, so that the driver gets so many at once whatever the corpus size.
 ADDERS = 8
+#: Up to so many labelled identifiers are broadcast; beyond that, views are shuffled, which are smaller than texts.
+BROADCAST_ROWS = 500_000
 HASHED = 256
 _CLASS = np.full(256, 5, dtype=np.uint8)  # other letters (bytes of characters beyond ASCII)
 for _chars, _k in ((range(65, 91), 0), (range(97, 123), 1), (range(48, 58), 2), ((9, 10, 11, 12, 13, 32), 3), ((*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)), 4)):
@@ -95,6 +97,21 @@ def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([(x * (p * (1 - p) + 1e-6)[:, None]).T @ x, [x.T @ (y - p)]])
 
 
+def _packed(sums: np.ndarray) -> np.ndarray:
+    """A Hessian is symmetric, so half of it will do; the gradient follows. Counts are one row already."""
+    return sums if sums.ndim == 1 else np.concatenate([sums[:-1][np.triu_indices(len(sums) - 1)], sums[-1]])
+
+
+def _unpacked(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    if len(shape) == 1:
+        return flat
+    half = np.zeros(shape)
+    half[np.triu_indices(shape[1])] = flat[:-shape[1]]
+    half[:-1] += np.triu(half[:-1], 1).T
+    half[-1] = flat[-shape[1]:]
+    return half
+
+
 def _bin(odds: np.ndarray) -> np.ndarray:
     return np.clip(((odds + 30) * (BINS / 60)).astype(np.int64), 0, BINS - 1)
 
@@ -142,7 +159,9 @@ class Table:
     """Unlabelled documents as a table of place and views, which executors go through."""
 
     def __init__(self, rows: DataFrame):
-        self.rows, self.n = rows, rows.count()
+        self.n = rows.count()
+        # A task sends sums of fixed size in each of Newton's steps: as many tasks as there are cores, however many files there are.
+        self.rows = rows.coalesce(max(ADDERS, rows.sparkSession.sparkContext.defaultParallelism))
 
     def sum(self, of, scaled, *args) -> list[np.ndarray]:
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +172,7 @@ class Table:
                     part = of(scaled(views), batch.column(0).to_numpy(), *args)
                     total = part if total is None else [a + b for a, b in zip(total, part)]
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in total], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(t).tobytes()], pa.binary()) for t in total], names=["a", "b"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -166,7 +185,7 @@ class Table:
 
         parts = map_batches(map_batches(self.rows, fn, "a binary, b binary").repartition(ADDERS), add, "a binary, b binary").collect()
         shapes = [(BINS,)] * 2 if of is _counted else [(len(w) + 1, len(w)) for w in args[1]]
-        return [sum((np.frombuffer(r[k]).reshape(s) for r in parts), np.zeros(s)) for k, s in enumerate(shapes)]
+        return [sum((_unpacked(np.frombuffer(r[k]), s) for r in parts), np.zeros(s)) for k, s in enumerate(shapes)]
 
 
 class Model:
@@ -253,23 +272,29 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                text, meta = _views([c.to_pylist() for c in batch.columns[2:]])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in text], pa.binary()), pa.array([v.astype(np.uint8).tobytes() for v in meta], pa.binary())],
-                                                 names=["place", "y", "a", "b"])
+                text, meta = _views([c.to_pylist() for c in batch.columns[3:]])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([v.tobytes() for v in text], pa.binary()), pa.array([v.astype(np.uint8).tobytes() for v in meta], pa.binary())],
+                                                 names=["doc_id", "place", "y", "a", "b"])
 
     def viewed(chosen: DataFrame) -> DataFrame:
-        return map_batches(chosen.select("place", "y", *_INPUTS), fn, "place double, y double, a binary, b binary")
+        return map_batches(chosen.select("doc_id", "place", "y", *_INPUTS), fn, "doc_id long, place double, y double, a binary, b binary")
 
     labelled = rows.where(F.col("place") < part).join(known, "doc_id")
-    seen = sorted(map(tuple, viewed(labelled).collect()), key=lambda r: (r[0], r[2], r[3]))[:LABELLED]
+    seen = sorted(map(tuple, viewed(labelled).drop("doc_id").collect()), key=lambda r: (r[0], r[2], r[3]))[:LABELLED]
     views = [np.stack([np.frombuffer(r[k], t) for r in seen]).astype(np.float32) if seen else None for k, t in ((2, np.float32), (3, np.uint8))]
     y = np.array([float(r[1] > 0) for r in seen])
     if len(set(y)) < 2:
         return Model(views, y, None)
-    others = rows.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
-    table = written(viewed(others).select("place", "a", "b"), "views")
+    ids = written(known.select("doc_id"), "labelled")
+    rows = rows.withColumn("y", F.lit(None).cast("double"))
+    if ids.count() <= BROADCAST_ROWS:
+        others = viewed(rows.join(F.broadcast(ids), "doc_id", "left_anti"))
+    else:
+        others = viewed(rows).join(ids, "doc_id", "left_anti")
+    table = written(others.select("place", "a", "b"), "views")
     model = Model(views, y, Table(table))
     discard(table)
+    discard(ids)
     return model
 
 

@@ -1,6 +1,7 @@
 """Held-out accuracy, the exchange of labels, and odd rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lattica.llm import cotrain, queries
 
@@ -77,3 +78,40 @@ def test_odd_rows(spark):
     both = spark.createDataFrame([(1, 0), (3, 1), (3, 0)], "doc_id long, quality int")
     assert cotrain.score(docs, cotrain.fit(docs, both)).count() == 5
     assert cotrain.score(docs.limit(0), cotrain.fit(docs.limit(0), both)).count() == 0
+
+
+def test_packed_sums():
+    rng = np.random.default_rng(4)
+    x, y, w = rng.normal(size=(50, 6)), rng.integers(0, 2, 50), rng.normal(size=7)
+    sums = cotrain._sums(x, y, w)
+    assert len(cotrain._packed(sums)) == 7 * 8 // 2 + 7
+    assert np.allclose(cotrain._unpacked(cotrain._packed(sums), sums.shape), sums, rtol=1e-12)
+
+
+def test_what_is_sent_does_not_grow_with_the_files(spark):
+    rows = spark.createDataFrame([(0.1, b"", b"")], "place double, a binary, b binary").repartition(300)
+    assert cotrain.Table(rows).rows.rdd.getNumPartitions() <= max(cotrain.ADDERS, spark.sparkContext.defaultParallelism)
+
+
+def test_no_text_is_shuffled_to_find_the_unlabelled(spark, monkeypatch):
+    """By a broadcast of identifiers or, where they are many, by a join of views: the same documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    seen, scores = [], []
+    keep = cotrain.written
+
+    def spy(df, name):
+        out = keep(df, name)
+        if name == "views":
+            seen.append((df._jdf.queryExecution().optimizedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(cotrain, "written", spy)
+    for most in (cotrain.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(cotrain, "BROADCAST_ROWS", most)
+        scores.append({(r.doc_id, r.n): r.s for r in cotrain.score(docs, cotrain.fit(docs, labels)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("score").alias("s")).collect()})
+    want = docs.join(labels.where("quality is not null"), "doc_id", "left_anti").count()
+    assert [n for _, n in seen] == [want, want]
+    small, large = (plan for plan, _ in seen)
+    assert "strategy=broadcast" in small and large.index("Join") < large.index("MapInArrow")
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) < 1e-6 for k in scores[0])
