@@ -27,12 +27,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lattica.llm.common import env_threads, map_batches, on_leaving
 
 #: Distinct pieces whose ids a worker keeps (about 200 bytes each), unless it is told otherwise; the table is emptied when it is full.
 PIECES = 600_000
+#: Bytes of text that are cut into pieces at once.
+PORTION = 2 << 20
 
 CUT = re.compile(r" (?=\S)")
 #: ASCII marks that never share a match of the pattern with a letter (an apostrophe may). A run of them is one match.
@@ -242,12 +245,26 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text_col: str
     return map_batches(kept, fn, schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """All rows in their order, in batches of at most PORTION bytes of text, or of one row: a text's pieces take many times its size."""
+    for batch in batches:
+        n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for k, more in enumerate(n.tolist()):
+            if k > start and size + more > PORTION:
+                yield batch.slice(start, k - start)
+                start, size = k, 0
+            size += more
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded and decoded again."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = own.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) for x in ids], pa.int64()),

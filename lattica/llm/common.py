@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -113,9 +114,19 @@ def entered(owner: str) -> None:
         for forget in _forget:
             forget()
         gc.collect()
+        _give_back()
         _owner = owner
 
 
+def _give_back() -> None:
+    """Memory that was freed goes back to the system; allocators would keep it, beside what the next operator takes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        return
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``broadcast(df)`` if it has at most ``rows`` rows, else ``df`` itself, whose join then shuffles. Count a written table only: the count is then read from its footers."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -151,3 +151,17 @@ def test_shards_odd_rows(spark):
     assert [tuple(r) for r in got] == brute_shards([(None, "null id"), *[(k, t) for k, t, _ in rows[:-1]]])
     empty = grammar.write_shards(df.limit(0), P.path("byte_bpe_50k.json"))
     assert grammar.read_documents(spark, empty).count() == 0
+
+
+def test_portions_hold_all_rows(monkeypatch):
+    """Batches are cut by their bytes of text, not dropped or reordered; a text that is larger stands alone."""
+    import pyarrow as pa
+
+    from lattica.llm import bpe
+
+    monkeypatch.setattr(bpe, "PORTION", 10)
+    texts = ["abc", None, "", "\u00e9" * 4, "x" * 50, "", "y" * 10, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(bpe.portions(iter([batch.slice(0, 0), batch, batch.slice(3)]), 1))
+    assert [(r["doc_id"], r["text"]) for b in got for r in b.to_pylist()] == [*enumerate(texts), *list(enumerate(texts))[3:]]
+    assert all(b.num_rows == 1 or sum(len((r["text"] or "").encode()) for r in b.to_pylist()) <= 10 for b in got)
