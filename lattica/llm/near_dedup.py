@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import broadcast_if_small, discard, map_batches, on_leaving, written
@@ -45,6 +45,10 @@ LOCAL_EDGES = 500_000
 BROADCAST_SHINGLES = 2_000_000
 #: In a cloud, nodes that share a shingle are compared if at most so many have it; more of them are a cloud of their own.
 HOT = 64
+#: Bytes of the table of how often shingles stand in a cloud: at most, and for each shingle of several nodes.
+SHARED_BYTES, SHARED_EACH = 1 << 27, 16
+#: Bytes of it that a task sends at once.
+BLOCK = 1 << 16
 #: Clouds are cut into clouds so many times; then shingles are compared however many nodes have them.
 LEVELS = 5
 #: Distinct words that a worker keeps.
@@ -386,7 +390,8 @@ def _settled(cloud: DataFrame, texts: DataFrame, joined: _Joined, words: int, th
     * Any other y can't be linked with an x that differs from the middle in other shingles than y. So the two share
 
       - a shingle that both add and that is among the rarest of each (a prefix filter: of n shingles, p percent have to be
-        shared, so a shared one is among the rarest n - p n / 100 + 1, in one order for all), or
+        shared, so a shared one is among the rarest n - p n / 100 + 1, in one order for all; only those of them that other
+        nodes may have become rows), or
       - no shingle that both add: then they share no more than what the smaller one has of the middle, which has to do, and
         both lack a shingle. Few nodes pass that; the shingles that they lack are joined by a prefix filter as well.
 
@@ -484,21 +489,74 @@ def _met(rows: DataFrame, which) -> DataFrame:
     return pairs.select("x.cloud", F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _place(cloud: np.ndarray | np.uint64, g: np.ndarray, size: int) -> np.ndarray:
+    """The byte of a table of ``size`` bytes, a power of two, that stands for a shingle of a cloud."""
+    return (_mixed((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ cloud) & np.uint64(size - 1)).view(np.int64)
+
+
+def _often(counts: DataFrame) -> bytes:
+    """A table of bytes by ``_place``: at least the number of nodes that have a shingle, up to 255; 1 if none of its shingles has two. Tasks send
+    the blocks that they set bytes in; the driver holds the table and one block."""
+    several = counts.where("n > 1")
+    size = min(SHARED_BYTES, 1 << max(16, (SHARED_EACH * several.count() - 1).bit_length()))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.ones(size, np.uint8)
+        for batch in batches:
+            cloud, g, n = (c.to_numpy() for c in batch.columns)
+            np.maximum.at(table, _place(cloud.view(np.uint64), g, size), np.minimum(n, 255).astype(np.uint8))
+        for at in range(0, size, BLOCK):
+            if (table[at:at + BLOCK] > 1).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([table[at:at + BLOCK].tobytes()], pa.binary())], names=["at", "block"])
+
+    table = np.ones(size, np.uint8)
+    for r in map_batches(several.select("cloud", "g", "n").coalesce(8), fn, "at long, block binary").toLocalIterator():
+        part = table[r["at"]:r["at"] + BLOCK]
+        np.maximum(part, np.frombuffer(r["block"], np.uint8), out=part)
+    return table.tobytes()
+
+
+def _rarest(rows: DataFrame, often, p: int) -> DataFrame:
+    """rows with ``rarest`` in place of ``added``: of a node's rarest added shingles, by the broadcast table ``often``, those that other nodes may have.
+
+    A prefix filter takes any order that is the same for all nodes of a cloud; shingles that are surely no other node's come first in it."""
+    rest = [f for f in rows.schema if f.name != "added"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", rarest array<long>"
+    rows = rows.select(*[f.name for f in rest], "added")
+    at = {f.name: k for k, f in enumerate(rest)}
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(often.value, np.uint8)
+        for batch in batches:
+            out = []
+            for cloud, size, added in zip(batch.column(at["cloud"]).to_numpy(), batch.column(at["size"]).to_pylist(), batch.column(len(rest))):
+                g = np.asarray(added.values)
+                n = table[_place(cloud.view(np.uint64), g, len(table))]
+                first = np.lexsort((g, n))[:size - -(-size * p // 100) + 1]
+                out.append(g[first[n[first] > 1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names=[*at, "rarest"])
+
+    return map_batches(rows, fn, schema)
+
+
 def _sharing(known: DataFrame, counts: DataFrame, p: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs that share one of their rarest shingles that isn't the middle's; and what shingles of many nodes connect (a, b)."""
-    each = known.select("cloud", "node", "label", "far", "size", "own", "n_added", F.explode("added").alias("g")).join(counts, ["cloud", "g"])
-    rank = F.row_number().over(Window.partitionBy("cloud", "node").orderBy("n", "g"))
-    prefix = F.col("size") - F.ceil(F.col("size") * p / 100) + 1
-    rare = each.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("n") > 1))
+    spark = known.sparkSession
+    often = spark.sparkContext.broadcast(_often(counts))  # SHARED_BYTES at most
+    each = known.select("cloud", "node", "label", "far", "size", "own", "n_added", "added")
+    each = _rarest(each, often, p).select("cloud", "node", "label", "far", "size", "own", "n_added", F.explode("rarest").alias("g"))
+    # a byte of the table may stand for several shingles, so what one node alone has goes here
+    rare = each.join(counts, ["cloud", "g"]).where("n > 1")
     rare = written(rare.select("cloud", "g", "n", "node", "label", "far", "size", "own", "n_added"), "rare")
+    often.unpersist()
     most = F.least("x.own", "y.own") + F.least("x.n_added", "y.n_added")
     which = (100 + p) * most >= p * (F.col("x.size") + F.col("y.size"))
     if last:
-        return _met(rare, which), rare.sparkSession.createDataFrame([], "a long, b long")
-    often = F.col("n") > HOT
-    marks = rare.where(often).groupBy("cloud", "g").agg(F.min("node").alias("b"), F.max("far").alias("open")).where("open")
-    hot = rare.where(often).join(marks.select("cloud", "g", "b"), ["cloud", "g"]).select(F.col("node").alias("a"), "b").distinct()
-    return _met(rare.where(~often), which), hot
+        return _met(rare, which), spark.createDataFrame([], "a long, b long")
+    hot_one = F.col("n") > HOT
+    marks = rare.where(hot_one).groupBy("cloud", "g").agg(F.min("node").alias("b"), F.max("far").alias("open")).where("open")
+    hot = rare.where(hot_one).join(marks.select("cloud", "g", "b"), ["cloud", "g"]).select(F.col("node").alias("a"), "b").distinct()
+    return _met(rare.where(~hot_one), which), hot
 
 
 def _lacking(known: DataFrame, p: int) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import near_dedup, queries
 
@@ -127,6 +128,49 @@ def test_a_group_of_2000_near_copies(spark, monkeypatch, hot, levels):
     assert decided(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2) == want
 
 
+@pytest.mark.parametrize("most", [1 << 27, 16])
+def test_rows_of_what_nodes_of_a_cloud_add(spark, monkeypatch, most):
+    """Of what 300 nodes add, 40 shingles each, only rarest ones that a second node may have become rows, and every pair that has to share one meets."""
+    monkeypatch.setattr(near_dedup, "SHARED_BYTES", most)  # of a table of 16 bytes, each stands for hundreds of shingles
+    rng = random.Random(5)
+    size, own, p = 60, 20, 80
+    added = []
+    for k in range(300):
+        fresh = list(range(10_000 + 40 * k, 10_000 + 40 * k + 40))
+        twin = added[k - 1][:rng.randrange(20, 39)] if k % 10 == 1 else []
+        added.append((twin + rng.sample(range(50), k % 3) + fresh)[:40])
+    n = {}
+    for g in (g for a in added for g in a):
+        n[g] = n.get(g, 0) + 1
+    counts = near_dedup.written(spark.createDataFrame([(7, g, c) for g, c in n.items()], "cloud long, g long, n long"), "counts")
+    known = spark.createDataFrame([(7, k, k, True, size, own, 40, sorted(a)) for k, a in enumerate(added)],
+                                  "cloud long, node long, label long, far boolean, size long, own long, n_added long, added array<long>")
+    exploded = []
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def explode(self, column):
+            exploded.append(column)
+            return F.explode(column)
+
+    tables, write = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "F", Spy())
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    met, hot = near_dedup._sharing(known, counts, p, False)
+    got = {(r.a, r.b) for r in met.collect()}
+    assert {(r.g, r.n) for r in tables["rare"].collect()} <= {(g, c) for g, c in n.items() if c > 1}
+    need = -(-size * p // 100) - own
+    assert {(a, b) for a in range(300) for b in range(a + 1, 300) if len(set(added[a]) & set(added[b])) >= need} <= got and got
+    assert exploded == ["rarest"]
+    often = spark.sparkContext.broadcast(near_dedup._often(counts))
+    rows = near_dedup._rarest(known, often, p).collect()
+    assert all(set(r.rarest) <= set(added[r.node]) and len(r.rarest) <= size - -(-size * p // 100) + 1 for r in rows)
+    if most > 16:
+        assert sum(len(r.rarest) for r in rows) < 1.2 * sum(1 for a in added for g in a if n[g] > 1) < 0.3 * sum(map(len, added))
+
+
 def test_sets_that_agree_in_half_their_names(spark):
     rows = [(k, 0, 5, h2, 3, b"x") for k, h2 in enumerate([7, 8, 7])] + [(9, 0, 6, 7, 3, b"x"), (10, 0, None, None, 0, None)]
     signed = spark.createDataFrame(rows, "doc_id long, text_key long, h1 long, h2 long, n_shingles long, signature binary")
