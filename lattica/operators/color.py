@@ -67,12 +67,15 @@ def exact_centres(labelled: DataFrame) -> DataFrame:
 
 
 def squared_distance(point: Column, centre: Column) -> Column:
-    return F.aggregate(F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
+    """The sum of squared differences over values that both have; null if there is none."""
+    return F.aggregate(F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(None).cast("long"), lambda s, x: F.coalesce(s + x, s, x))
 
 
-def assigned(points: DataFrame, centres: list[list[int]]) -> DataFrame:
-    """points with the number of the nearest of k centres (the first on a tie) and the squared distance."""
-    best = F.array_min(F.array(*[F.struct(squared_distance(F.col("v"), F.array(*[F.lit(x).cast("long") for x in c])).alias("d"), F.lit(k).cast("long").alias("k")) for k, c in enumerate(centres)]))
+def assigned(points: DataFrame, centres: list[list[int] | None]) -> DataFrame:
+    """points with the number of the nearest of k centres (the first on a tie) and the squared distance. A centre without a distance comes after all others."""
+    d = [squared_distance(F.col("v"), F.array(*[F.lit(x).cast("long") for x in c]) if c is not None else F.lit(None).cast("array<long>")) for c in centres]
+    each = [F.struct(x.isNull().alias("far"), x.alias("d"), F.lit(k).cast("long").alias("k")) for k, x in enumerate(d)]
+    best = F.array_min(F.array(*each)) if each else F.lit(None).cast("struct<far:boolean,d:bigint,k:bigint>")
     return points.withColumn("best", best).withColumn("cluster", F.col("best.k")).withColumn("d2", F.col("best.d")).drop("best")
 
 

@@ -47,6 +47,35 @@ def test_embeddings_near_thousandths(spark, tmp_path, name):
     assert sorted(map(tuple, df.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["kmeans_assign_step", "kmeans_inertia"])
+@pytest.mark.parametrize("odd", ["labels", "vectors", "values", "ids", "repeated", "none"])
+def test_odd_embeddings(spark, tmp_path, name, odd):
+    """Null labels, vectors, values and ids, repeated rows, and an empty table."""
+    rng = np.random.default_rng(4)
+    ids, labels, values = list(range(60)), [k % 5 for k in range(60)], rng.uniform(-1, 1, (60, 4)).astype(np.float32).tolist()
+    for k in range(0, 60, 7):
+        if odd == "labels":
+            labels[k] = None
+        elif odd == "vectors":
+            values[k] = None
+        elif odd == "values":
+            values[k][k % 4] = None
+        elif odd == "ids":
+            ids[k] = None
+        elif odd == "repeated":
+            ids[k + 1:k + 3], labels[k + 1:k + 3], values[k + 1:k + 3] = [ids[k]] * 2, [labels[k]] * 2, [values[k]] * 2
+    if odd == "vectors":
+        values = [None if label == 3 else v for v, label in zip(values, labels)]
+    rows = slice(0, 0 if odd == "none" else 60)
+    pq.write_table(pa.table({"vec_id": pa.array(ids[rows], pa.int64()), "embedding": pa.array(values[rows], pa.list_(pa.float32())),
+                             "label": pa.array(labels[rows], pa.int32())}), tmp_path / "embeddings.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet')")
+    want = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
