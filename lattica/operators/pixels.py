@@ -74,7 +74,8 @@ def line_densities(pixels: DataFrame) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         return table.group_by("image_id").aggregate([("ink", "sum"), ("ink", "count")]).select(["image_id", "ink_sum", "ink_count"])
 
-    sums = _dark(pixels.select("image_id", "y", "x", "b", "g", "r"), fn, "image_id long, ink_sum long, ink_count long")
+    rows = pixels.select("image_id", "y", "x", "b", "g", "r")
+    sums = _dark(rows, fn, _schema(rows.select("image_id")) + ", ink_sum long, ink_count long")
     return sums.select("image_id", F.bround(F.col("ink_sum").cast("double") / F.col("ink_count"), 6).alias("line_density"))
 
 
@@ -128,7 +129,8 @@ def closed_gray(pixels: DataFrame) -> DataFrame:
     def fn(table: pa.Table) -> pa.Table:
         return _spread(table.select(["image_id", "y", "x", "ink"]), ["ink"], ("max", "min"))
 
-    return _dark(pixels.select("image_id", "y", "x", "b", "g", "r"), fn, "image_id long, y long, x long, ink int").select("image_id", "y", "x", (255 - 255 * F.col("ink")).alias("gray"))
+    rows = pixels.select("image_id", "y", "x", "b", "g", "r")
+    return _dark(rows, fn, _schema(rows.select("image_id", "y", "x")) + ", ink int").select("image_id", "y", "x", (255 - 255 * F.col("ink")).alias("gray"))
 
 
 def crops(pixels: DataFrame, tiles: DataFrame) -> DataFrame:

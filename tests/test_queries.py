@@ -76,6 +76,18 @@ def test_odd_embeddings(spark, tmp_path, name, odd):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("kind", [pa.int64(), pa.int32()])
+@pytest.mark.parametrize("name", ["line_density", "close_gray", "enhance_lines", "new_line_pixels"])
+def test_odd_images(spark, tmp_path, name, kind):
+    """Keys of 32 bits, null, negative, repeated and distant ones."""
+    pq.write_table(pa.table({"p_partkey": pa.array([3, None, -1, 0, 2_000_011, None, -1_000_003, *([3, -1] if name != "close_gray" else [])], kind)}), tmp_path / "part.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet')")
+    want = con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
