@@ -30,7 +30,7 @@ from lattica.llm.common import map_batches, scratch_path
 
 SHARD_IDS = 1 << 20
 SHARE, MIN_COUNT = 1 / 32, 8
-#: Distinct pieces whose ids a worker keeps while it writes shards (about 200 bytes each).
+#: Distinct words whose ids a worker keeps while it writes shards (about 200 bytes each).
 PIECES = 1_500_000
 MAGIC = b"RPG1"
 _SLOTS = 1 << 18
@@ -163,7 +163,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
                 names=["part", "shard", "doc_ids", "counts", "n_ids", "payload"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
                 docs_in.append(doc)
                 ids_in.append(ids)
                 held += len(ids) + 1

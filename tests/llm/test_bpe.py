@@ -165,3 +165,30 @@ def test_portions_hold_all_rows(monkeypatch):
     got = list(bpe.portions(iter([batch.slice(0, 0), batch, batch.slice(3)]), 1))
     assert [(r["doc_id"], r["text"]) for b in got for r in b.to_pylist()] == [*enumerate(texts), *list(enumerate(texts))[3:]]
     assert all(b.num_rows == 1 or sum(len((r["text"] or "").encode()) for r in b.to_pylist()) <= 10 for b in got)
+
+
+def test_a_word_is_given_and_kept_once_whatever_marks_follow():
+    own = bpe.Codec(bpe.codec(P.path("byte_bpe_50k.json")).tokenizer)
+    given, plain = [], own.plain
+    own.plain = type("Counted", (), {"encode_batch_fast": lambda _, blocks, **k: given.extend(blocks) or plain.encode_batch_fast(blocks, **k)})()
+    texts = ["x wörd", "x wörd, wörd. wörd!? wörd...", "y wörd; stone\nwörd\nwörd: stone"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    words = " ".join(given).split(" ")
+    assert len(words) == len(set(words)) == 7  # stone after a space, the others after one and without
+    own.encode(["x wörd" + mark for mark in bpe.MARKS])
+    assert len(" ".join(given).split(" ")) == 7 and sorted(w for w in own.known if w) == ["stone", "wörd", "x", "y"]
+
+
+def test_columns_are_encoded_as_lists(monkeypatch):
+    import pyarrow as pa
+
+    texts = [*ODD, "", None, " \nx", "a \n b", "\n", "x\n", " x", "x ", "a\n\nb", "\u00aa\u00b5!", "x\u0301 e\u0301!", "don't' '", "\ufb01 \u02b0x, \u01c5.", *random_texts(500)]
+    own = bpe.Codec(bpe.codec(P.path("byte_bpe_50k.json")).tokenizer)
+    want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["before", *texts, "after"], kind)
+        assert [x.tolist() for x in own.encode(column.slice(1, len(texts)))] == want
+    assert own.encode([]) == [] and own.encode(pa.array([None], pa.string()))[0].tolist() == []
+    small = bpe.Codec(own.tokenizer, pieces=3)
+    assert [x.tolist() for t in texts for x in small.encode([t])] == want and small.places < 100
