@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from lattica.llm.common import env_threads, map_batches, on_leaving
 
 #: Distinct words, and other pieces, whose ids a worker keeps (about 200 bytes each), unless it is told otherwise; fuller tables are emptied.
-PIECES = 600_000
+PIECES = 400_000
 #: Bytes of text that are cut into pieces at once.
 PORTION = 2 << 20
 
